@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, WS, col_, is_float_text, strip_ws
+from .text import NOT_WS, WS, col_, is_float_text, staged, strip_ws
 
 _TWO_TOKENS = f"^{NOT_WS}+{WS}+{NOT_WS}+$"
 
 
-def dms_to_decimal(c) -> tuple[Column, Column]:
-    """J2: 'D:M:S X' -> signed degrees, rounded to 6 places.
+def add_dms(df, src, out: str):
+    """J2: 'D:M:S X' -> signed degrees rounded to 6 places, as ``out``.
 
     Exactly two whitespace-separated tokens and three numeric ':' parts;
-    direction S or W is negative, anything else positive. Otherwise the
-    error 'Invalid coordinate format: <text>'.
+    direction S or W is negative, anything else positive. Otherwise
+    ``out + '_err'`` = 'Invalid coordinate format: <text>'.
     """
-    raw = col_(c).cast("string")
-    s = strip_ws(raw)
-    two = s.rlike(_TWO_TOKENS)
-    dms = F.regexp_extract(s, f"^({NOT_WS}+)", 1)
-    direction = F.regexp_extract(s, f"({NOT_WS}+)$", 1)
-    parts = F.split(dms, ":", -1)
-    p0, p1, p2 = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    ok = F.coalesce(two & (F.size(parts) == 3) & is_float_text(p0) & is_float_text(p1) & is_float_text(p2), F.lit(False))
-    deg = p0.cast("double") + p1.cast("double") / 60 + p2.cast("double") / 3600
-    sign = F.when(direction.isin("S", "W"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    value = F.when(ok, F.round(deg * sign, 6))
-    err = F.when(~ok, F.concat(F.lit("Invalid coordinate format: "), F.coalesce(raw, F.lit("None"))))
-    return value, err
+    p = f"_{out}_"
+
+    def c(n):
+        return F.col(p + n)
+
+    return staged(
+        df,
+        {p + "raw": col_(src).cast("string")},
+        {p + "s": strip_ws(c("raw"))},
+        {p + "two": c("s").rlike(_TWO_TOKENS),
+         p + "dir": F.regexp_extract(c("s"), f"({NOT_WS}+)$", 1),
+         p + "parts": F.split(F.regexp_extract(c("s"), f"^({NOT_WS}+)", 1), ":", -1)},
+        {p + "p0": F.get(c("parts"), 0), p + "p1": F.get(c("parts"), 1), p + "p2": F.get(c("parts"), 2)},
+        {p + "ok": F.coalesce(c("two") & (F.size(c("parts")) == 3) & is_float_text(c("p0"))
+                              & is_float_text(c("p1")) & is_float_text(c("p2")), F.lit(False))},
+        {out: F.when(c("ok"), F.round(
+            (c("p0").cast("double") + c("p1").cast("double") / 60 + c("p2").cast("double") / 3600)
+            * F.when(c("dir").isin("S", "W"), F.lit(-1.0)).otherwise(F.lit(1.0)), 6)),
+         out + "_err": F.when(~c("ok"), F.concat(F.lit("Invalid coordinate format: "),
+                                                 F.coalesce(c("raw"), F.lit("None"))))},
+    )
 
 
 def exif_degrees(value_text, ref) -> Column:

@@ -26,6 +26,45 @@ _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 _FLOAT_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+def staged(df, *layers):
+    """Add columns layer by layer; a layer may use earlier layers by name.
+
+    Parsers reuse intermediate values many times. Written as one nested
+    expression each reuse would be a copy of the whole subtree (generated code
+    past the 64 KB method limit, and repeated regex work). As separate
+    projections Catalyst keeps each expensive intermediate computed once
+    (CollapseProject does not inline non-trivial expressions used twice), and
+    whole-stage codegen still fuses the layers into one pipeline.
+    """
+    for layer in layers:
+        df = df.select("*", *[c.alias(n) for n, c in layer.items()])
+    return df
+
+
+def add_numbers(df, specs):
+    """J12 for several columns at once, staged.
+
+    ``specs``: (source Column, output name, default or None, label). Output
+    ``name`` is the DOUBLE (NULL or ``default`` when the text is missing or
+    blank) and ``name + '_err'`` the reject reason for non-numeric text.
+    """
+    s1, s2 = {}, {}
+    for src, name, default, label in specs:
+        s1[f"_{name}_s"] = strip_ws(src.cast("string"))
+    df = staged(df, s1)
+    for src, name, default, label in specs:
+        s = F.col(f"_{name}_s")
+        blank = F.coalesce(s, F.lit("")) == ""
+        is_num = s.rlike(_FLOAT_RE)
+        value = F.when(is_num, s.cast("double"))
+        if default is not None:
+            value = F.when(blank, F.lit(float(default))).otherwise(value)
+        s2[name] = value
+        s2[f"{name}_err"] = F.when(~blank & ~F.coalesce(is_num, F.lit(False)),
+                                   F.concat(F.lit(f"Invalid number for {label}: "), src.cast("string")))
+    return staged(df, s2)
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, is_float_text, is_int_text, strip_ws
+from .text import col_, is_float_text, is_int_text, staged, strip_ws
 
 
 
@@ -37,9 +37,11 @@ def date_ymd(c) -> Column:
     return F.when(s.rlike(r"^[0-9]{8}$"), _try_to_date(s, "yyyyMMdd"))
 
 
-def python_timestamp(date_c, time_c) -> tuple[Column, Column]:
+def add_python_timestamp(df, date_c, time_c, out: str):
     """Date text + time-of-day text -> TIMESTAMP_NTZ (rules in SURVEY 2.9).
 
+    Adds ``out`` (the timestamp) and ``out + '_err'`` (reject reason).
+
     * date: trimmed, cut at the first '.', then ``d-M-yyyy`` if it holds '-',
       ``yyyyMMdd`` if it is eight digits, else 'Invalid date format: <d>'.
     * time: blank, NA or NAN is midnight; UTC/GMT removed; cut at the first
@@ -47,67 +49,77 @@ def python_timestamp(date_c, time_c) -> tuple[Column, Column]:
     * whole seconds and microseconds are truncated as Python's ``int()``
       does, and the result is cut to milliseconds.
     """
-    d1 = F.split_part(strip_ws(F.coalesce(col_(date_c).cast("string"), F.lit(""))), F.lit("."), F.lit(1))
-    has_dash = d1.contains("-")
-    day = F.when(has_dash, date_dmy(d1)).when(d1.rlike(r"^[0-9]{8}$"), _try_to_date(d1, "yyyyMMdd"))
-
-    t0 = F.upper(strip_ws(F.coalesce(col_(time_c).cast("string"), F.lit(""))))
-    midnight = (t0 == "") | t0.isin("NA", "NAN")
-    t1 = strip_ws(F.replace(F.replace(t0, F.lit("UTC"), F.lit("")), F.lit("GMT"), F.lit("")))
-    t2 = F.when(t1.contains(","), strip_ws(F.split_part(t1, F.lit(","), F.lit(1)))).otherwise(t1)
-    parts = F.split(t2, ":", -1)
-    n = F.size(parts)
-    p0, p1, p2 = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    two = (n == 2) & is_int_text(p0) & is_float_text(p1)
-    three = (n == 3) & is_int_text(p0) & is_int_text(p1) & is_float_text(p2)
-    hh = F.when(three, p0.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    mi = F.when(three, p1.try_cast("bigint")).when(two, p0.try_cast("bigint"))
-    ss = F.when(three, p2.try_cast("double")).when(two, p1.try_cast("double"))
-    # bounds keep the arithmetic far from overflow (about a thousand years)
-    in_range = (F.abs(hh) < 10_000_000) & (F.abs(mi) < 1_000_000_000) & (F.abs(ss) < 1e11)
-    time_ok = midnight | ((two | three) & in_range)
-
-    secs = ss.cast("bigint")  # truncates toward zero, like int()
-    micros = ((ss - secs) * F.lit(1_000_000.0)).cast("bigint")
-    total = hh * 3_600_000_000 + mi * 60_000_000 + secs * 1_000_000 + micros
-    total = F.when(midnight, F.lit(0).cast("bigint")).otherwise(total)
-    total_ms = total - F.pmod(total, F.lit(1000))
-
-    ts = F.when(day.isNotNull() & time_ok, F.timestamp_add("MICROSECOND", total_ms, day.cast("timestamp_ntz")))
-    err = (
-        F.when(day.isNull(), F.concat(F.lit("Invalid date format: "), d1))
-        .when(~time_ok, F.concat(F.lit("Invalid time format: "), t2))
+    p = f"_{out}_"
+
+    def c(n):
+        return F.col(p + n)
+
+    return staged(
+        df,
+        {p + "d0": strip_ws(F.coalesce(col_(date_c).cast("string"), F.lit(""))),
+         p + "t0": F.upper(strip_ws(F.coalesce(col_(time_c).cast("string"), F.lit(""))))},
+        {p + "d1": F.split_part(c("d0"), F.lit("."), F.lit(1)),
+         p + "t1": strip_ws(F.replace(F.replace(c("t0"), F.lit("UTC"), F.lit("")), F.lit("GMT"), F.lit("")))},
+        {p + "t2": F.when(c("t1").contains(","), strip_ws(F.split_part(c("t1"), F.lit(","), F.lit(1)))).otherwise(c("t1")),
+         p + "mid": (c("t0") == "") | c("t0").isin("NA", "NAN"),
+         p + "day": F.when(c("d1").contains("-"), date_dmy(c("d1")))
+                     .when(c("d1").rlike(r"^[0-9]{8}$"), _try_to_date(c("d1"), "yyyyMMdd"))},
+        {p + "ps": F.split(c("t2"), ":", -1)},
+        {p + "n": F.size(c("ps")), p + "p0": F.get(c("ps"), 0), p + "p1": F.get(c("ps"), 1),
+         p + "p2": F.get(c("ps"), 2)},
+        {p + "two": (c("n") == 2) & is_int_text(c("p0")) & is_float_text(c("p1")),
+         p + "three": (c("n") == 3) & is_int_text(c("p0")) & is_int_text(c("p1")) & is_float_text(c("p2"))},
+        {p + "hh": F.when(c("three"), c("p0").try_cast("bigint")).otherwise(F.lit(0).cast("bigint")),
+         p + "mi": F.when(c("three"), c("p1").try_cast("bigint")).when(c("two"), c("p0").try_cast("bigint")),
+         p + "ss": F.when(c("three"), c("p2").try_cast("double")).when(c("two"), c("p1").try_cast("double"))},
+        # bounds keep the arithmetic far from overflow (about a thousand years)
+        {p + "tok": c("mid") | ((c("two") | c("three")) & (F.abs(c("hh")) < 10_000_000)
+                                & (F.abs(c("mi")) < 1_000_000_000) & (F.abs(c("ss")) < 1e11)),
+         p + "secs": c("ss").cast("bigint")},  # truncates toward zero, like int()
+        {p + "total": F.when(c("mid"), F.lit(0).cast("bigint")).otherwise(
+            c("hh") * 3_600_000_000 + c("mi") * 60_000_000 + c("secs") * 1_000_000
+            + ((c("ss") - c("secs")) * F.lit(1_000_000.0)).cast("bigint"))},
+        {out: F.when(c("day").isNotNull() & c("tok"), F.timestamp_add(
+            "MICROSECOND", c("total") - F.pmod(c("total"), F.lit(1000)), c("day").cast("timestamp_ntz"))),
+         out + "_err": F.when(c("day").isNull(), F.concat(F.lit("Invalid date format: "), c("d1")))
+                        .when(~c("tok"), F.concat(F.lit("Invalid time format: "), c("t2")))},
     )
-    return ts, err
 
 
-def strict_date(c, kind: str) -> tuple[Column, Column]:
-    """``safe_parse_date``: blank/missing -> NULL, bad text -> error."""
-    c = col_(c).cast("string")
-    present = F.coalesce(strip_ws(c), F.lit("")) != ""
-    value = date_dmy(c) if kind == "dmy" else date_ymd(c)
-    value = F.when(present, value)
-    err = F.when(present & value.isNull(), F.concat(F.lit("Invalid date format: "), c))
-    return value, err
+def add_strict_date(df, src, kind: str, out: str):
+    """``safe_parse_date``: adds ``out`` (DATE; blank/missing -> NULL)
+    and ``out + '_err'`` ('Invalid date format: <text>' for bad text)."""
+    p = f"_{out}_"
+    raw = col_(src).cast("string")
+    parsed = date_dmy(F.col(p + "s")) if kind == "dmy" else date_ymd(F.col(p + "s"))
+    return staged(
+        df,
+        {p + "s": strip_ws(raw), p + "raw": raw},
+        {p + "present": F.coalesce(F.col(p + "s"), F.lit("")) != ""},
+        {out: F.when(F.col(p + "present"), parsed)},
+        {out + "_err": F.when(F.col(p + "present") & F.col(out).isNull(),
+                              F.concat(F.lit("Invalid date format: "), F.col(p + "raw")))},
+    )
 
 
 _HMS = r"^([01]?[0-9]|2[0-3]):([0-5]?[0-9]):([0-5]?[0-9])$"
 
 
-def strict_time(c) -> tuple[Column, Column]:
-    """``safe_parse_time(x, '%H:%M:%S')`` -> 'HH:mm:ss' text."""
-    c = col_(c).cast("string")
-    s = strip_ws(c)
-    present = F.coalesce(s, F.lit("")) != ""
-    ok = s.rlike(_HMS)
-    value = F.when(present & ok, F.concat_ws(
-        ":",
-        F.lpad(F.regexp_extract(s, _HMS, 1), 2, "0"),
-        F.lpad(F.regexp_extract(s, _HMS, 2), 2, "0"),
-        F.lpad(F.regexp_extract(s, _HMS, 3), 2, "0"),
-    ))
-    err = F.when(present & ~ok, F.concat(F.lit("Invalid time format: "), c))
-    return value, err
+def add_strict_time(df, src, out: str):
+    """``safe_parse_time(x, '%H:%M:%S')``: adds ``out`` ('HH:mm:ss'
+    text) and ``out + '_err'``."""
+    p = f"_{out}_"
+    raw = col_(src).cast("string")
+    s = F.col(p + "s")
+    return staged(
+        df,
+        {p + "s": strip_ws(raw), p + "raw": raw},
+        {p + "present": F.coalesce(s, F.lit("")) != "", p + "ok": s.rlike(_HMS), p + "parts": F.split(s, ":", -1)},
+        {out: F.when(F.col(p + "present") & F.col(p + "ok"), F.concat_ws(
+            ":", *[F.lpad(F.get(F.col(p + "parts"), i), 2, "0") for i in range(3)])),
+         out + "_err": F.when(F.col(p + "present") & ~F.col(p + "ok"),
+                              F.concat(F.lit("Invalid time format: "), F.col(p + "raw")))},
+    )
 
 
 def day_first_date(c) -> Column:
@@ -121,22 +133,22 @@ def day_first_date(c) -> Column:
     )
 
 
-_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]{1,6})?)$"
-
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
 
-def iso_timestamp(c) -> Column:
-    """ISO-8601 text without zone ('T' or space) -> TIMESTAMP_NTZ, else NULL."""
-    s = strip_ws(col_(c))
-    ok = s.rlike(_ISO)
-
-    def g(i):
-        return F.regexp_extract(s, _ISO, i)
 
-    return F.when(ok, F.call_function(
-        "try_make_timestamp_ntz",
-        g(1).cast("int"), g(2).cast("int"), g(3).cast("int"),
-        g(4).cast("int"), g(5).cast("int"), g(6).cast("decimal(8,6)"),
-    ))
+def add_iso_timestamp(df, src, out: str):
+    """ISO-8601 text without zone ('T' or space) -> TIMESTAMP_NTZ ``out``,
+    NULL when it is not such a text or not a real date/time."""
+    p = f"_{out}_"
+    parts = F.col(p + "parts")
+    return staged(
+        df,
+        {p + "s": strip_ws(col_(src))},
+        {p + "ok": F.col(p + "s").rlike(_ISO), p + "parts": F.split(F.col(p + "s"), "[-T: ]", -1)},
+        {out: F.when(F.col(p + "ok"), F.call_function(
+            "try_make_timestamp_ntz", *[F.get(parts, i).cast("int") for i in range(5)],
+            F.get(parts, 5).cast("decimal(8,6)")))},
+    )
 
 
 def iso_text(ts) -> Column:

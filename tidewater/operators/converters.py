@@ -5,8 +5,9 @@ it runs unchanged on batch and streaming frames and stays inside whole-stage
 codegen: no Python per row, no shuffle. Input frames carry ``file_name`` and
 ``row_no`` (the file and the row/line inside it) next to the raw text columns,
 whose names are already normalised (C9). The output has every column of
-``CDF_SCHEMA`` plus ``reject_reason``: NULL for a good record, else the first
-failing check in the order the reference evaluates fields (C10).
+``CDF_SCHEMA`` plus ``file_name`` and ``reject_reason``: NULL for a good
+record, else the first failing check in the order the reference evaluates
+fields (C10). Parsers are staged projections (see ``functions.text.staged``).
 """
 
 from __future__ import annotations
@@ -14,32 +15,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import dms_to_decimal, wkt_point
+from ..functions.coords import add_dms, wkt_point
 from ..functions.records import row_json, stable_uuid
 from ..functions.text import (
-    bad_number,
+    add_numbers,
     first_present,
-    is_float_text,
     is_int_text,
     na_to_null,
-    normalise_headers,
-    strip_ws,
     norm_header_esm,
     norm_header_tracking,
-    number_or,
+    normalise_headers,
+    staged,
+    strip_ws,
     text_or_empty,
 )
 from ..functions.timestamps import (
-    iso_timestamp,
-    python_timestamp,
-    strict_date,
-    strict_time,
+    add_iso_timestamp,
+    add_python_timestamp,
+    add_strict_date,
+    add_strict_time,
+    day_first_date,
     zfill2,
 )
 from ..schemas import CDF_SCHEMA, P8I_ESM_SCHEMA, P8I_TRACKING_SCHEMA, PIRATE_ATTACKS_SCHEMA
-from ..functions.timestamps import day_first_date
+
+import itertools
 
 ID_COLUMNS = ("file_name", "row_no")
+_OBS_IDS = itertools.count()
 BLANK_LINE = "Blank line"
 
 # ---- fixed values -----------------------------------------------------------
@@ -60,7 +63,6 @@ class _Raw:
     """Column access on a raw frame where a header may be absent."""
 
     def __init__(self, df: DataFrame):
-        self.df = df
         self.names = set(df.columns)
 
     def has(self, name: str) -> bool:
@@ -76,11 +78,6 @@ def _missing(name: str) -> Column:
     return F.lit(f"Missing field: {name}")
 
 
-def _number_check(raw: _Raw, name: str, label: str | None = None) -> Column:
-    c = raw(name)
-    return F.when(bad_number(c), F.concat(F.lit(f"Invalid number for {label or name}: "), c))
-
-
 def structured_cells(df: DataFrame) -> DataFrame:
     """Apply the pandas reading rule to every raw text cell: NA tokens -> NULL."""
     return df.select(*[
@@ -89,8 +86,9 @@ def structured_cells(df: DataFrame) -> DataFrame:
     ])
 
 
-def _raw_json(df: DataFrame) -> Column:
-    return row_json(df, [c for c in df.columns if c not in ID_COLUMNS])
+def _raw_json(columns) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns if c not in ID_COLUMNS]),
+                     {"ignoreNullFields": "false"})
 
 
 def _finish(df: DataFrame, feed: str, values: dict, checks: list) -> DataFrame:
@@ -105,8 +103,32 @@ def _finish(df: DataFrame, feed: str, values: dict, checks: list) -> DataFrame:
         v = values.get(field.name)
         v = F.lit(None) if v is None else v
         cols.append(v.cast(field.dataType).alias(field.name))
+    checks = [c for c in checks if c is not None]
     reason = F.coalesce(*checks) if checks else F.lit(None)
-    return df.select(*cols, F.col("file_name"), reason.cast("string").alias("reject_reason"))
+    out = df.select(*cols, F.col("file_name"), reason.cast("string").alias("reject_reason"))
+    return observe_status(out, feed)
+
+
+def observe_status(df: DataFrame, label: str) -> DataFrame:
+    """Attach the per-conversion counters (rows, saved, failed) as observed
+    metrics, readable from the action's listener or a stream's progress.
+
+    The observation also ends the converter's plan for the optimizer: a
+    later filter on ``reject_reason`` is evaluated here instead of being
+    rewritten, alias by alias, into every parsing stage below.
+    """
+    reason = F.col("reject_reason")
+    name = f"convert_{label.lower()}_{next(_OBS_IDS)}"
+    return df.observe(
+        name,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(reason.isNull()).alias("saved"),
+        F.count_if(reason.isNotNull() & (reason != BLANK_LINE)).alias("failed"),
+    )
+
+
+def _err(name: str) -> Column:
+    return F.col(f"{name}_err")
 
 
 # ---- D4 AIS -------------------------------------------------------------------
@@ -117,29 +139,29 @@ def convert_ais(raw_df: DataFrame) -> DataFrame:
     Missing numbers stay NULL (X8), non-numeric text and a blank or bad time
     are rejects (X16)."""
     r = _Raw(raw_df)
-    ts_text = text_or_empty(first_present(r("timestamp"), r("basedatetime")))
-    ts = iso_timestamp(ts_text)
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = staged(df, {"_ts_text": text_or_empty(first_present(r("timestamp"), r("basedatetime")))})
+    df = add_iso_timestamp(df, F.col("_ts_text"), "_ts")
+    df = add_numbers(df, [(r("lat"), "_lat", None, "LAT"), (r("lon"), "_lon", None, "LON"),
+                          (r("sog"), "_sog", None, "SOG"), (r("heading"), "_heading", None, "Heading")])
     values = {
-        "logged_timestamp": ts,
+        "logged_timestamp": F.col("_ts"),
         "vessel_name": text_or_empty(r("vesselname")),
         "imo": text_or_empty(r("imo")),
         "mmsi": text_or_empty(r("mmsi")),
-        "latitude": number_or(r("lat")),
-        "longitude": number_or(r("lon")),
-        "speed": number_or(r("sog")),
-        "course": number_or(r("heading")),
-        "raw_data": _raw_json(raw_df),
+        "latitude": F.col("_lat"),
+        "longitude": F.col("_lon"),
+        "speed": F.col("_sog"),
+        "course": F.col("_heading"),
+        "raw_data": F.col("_raw_json"),
     }
     checks = [
         None if r.has("sog") else _missing("SOG"),
         None if r.has("heading") else _missing("Heading"),
-        _number_check(r, "sog", "SOG"),
-        _number_check(r, "heading", "Heading"),
-        _number_check(r, "lat", "LAT"),
-        _number_check(r, "lon", "LON"),
-        F.when(ts.isNull(), F.concat(F.lit("Invalid timestamp: "), ts_text)),
+        _err("_sog"), _err("_heading"), _err("_lat"), _err("_lon"),
+        F.when(F.col("_ts").isNull(), F.concat(F.lit("Invalid timestamp: "), F.col("_ts_text"))),
     ]
-    return _finish(raw_df, "AIS", values, [c for c in checks if c is not None])
+    return _finish(df, "AIS", values, checks)
 
 
 # ---- D2 P8I generic CSV -------------------------------------------------------
@@ -159,23 +181,25 @@ def convert_p8i_csv(raw_df: DataFrame) -> DataFrame:
     0.0 when the column is absent) fills both bearing and course."""
     r = _Raw(raw_df)
     h = P8I_CSV_HEADERS
-    ts, ts_err = python_timestamp(r(h["date"]), r(h["time"]))
-    lat, lat_err = dms_to_decimal(r(h["lat"]))
-    lon, lon_err = dms_to_decimal(r(h["lon"]))
-    course = number_or(r(h["course"])) if r.has(h["course"]) else F.lit(0.0)
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = add_python_timestamp(df, r(h["date"]), r(h["time"]), "_ts")
+    df = add_dms(df, r(h["lat"]), "_lat")
+    df = add_dms(df, r(h["lon"]), "_lon")
+    df = add_numbers(df, [(r(h["speed"]), "_speed", None, "Speed Kts / Spare"),
+                          (r(h["course"]), "_course", None, "Course Deg / Bearing Deg")])
+    course = F.col("_course") if r.has(h["course"]) else F.lit(0.0)
     values = {
-        "latitude": lat,
-        "longitude": lon,
-        "speed": number_or(r(h["speed"])),
+        "latitude": F.col("_lat"),
+        "longitude": F.col("_lon"),
+        "speed": F.col("_speed"),
         "bearing": course,
         "course": course,
-        "logged_timestamp": ts,
-        "raw_data": _raw_json(raw_df),
+        "logged_timestamp": F.col("_ts"),
+        "raw_data": F.col("_raw_json"),
     }
     checks = [_missing(k) for k in (h["date"], h["time"], h["lat"], h["lon"], h["speed"]) if not r.has(k)]
-    checks += [ts_err, lat_err, lon_err, _number_check(r, h["speed"], "Speed Kts / Spare"),
-               _number_check(r, h["course"], "Course Deg / Bearing Deg")]
-    return _finish(raw_df, "P8I", values, checks)
+    checks += [_err("_ts"), _err("_lat"), _err("_lon"), _err("_speed"), _err("_course")]
+    return _finish(df, "P8I", values, checks)
 
 
 # ---- D1 DMAS (NDJSON) -----------------------------------------------------------
@@ -186,6 +210,7 @@ DMAS_SCHEMA = (
     "date_yy:string, time_hour:string, time_minute:string, time_second:string>, "
     "_corrupt_record string"
 )
+_DMAS_NUMBERS = ("latitude", "longitude", "speed", "bearing", "course")
 
 
 def convert_dmas(lines: DataFrame, value_col: str = "value", keep_blank: bool = False) -> DataFrame:
@@ -199,50 +224,45 @@ def convert_dmas(lines: DataFrame, value_col: str = "value", keep_blank: bool =
     Numbers are required; the point is built from the raw texts (J4).
     """
     text = F.col(value_col)
-    blank = strip_ws(F.coalesce(text, F.lit(""))) == ""
+    df = staged(lines, {"_blank": strip_ws(F.coalesce(text, F.lit(""))) == ""})
     if not keep_blank:
-        lines = lines.where(~blank)
+        df = df.where(~F.col("_blank"))
     j = F.from_json(text, DMAS_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
-    parsed = lines.select("file_name", "row_no", text.alias("_line"), j.alias("j"), blank.alias("_blank"))
+    df = df.select("file_name", "row_no", "_blank", text.alias("_line"), j.alias("j"))
     t = F.col("j.struct_update_track_timestamp")
-    msg_date = F.concat(zfill2(F.coalesce(t.date_dd, F.lit("00"))), F.lit("-"),
+    df = staged(df, {
+        "_md": F.concat(zfill2(F.coalesce(t.date_dd, F.lit("00"))), F.lit("-"),
                         zfill2(F.coalesce(t.date_mm, F.lit("00"))), F.lit("-"),
-                        F.coalesce(t.date_yy, F.lit("0000")))
-    msg_time = F.concat(zfill2(F.coalesce(t.time_hour, F.lit("00"))), F.lit(":"),
+                        F.coalesce(t.date_yy, F.lit("0000"))),
+        "_mt": F.concat(zfill2(F.coalesce(t.time_hour, F.lit("00"))), F.lit(":"),
                         zfill2(F.coalesce(t.time_minute, F.lit("00"))), F.lit(":"),
-                        F.coalesce(t.time_second, F.lit("00")))
-    ts, ts_err = python_timestamp(msg_date, msg_time)
-
-    def num(name):
-        c = F.col(f"j.{name}")
-        return F.when(is_float_text(c), c.cast("double"))
-
-    def num_err(name):
-        c = F.col(f"j.{name}")
-        return F.when(~F.coalesce(is_float_text(c), F.lit(False)),
-                      F.concat(F.lit(f"Invalid number for {name}: "), F.coalesce(c, F.lit("None"))))
-
-    trk = F.col("j.sys_trk_no")
-    trk_int = F.when(is_int_text(trk), trk.try_cast("int"))
-    values = {
-        "latitude": num("latitude"),
-        "longitude": num("longitude"),
-        "speed": num("speed"),
-        "bearing": num("bearing"),
-        "course": num("course"),
-        "logged_timestamp": ts,
-        "sys_trk_no": trk_int,
+                        F.coalesce(t.time_second, F.lit("00"))),
+        "_trk": F.col("j.sys_trk_no"),
+    })
+    df = add_python_timestamp(df, F.col("_md"), F.col("_mt"), "_ts")
+    df = add_numbers(df, [(F.col(f"j.{n}"), f"_{n}", None, n) for n in _DMAS_NUMBERS])
+    df = staged(df, {"_trk_int": F.when(is_int_text(F.col("_trk")), F.col("_trk").try_cast("int"))})
+
+    def required(n):
+        return F.when(F.col(f"_{n}").isNull(), F.concat(
+            F.lit(f"Invalid number for {n}: "), F.coalesce(F.col(f"j.{n}"), F.lit("None"))))
+
+    values = {n: F.col(f"_{n}") for n in _DMAS_NUMBERS}
+    values.update({
+        "logged_timestamp": F.col("_ts"),
+        "sys_trk_no": F.col("_trk_int"),
         "location": wkt_point(F.col("j.longitude"), F.col("j.latitude")),
         "raw_data": F.col("_line"),
-    }
+    })
     checks = [
         F.when(F.col("_blank"), F.lit(BLANK_LINE)),
         F.when(F.col("j._corrupt_record").isNotNull(), F.lit("Invalid JSON")),
-        F.when(ts_err.isNotNull(), F.concat(F.lit("Invalid date format: "), msg_date)),
-        num_err("latitude"), num_err("longitude"), num_err("speed"), num_err("bearing"), num_err("course"),
-        F.when(trk_int.isNull(), F.concat(F.lit("Invalid integer for sys_trk_no: "), F.coalesce(trk, F.lit("None")))),
+        F.when(_err("_ts").isNotNull(), F.concat(F.lit("Invalid date format: "), F.col("_md"))),
+        *[required(n) for n in _DMAS_NUMBERS],
+        F.when(F.col("_trk_int").isNull(), F.concat(F.lit("Invalid integer for sys_trk_no: "),
+                                                    F.coalesce(F.col("_trk"), F.lit("None")))),
     ]
-    return _finish(parsed, "DMAS", values, checks)
+    return _finish(df, "DMAS", values, checks)
 
 
 # ---- D3 piracy ------------------------------------------------------------------
@@ -251,16 +271,17 @@ def convert_piracy(raw_df: DataFrame) -> DataFrame:
     """D3: piracy incident rows: J1 time from date+time, coordinates passed
     through as numbers, trimmed vessel name, the row as JSON."""
     r = _Raw(raw_df)
-    ts, ts_err = python_timestamp(r("date"), r("time"))
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = add_python_timestamp(df, r("date"), r("time"), "_ts")
+    df = add_numbers(df, [(r("latitude"), "_lat", None, "latitude"), (r("longitude"), "_lon", None, "longitude")])
     values = {
-        "latitude": number_or(r("latitude")),
-        "longitude": number_or(r("longitude")),
-        "logged_timestamp": ts,
-        "raw_data": _raw_json(raw_df),
+        "latitude": F.col("_lat"),
+        "longitude": F.col("_lon"),
+        "logged_timestamp": F.col("_ts"),
+        "raw_data": F.col("_raw_json"),
         "vessel_name": text_or_empty(r("vessel_name")),
     }
-    checks = [ts_err, _number_check(r, "latitude"), _number_check(r, "longitude")]
-    return _finish(raw_df, "Piracy", values, checks)
+    return _finish(df, "Piracy", values, [_err("_ts"), _err("_lat"), _err("_lon")])
 
 
 # ---- D5 P8I tracking ------------------------------------------------------------
@@ -278,32 +299,32 @@ def convert_p8i_tracking_rows(raw_df: DataFrame) -> DataFrame:
     """
     df = normalise_headers(raw_df, norm_header_tracking)
     r = _Raw(df)
-    msg_date, e_md = strict_date(r("msg_date"), "dmy")
-    msg_time, e_mt = strict_time(r("msg_time"))
     ymd = r("position valid date yyyymmdd")
-    use_ymd = F.coalesce(ymd, F.lit("")) != ""
-    pvd_ymd, e_ymd = strict_date(ymd, "ymd")
-    pvd_dmy, e_dmy = strict_date(r("position_valid_date"), "dmy")
-    pvd = F.when(use_ymd, pvd_ymd).otherwise(pvd_dmy)
-    e_pvd = F.when(use_ymd, e_ymd).otherwise(e_dmy)
-    pvt, e_pvt = strict_time(r("position_valid_time"))
+    df = staged(df, {"_use_ymd": F.coalesce(ymd, F.lit("")) != ""})
+    df = add_strict_date(df, r("msg_date"), "dmy", "_msg_date")
+    df = add_strict_time(df, r("msg_time"), "_msg_time")
+    df = add_strict_date(df, ymd, "ymd", "_pvd_ymd")
+    df = add_strict_date(df, r("position_valid_date"), "dmy", "_pvd_dmy")
+    df = add_strict_time(df, r("position_valid_time"), "_pvt")
+    df = add_numbers(df, [(r(n), f"_{n}", 0.0, n) for n in _TRACK_NUMBERS])
+    use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
         "file_uuid": stable_uuid("file_name"),
         "row_no": F.col("row_no").cast("long"),
-        "msg_date": msg_date,
-        "msg_time": msg_time,
+        "msg_date": F.col("_msg_date"),
+        "msg_time": F.col("_msg_time"),
         "change_type": r("change_type"),
-        "position_valid_date": pvd,
-        "position_valid_time": pvt,
+        "position_valid_date": F.when(use_ymd, F.col("_pvd_ymd")).otherwise(F.col("_pvd_dmy")),
+        "position_valid_time": F.col("_pvt"),
         "trk_short_name": r("trk_short_name"),
         "sub_source_name": r("sub_source_name"),
     }
-    for n in _TRACK_NUMBERS:
-        values[n] = number_or(r(n), 0.0)
-    checks = [e_md, e_mt] + [_number_check(r, n) for n in _TRACK_NUMBERS] + [e_pvd, e_pvt]
+    values.update({n: F.col(f"_{n}") for n in _TRACK_NUMBERS})
+    checks = [_err("_msg_date"), _err("_msg_time")] + [_err(f"_{n}") for n in _TRACK_NUMBERS] + [
+        F.when(use_ymd, _err("_pvd_ymd")).otherwise(_err("_pvd_dmy")), _err("_pvt")]
     cols = [values[f.name].cast(f.dataType).alias(f.name) for f in P8I_TRACKING_SCHEMA.fields]
-    return df.select(*cols, F.col("file_name"), F.coalesce(*checks).alias("reject_reason"))
+    return observe_status(df.select(*cols, F.col("file_name"), F.coalesce(*checks).alias("reject_reason")), "tracking")
 
 
 def convert_p8i_tracking(raw_df: DataFrame) -> DataFrame:
@@ -311,7 +332,6 @@ def convert_p8i_tracking(raw_df: DataFrame) -> DataFrame:
     t = convert_p8i_tracking_rows(raw_df)
     keep = {f.name for f in CDF_SCHEMA.fields} & set(t.columns)
     values = {n: F.col(n) for n in keep}
-    values["feed"] = F.lit("P8I")
     return _finish(t, "P8I", values, [F.col("reject_reason")])
 
 
@@ -329,65 +349,68 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
     df = normalise_headers(raw_df, norm_header_esm)
     r = _Raw(df)
     ymd_raw = r("position valid date yyyymmdd")
-    pos_date = first_present(ymd_raw, r("position_valid_date"), r("date"))
-    pos_time = first_present(r("position valid time"), r("position_valid_time"), r("time"))
-    use_ymd = F.coalesce(ymd_raw, F.lit("")) != ""
-    pvd_ymd, e_ymd = strict_date(pos_date, "ymd")
-    pvd_dmy, e_dmy = strict_date(pos_date, "dmy")
-    msg_date, e_md = strict_date(r("msg_date"), "dmy")
-    msg_time, e_mt = strict_time(r("msg_time"))
-    pvt, e_pvt = strict_time(pos_time)
-    lbd, e_lbd = strict_date(r("last_beam_intercept_date"), "dmy")
-    lbt, e_lbt = strict_time(r("last_beam_intercept_time"))
+    df = staged(df, {
+        "_use_ymd": F.coalesce(ymd_raw, F.lit("")) != "",
+        "_pos_date": first_present(ymd_raw, r("position_valid_date"), r("date")),
+        "_pos_time": first_present(r("position valid time"), r("position_valid_time"), r("time")),
+    })
+    df = add_strict_date(df, F.col("_pos_date"), "ymd", "_pvd_ymd")
+    df = add_strict_date(df, F.col("_pos_date"), "dmy", "_pvd_dmy")
+    df = add_strict_date(df, r("msg_date"), "dmy", "_msg_date")
+    df = add_strict_time(df, r("msg_time"), "_msg_time")
+    df = add_strict_time(df, F.col("_pos_time"), "_pvt")
+    df = add_strict_date(df, r("last_beam_intercept_date"), "dmy", "_lbd")
+    df = add_strict_time(df, r("last_beam_intercept_time"), "_lbt")
+    df = add_numbers(df, [(r(n), f"_{n}", 0.0, n) for n in _ESM_NUMBERS])
+    use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
         "file_uuid": stable_uuid("file_name"),
         "row_no": F.col("row_no").cast("long"),
-        "msg_date": msg_date,
-        "msg_time": msg_time,
+        "msg_date": F.col("_msg_date"),
+        "msg_time": F.col("_msg_time"),
         "emitter": r("emitter"),
         "emitter_enumeration": r("emitter_enumeration"),
         "beam_enumeration": r("beam_enumeration"),
         "change_type": r("change_type"),
-        "Position Valid Date YYYYMMDD": F.when(use_ymd, pvd_ymd).otherwise(pvd_dmy),
-        "Position Valid Time": pvt,
-        "last_beam_intercept_date": lbd,
-        "last_beam_intercept_time": lbt,
+        "Position Valid Date YYYYMMDD": F.when(use_ymd, F.col("_pvd_ymd")).otherwise(F.col("_pvd_dmy")),
+        "Position Valid Time": F.col("_pvt"),
+        "last_beam_intercept_date": F.col("_lbd"),
+        "last_beam_intercept_time": F.col("_lbt"),
         "sub_source_name": r("sub_source_name"),
     }
-    for n in _ESM_NUMBERS:
-        values[n] = number_or(r(n), 0.0)
+    values.update({n: F.col(f"_{n}") for n in _ESM_NUMBERS})
     checks = [
-        F.when(pos_date.isNull(), F.lit("Missing required field: Position Valid Date YYYYMMDD")),
-        e_md, e_mt, _number_check(r, "amplitude"), _number_check(r, "frequency"),
-        F.when(use_ymd, e_ymd).otherwise(e_dmy), e_pvt, e_lbd, e_lbt,
-        _number_check(r, "azimuth_degree"), _number_check(r, "latitude"),
-        _number_check(r, "longitude"), _number_check(r, "azimuth_accuracy_degree"),
+        F.when(F.col("_pos_date").isNull(), F.lit("Missing required field: Position Valid Date YYYYMMDD")),
+        _err("_msg_date"), _err("_msg_time"), _err("_amplitude"), _err("_frequency"),
+        F.when(use_ymd, _err("_pvd_ymd")).otherwise(_err("_pvd_dmy")), _err("_pvt"), _err("_lbd"), _err("_lbt"),
+        _err("_azimuth_degree"), _err("_latitude"), _err("_longitude"), _err("_azimuth_accuracy_degree"),
     ]
     cols = [values[f.name].cast(f.dataType).alias(f.name) for f in P8I_ESM_SCHEMA.fields]
-    return df.select(*cols, F.col("file_name"), F.coalesce(*checks).alias("reject_reason"))
+    return observe_status(df.select(*cols, F.col("file_name"), F.coalesce(*checks).alias("reject_reason")), "esm")
 
 
 # ---- D7 pirate attack load ------------------------------------------------------
 
 _PIRACY_DOUBLES = {"longitude", "latitude", "shore_distance", "shore_longitude", "shore_latitude"}
+PIRACY_FIELDS = PIRATE_ATTACKS_SCHEMA.fields
 
 
 def load_pirate_attacks(raw_df: DataFrame) -> DataFrame:
     """Day-first date (J13), rows without a date dropped (C7), NA -> NULL
     (C8, already done by the reader rule), the 15 target columns (C5)."""
     r = _Raw(raw_df)
-    attack = day_first_date(r("date")).cast("timestamp_ntz")
+    df = add_numbers(raw_df, [(r(n), f"_{n}", None, n) for n in sorted(_PIRACY_DOUBLES)])
     cols = []
-    for f in PIRATE_ATTACKS_SCHEMA.fields:
+    for f in PIRACY_FIELDS:
         if f.name == "attack_datetime":
-            v = attack
+            v = day_first_date(r("date")).cast("timestamp_ntz")
         elif f.name in _PIRACY_DOUBLES:
-            v = number_or(r(f.name))
+            v = F.col(f"_{f.name}")
         else:
             v = r(f.name)
         cols.append(v.cast(f.dataType).alias(f.name))
-    return raw_df.select(*cols).where(F.col("attack_datetime").isNotNull())
+    return df.select(*cols).where(F.col("attack_datetime").isNotNull())
 
 
 # ---- dispatch (C11, C12) ----------------------------------------------------------

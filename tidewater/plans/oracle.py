@@ -427,7 +427,10 @@ def _build() -> None:
     o["p8i_dispatch"] = _with(union, f"select input, row_no, sub_source_name, {conv.format(names=s_names)} as converter, "
                               f"{conv.format(names=n_names)} as converter_ndjson from p8i_all")
     o["feed_dispatch"] = _with(records_ctes(), "select uuid, feed, (case when reject_reason is null then 'saved' else "
-                               "'failed' end) as status, logged_timestamp, latitude, longitude, speed from all_rec")
+                               "'failed' end) as status, (case when reject_reason is null then logged_timestamp end) as logged_timestamp, "
+                               "(case when reject_reason is null then latitude end) as latitude, (case when reject_reason "
+                               "is null then longitude end) as longitude, (case when reject_reason is null then speed end) "
+                               "as speed from all_rec")
     export = ("select r.uuid, r.file_uuid, r.latitude, r.longitude, r.speed, r.bearing, r.course, r.sys_trk_no, "
               "s.name as source, ss.name as sub_source, (case when r.location is null then null "
               "when regexp_matches(r.location, '^POINT ?\\(\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s+"
@@ -492,7 +495,7 @@ def _build() -> None:
         "select c.uuid, c.bucket, c.filename, c.content_type, (k.current_uuid = c.uuid) as found, k.current_uuid "
         "from catalog c left join cur k on c.bucket = k.bucket and c.filename = k.filename")
     o["file_size_mb"] = _with(file_ctes(), "select uuid, size, round(size / 1048576.0, 2) as size_mb from catalog")
-    o["image_record"] = _with(feed_cte("exif_tags"), _image_record_sql())
+    o["image_record"] = _with(feed_cte("exif_tags"), "select * exclude (has_cam) from (" + _image_record_sql() + ")")
     o["image_summary"] = _with(feed_cte("exif_tags") + ",\nrec as (" + _image_record_sql() + ")",
                                "select file_uuid, filename, has_gps, has_cam as has_camera_info, (coalesce(timestamp, '') <> '') as has_timestamp, timestamp, camera_make, "
                                "camera_model, coordinates as gps_coordinates from rec")

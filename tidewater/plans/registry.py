@@ -216,9 +216,11 @@ def p8i_dispatch(spark, sf):
 def feed_dispatch(spark, sf):
     """C11 + I1: all feeds, each through its converter, in one table."""
     rec = all_converted(spark, sf)
-    rec = rec.where(conv.record_status("reject_reason") != "skipped")
-    return rec.select("uuid", "feed", conv.record_status("reject_reason").alias("status"),
-                      "logged_timestamp", "latitude", "longitude", "speed")
+    status = conv.record_status("reject_reason")
+    rec = rec.where(status != "skipped")
+    ok = status == "saved"
+    return rec.select("uuid", "feed", status.alias("status"),
+                      *[F.when(ok, F.col(c)).alias(c) for c in ("logged_timestamp", "latitude", "longitude", "speed")])
 
 
 def cdf_export(spark, sf):
