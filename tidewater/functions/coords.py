@@ -10,7 +10,7 @@ from .text import NOT_WS, WS, col_, is_float_text, staged, strip_ws
 _TWO_TOKENS = f"^{NOT_WS}+{WS}+{NOT_WS}+$"
 
 
-def add_dms(df, src, out: str):
+def dms_layers(src, out: str):
     """J2: 'D:M:S X' -> signed degrees rounded to 6 places, as ``out``.
 
     Exactly two whitespace-separated tokens and three numeric ':' parts;
@@ -22,8 +22,7 @@ def add_dms(df, src, out: str):
     def c(n):
         return F.col(p + n)
 
-    return staged(
-        df,
+    return [
         {p + "raw": col_(src).cast("string")},
         {p + "s": strip_ws(c("raw"))},
         {p + "two": c("s").rlike(_TWO_TOKENS),
@@ -37,7 +36,11 @@ def add_dms(df, src, out: str):
             * F.when(c("dir").isin("S", "W"), F.lit(-1.0)).otherwise(F.lit(1.0)), 6)),
          out + "_err": F.when(~c("ok"), F.concat(F.lit("Invalid coordinate format: "),
                                                  F.coalesce(c("raw"), F.lit("None"))))},
-    )
+    ]
+
+
+def add_dms(df, src, out: str):
+    return staged(df, *dms_layers(src, out))
 
 
 def exif_degrees(value_text, ref) -> Column:

@@ -15,10 +15,7 @@ def stable_uuid(*parts) -> Column:
     same ids (``uuid()`` would differ per execution).
     """
     h = F.md5(F.concat_ws(":", *[col_(p).cast("string") for p in parts]))
-    return F.concat_ws(
-        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-        F.substring(h, 17, 4), F.substring(h, 21, 12),
-    )
+    return F.regexp_replace(h, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def nan_to_null(c) -> Column:

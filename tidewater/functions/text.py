@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # (Java's \s covers only the ASCII ones), as one regex character class.
 WS = "[\\s\\u000b\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 NOT_WS = "[^" + WS[1:]
+# The same 29 characters as a plain string, for trimming without a regex.
+WS_CHARS = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 # Cell texts that the pandas CSV/Excel readers turn into a missing value by
 # default (pandas documentation, read_csv na_values).
 NA_TOKENS = [
@@ -41,8 +45,23 @@ def staged(df, *layers):
     return df
 
 
-def add_numbers(df, specs):
-    """J12 for several columns at once, staged.
+def merge_layers(*layer_lists):
+    """Run several independent parsers side by side: layer k of each goes
+    into the same projection, so the plan depth is that of the deepest
+    parser, not the sum of all of them."""
+    depth = max((len(x) for x in layer_lists), default=0)
+    merged = []
+    for k in range(depth):
+        layer = {}
+        for x in layer_lists:
+            if k < len(x):
+                layer.update(x[k])
+        merged.append(layer)
+    return merged
+
+
+def numbers_layers(specs):
+    """J12 for several columns at once.
 
     ``specs``: (source Column, output name, default or None, label). Output
     ``name`` is the DOUBLE (NULL or ``default`` when the text is missing or
@@ -51,7 +70,6 @@ def add_numbers(df, specs):
     s1, s2 = {}, {}
     for src, name, default, label in specs:
         s1[f"_{name}_s"] = strip_ws(src.cast("string"))
-    df = staged(df, s1)
     for src, name, default, label in specs:
         s = F.col(f"_{name}_s")
         blank = F.coalesce(s, F.lit("")) == ""
@@ -62,7 +80,11 @@ def add_numbers(df, specs):
         s2[name] = value
         s2[f"{name}_err"] = F.when(~blank & ~F.coalesce(is_num, F.lit(False)),
                                    F.concat(F.lit(f"Invalid number for {label}: "), src.cast("string")))
-    return staged(df, s2)
+    return [s1, s2]
+
+
+def add_numbers(df, specs):
+    return staged(df, *numbers_layers(specs))
 
 
 def col_(c) -> Column:
@@ -70,8 +92,9 @@ def col_(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing whitespace incl. NBSP."""
-    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace incl. NBSP
+    (``btrim`` with a character set: no regex per row)."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def na_to_null(c) -> Column:

@@ -37,7 +37,7 @@ def date_ymd(c) -> Column:
     return F.when(s.rlike(r"^[0-9]{8}$"), _try_to_date(s, "yyyyMMdd"))
 
 
-def add_python_timestamp(df, date_c, time_c, out: str):
+def python_timestamp_layers(date_c, time_c, out: str):
     """Date text + time-of-day text -> TIMESTAMP_NTZ (rules in SURVEY 2.9).
 
     Adds ``out`` (the timestamp) and ``out + '_err'`` (reject reason).
@@ -54,8 +54,7 @@ def add_python_timestamp(df, date_c, time_c, out: str):
     def c(n):
         return F.col(p + n)
 
-    return staged(
-        df,
+    return [
         {p + "d0": strip_ws(F.coalesce(col_(date_c).cast("string"), F.lit(""))),
          p + "t0": F.upper(strip_ws(F.coalesce(col_(time_c).cast("string"), F.lit(""))))},
         {p + "d1": F.split_part(c("d0"), F.lit("."), F.lit(1)),
@@ -83,43 +82,53 @@ def add_python_timestamp(df, date_c, time_c, out: str):
             "MICROSECOND", c("total") - F.pmod(c("total"), F.lit(1000)), c("day").cast("timestamp_ntz"))),
          out + "_err": F.when(c("day").isNull(), F.concat(F.lit("Invalid date format: "), c("d1")))
                         .when(~c("tok"), F.concat(F.lit("Invalid time format: "), c("t2")))},
-    )
+    ]
 
 
-def add_strict_date(df, src, kind: str, out: str):
+def add_python_timestamp(df, date_c, time_c, out: str):
+    return staged(df, *python_timestamp_layers(date_c, time_c, out))
+
+
+def strict_date_layers(src, kind: str, out: str):
     """``safe_parse_date``: adds ``out`` (DATE; blank/missing -> NULL)
     and ``out + '_err'`` ('Invalid date format: <text>' for bad text)."""
     p = f"_{out}_"
     raw = col_(src).cast("string")
     parsed = date_dmy(F.col(p + "s")) if kind == "dmy" else date_ymd(F.col(p + "s"))
-    return staged(
-        df,
+    return [
         {p + "s": strip_ws(raw), p + "raw": raw},
         {p + "present": F.coalesce(F.col(p + "s"), F.lit("")) != ""},
         {out: F.when(F.col(p + "present"), parsed)},
         {out + "_err": F.when(F.col(p + "present") & F.col(out).isNull(),
                               F.concat(F.lit("Invalid date format: "), F.col(p + "raw")))},
-    )
+    ]
+
+
+def add_strict_date(df, src, kind: str, out: str):
+    return staged(df, *strict_date_layers(src, kind, out))
 
 
 _HMS = r"^([01]?[0-9]|2[0-3]):([0-5]?[0-9]):([0-5]?[0-9])$"
 
 
-def add_strict_time(df, src, out: str):
+def strict_time_layers(src, out: str):
     """``safe_parse_time(x, '%H:%M:%S')``: adds ``out`` ('HH:mm:ss'
     text) and ``out + '_err'``."""
     p = f"_{out}_"
     raw = col_(src).cast("string")
     s = F.col(p + "s")
-    return staged(
-        df,
+    return [
         {p + "s": strip_ws(raw), p + "raw": raw},
         {p + "present": F.coalesce(s, F.lit("")) != "", p + "ok": s.rlike(_HMS), p + "parts": F.split(s, ":", -1)},
         {out: F.when(F.col(p + "present") & F.col(p + "ok"), F.concat_ws(
             ":", *[F.lpad(F.get(F.col(p + "parts"), i), 2, "0") for i in range(3)])),
          out + "_err": F.when(F.col(p + "present") & ~F.col(p + "ok"),
                               F.concat(F.lit("Invalid time format: "), F.col(p + "raw")))},
-    )
+    ]
+
+
+def add_strict_time(df, src, out: str):
+    return staged(df, *strict_time_layers(src, out))
 
 
 def day_first_date(c) -> Column:
@@ -136,19 +145,22 @@ def day_first_date(c) -> Column:
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
 
 
-def add_iso_timestamp(df, src, out: str):
+def iso_timestamp_layers(src, out: str):
     """ISO-8601 text without zone ('T' or space) -> TIMESTAMP_NTZ ``out``,
     NULL when it is not such a text or not a real date/time."""
     p = f"_{out}_"
     parts = F.col(p + "parts")
-    return staged(
-        df,
+    return [
         {p + "s": strip_ws(col_(src))},
         {p + "ok": F.col(p + "s").rlike(_ISO), p + "parts": F.split(F.col(p + "s"), "[-T: ]", -1)},
         {out: F.when(F.col(p + "ok"), F.call_function(
             "try_make_timestamp_ntz", *[F.get(parts, i).cast("int") for i in range(5)],
             F.get(parts, 5).cast("decimal(8,6)")))},
-    )
+    ]
+
+
+def add_iso_timestamp(df, src, out: str):
+    return staged(df, *iso_timestamp_layers(src, out))
 
 
 def iso_text(ts) -> Column:

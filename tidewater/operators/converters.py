@@ -15,26 +15,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import add_dms, wkt_point
+from ..functions.coords import dms_layers, wkt_point
 from ..functions.records import row_json, stable_uuid
 from ..functions.text import (
-    add_numbers,
     first_present,
     is_int_text,
     na_to_null,
     norm_header_esm,
     norm_header_tracking,
+    merge_layers,
     normalise_headers,
+    numbers_layers,
     staged,
     strip_ws,
     text_or_empty,
 )
 from ..functions.timestamps import (
-    add_iso_timestamp,
-    add_python_timestamp,
-    add_strict_date,
-    add_strict_time,
     day_first_date,
+    iso_timestamp_layers,
+    python_timestamp_layers,
+    strict_date_layers,
+    strict_time_layers,
     zfill2,
 )
 from ..schemas import CDF_SCHEMA, P8I_ESM_SCHEMA, P8I_TRACKING_SCHEMA, PIRATE_ATTACKS_SCHEMA
@@ -140,10 +141,12 @@ def convert_ais(raw_df: DataFrame) -> DataFrame:
     are rejects (X16)."""
     r = _Raw(raw_df)
     df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
-    df = staged(df, {"_ts_text": text_or_empty(first_present(r("timestamp"), r("basedatetime")))})
-    df = add_iso_timestamp(df, F.col("_ts_text"), "_ts")
-    df = add_numbers(df, [(r("lat"), "_lat", None, "LAT"), (r("lon"), "_lon", None, "LON"),
-                          (r("sog"), "_sog", None, "SOG"), (r("heading"), "_heading", None, "Heading")])
+    df = staged(df, *merge_layers(
+        [{"_ts_text": text_or_empty(first_present(r("timestamp"), r("basedatetime")))}]
+        + iso_timestamp_layers(F.col("_ts_text"), "_ts"),
+        numbers_layers([(r("lat"), "_lat", None, "LAT"), (r("lon"), "_lon", None, "LON"),
+                        (r("sog"), "_sog", None, "SOG"), (r("heading"), "_heading", None, "Heading")]),
+    ))
     values = {
         "logged_timestamp": F.col("_ts"),
         "vessel_name": text_or_empty(r("vesselname")),
@@ -182,11 +185,13 @@ def convert_p8i_csv(raw_df: DataFrame) -> DataFrame:
     r = _Raw(raw_df)
     h = P8I_CSV_HEADERS
     df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
-    df = add_python_timestamp(df, r(h["date"]), r(h["time"]), "_ts")
-    df = add_dms(df, r(h["lat"]), "_lat")
-    df = add_dms(df, r(h["lon"]), "_lon")
-    df = add_numbers(df, [(r(h["speed"]), "_speed", None, "Speed Kts / Spare"),
-                          (r(h["course"]), "_course", None, "Course Deg / Bearing Deg")])
+    df = staged(df, *merge_layers(
+        python_timestamp_layers(r(h["date"]), r(h["time"]), "_ts"),
+        dms_layers(r(h["lat"]), "_lat"),
+        dms_layers(r(h["lon"]), "_lon"),
+        numbers_layers([(r(h["speed"]), "_speed", None, "Speed Kts / Spare"),
+                        (r(h["course"]), "_course", None, "Course Deg / Bearing Deg")]),
+    ))
     course = F.col("_course") if r.has(h["course"]) else F.lit(0.0)
     values = {
         "latitude": F.col("_lat"),
@@ -239,9 +244,11 @@ def convert_dmas(lines: DataFrame, value_col: str = "value", keep_blank: bool =
                         F.coalesce(t.time_second, F.lit("00"))),
         "_trk": F.col("j.sys_trk_no"),
     })
-    df = add_python_timestamp(df, F.col("_md"), F.col("_mt"), "_ts")
-    df = add_numbers(df, [(F.col(f"j.{n}"), f"_{n}", None, n) for n in _DMAS_NUMBERS])
-    df = staged(df, {"_trk_int": F.when(is_int_text(F.col("_trk")), F.col("_trk").try_cast("int"))})
+    df = staged(df, *merge_layers(
+        python_timestamp_layers(F.col("_md"), F.col("_mt"), "_ts"),
+        numbers_layers([(F.col(f"j.{n}"), f"_{n}", None, n) for n in _DMAS_NUMBERS]),
+        [{"_trk_int": F.when(is_int_text(F.col("_trk")), F.col("_trk").try_cast("int"))}],
+    ))
 
     def required(n):
         return F.when(F.col(f"_{n}").isNull(), F.concat(
@@ -272,8 +279,10 @@ def convert_piracy(raw_df: DataFrame) -> DataFrame:
     through as numbers, trimmed vessel name, the row as JSON."""
     r = _Raw(raw_df)
     df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
-    df = add_python_timestamp(df, r("date"), r("time"), "_ts")
-    df = add_numbers(df, [(r("latitude"), "_lat", None, "latitude"), (r("longitude"), "_lon", None, "longitude")])
+    df = staged(df, *merge_layers(
+        python_timestamp_layers(r("date"), r("time"), "_ts"),
+        numbers_layers([(r("latitude"), "_lat", None, "latitude"), (r("longitude"), "_lon", None, "longitude")]),
+    ))
     values = {
         "latitude": F.col("_lat"),
         "longitude": F.col("_lon"),
@@ -300,13 +309,15 @@ def convert_p8i_tracking_rows(raw_df: DataFrame) -> DataFrame:
     df = normalise_headers(raw_df, norm_header_tracking)
     r = _Raw(df)
     ymd = r("position valid date yyyymmdd")
-    df = staged(df, {"_use_ymd": F.coalesce(ymd, F.lit("")) != ""})
-    df = add_strict_date(df, r("msg_date"), "dmy", "_msg_date")
-    df = add_strict_time(df, r("msg_time"), "_msg_time")
-    df = add_strict_date(df, ymd, "ymd", "_pvd_ymd")
-    df = add_strict_date(df, r("position_valid_date"), "dmy", "_pvd_dmy")
-    df = add_strict_time(df, r("position_valid_time"), "_pvt")
-    df = add_numbers(df, [(r(n), f"_{n}", 0.0, n) for n in _TRACK_NUMBERS])
+    df = staged(df, *merge_layers(
+        [{"_use_ymd": F.coalesce(ymd, F.lit("")) != ""}],
+        strict_date_layers(r("msg_date"), "dmy", "_msg_date"),
+        strict_time_layers(r("msg_time"), "_msg_time"),
+        strict_date_layers(ymd, "ymd", "_pvd_ymd"),
+        strict_date_layers(r("position_valid_date"), "dmy", "_pvd_dmy"),
+        strict_time_layers(r("position_valid_time"), "_pvt"),
+        numbers_layers([(r(n), f"_{n}", 0.0, n) for n in _TRACK_NUMBERS]),
+    ))
     use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
@@ -354,14 +365,16 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
         "_pos_date": first_present(ymd_raw, r("position_valid_date"), r("date")),
         "_pos_time": first_present(r("position valid time"), r("position_valid_time"), r("time")),
     })
-    df = add_strict_date(df, F.col("_pos_date"), "ymd", "_pvd_ymd")
-    df = add_strict_date(df, F.col("_pos_date"), "dmy", "_pvd_dmy")
-    df = add_strict_date(df, r("msg_date"), "dmy", "_msg_date")
-    df = add_strict_time(df, r("msg_time"), "_msg_time")
-    df = add_strict_time(df, F.col("_pos_time"), "_pvt")
-    df = add_strict_date(df, r("last_beam_intercept_date"), "dmy", "_lbd")
-    df = add_strict_time(df, r("last_beam_intercept_time"), "_lbt")
-    df = add_numbers(df, [(r(n), f"_{n}", 0.0, n) for n in _ESM_NUMBERS])
+    df = staged(df, *merge_layers(
+        strict_date_layers(F.col("_pos_date"), "ymd", "_pvd_ymd"),
+        strict_date_layers(F.col("_pos_date"), "dmy", "_pvd_dmy"),
+        strict_date_layers(r("msg_date"), "dmy", "_msg_date"),
+        strict_time_layers(r("msg_time"), "_msg_time"),
+        strict_time_layers(F.col("_pos_time"), "_pvt"),
+        strict_date_layers(r("last_beam_intercept_date"), "dmy", "_lbd"),
+        strict_time_layers(r("last_beam_intercept_time"), "_lbt"),
+        numbers_layers([(r(n), f"_{n}", 0.0, n) for n in _ESM_NUMBERS]),
+    ))
     use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
@@ -400,7 +413,7 @@ def load_pirate_attacks(raw_df: DataFrame) -> DataFrame:
     """Day-first date (J13), rows without a date dropped (C7), NA -> NULL
     (C8, already done by the reader rule), the 15 target columns (C5)."""
     r = _Raw(raw_df)
-    df = add_numbers(raw_df, [(r(n), f"_{n}", None, n) for n in sorted(_PIRACY_DOUBLES)])
+    df = staged(raw_df, *numbers_layers([(r(n), f"_{n}", None, n) for n in sorted(_PIRACY_DOUBLES)]))
     cols = []
     for f in PIRACY_FIELDS:
         if f.name == "attack_datetime":

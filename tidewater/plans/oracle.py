@@ -24,8 +24,12 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+WS_CHARS = "".join(chr(c) for c in (0x9, 0xA, 0xB, 0xC, 0xD, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+    return f"trim({x}, {q(WS_CHARS)})"
 
 
 def na(x: str) -> str:

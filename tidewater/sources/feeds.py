@@ -175,8 +175,21 @@ P8I_CSV_RENAMES = {
 POSITION_DATE_RENAMES = {"position_valid_date_yyyymmdd": "position valid date yyyymmdd"}
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster's cores when it has fewer partitions.
+
+    A table stored as a few large row groups scans as a few tasks, and every
+    row-level parser after it would run on that many cores. Below the
+    session's default parallelism, a round-robin repartition (an explicit
+    count, which AQE leaves alone) fixes that; a big input already has enough
+    splits and is returned unchanged, with no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
