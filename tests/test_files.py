@@ -113,3 +113,11 @@ def test_ingest_upload_and_writers(spark, folder):
     assert any(n.endswith(".csv") for n in os.listdir(f"{out}/csv"))
     made = writers.create_tables(spark, f"{out}/tables")
     assert "cdf_data" in made and spark.table("cdf_data").count() == 0
+
+
+def test_document_records(spark, folder):
+    recs = {r["filename"]: r for r in office.document_records(
+        files.read_binary(spark, folder, "*.{docx,xlsx,png}"), "2025-01-01 00:00:00").collect()}
+    assert recs["d.docx"]["docx"]["paragraph_count"] == 2 and recs["d.docx"]["error"] is None
+    assert recs["w.xlsx"]["xlsx"]["sheet_count"] == 2 and recs["w.xlsx"]["storage"]["bucket"] == "xlsx-files"
+    assert recs["a.png"]["error"] == office.UNSUPPORTED_DOCUMENT

@@ -127,3 +127,10 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     """A temporary view for SQL text."""
     df.createOrReplaceTempView(name)
     return df
+
+
+def frame_from_rows(spark: SparkSession, rows, schema=None) -> DataFrame:
+    """A10: in-memory rows (dicts or tuples) as a DataFrame, with an explicit
+    schema when given (types inferred otherwise). For small, bounded inputs
+    such as a dimension table or a test fixture."""
+    return spark.createDataFrame(rows, schema) if schema is not None else spark.createDataFrame(rows)

@@ -243,3 +243,39 @@ def document_info_map(info) -> F.Column:
     document-information style maps)."""
     cleaned = F.map_filter(info, lambda k, v: v.isNotNull() & (v != ""))
     return F.transform_keys(cleaned, lambda k, v: F.regexp_replace(k, "^/", ""))
+
+
+# ---- M7: combined document record --------------------------------------------------
+
+UNSUPPORTED_DOCUMENT = "Unsupported file type. Supported types: .pdf, .doc, .docx, .xlsx"
+
+
+def document_records(files: DataFrame, uploaded_at: str) -> DataFrame:
+    """M7: one record per uploaded document: id, name, extension, upload
+    time, storage (bucket/type/size, B6) and the extracted metadata of its
+    kind (M4 for .docx, M5 for .xlsx). Other suffixes get the reference's
+    'unsupported' error; PDF and legacy .doc decoding are not built (no
+    decoder library here), their rows say so."""
+    from ..functions.records import stable_uuid
+    from ..operators.catalog import bucket_for, file_category
+    from ..functions.text import file_extension
+
+    f = files.select("path", "filename", "size", "content", file_extension(F.col("filename")).alias("ext"))
+    docx = docx_profile(f.where(F.col("ext") == "docx")).select(
+        "path", F.struct("paragraph_count", "section_count", "table_count", "first_paragraph").alias("docx"),
+        F.col("properties").alias("_p1"), F.col("error").alias("_e1"))
+    xl = xlsx_profile(f.where(F.col("ext") == "xlsx")).select(
+        "path", F.struct("sheet_count", "sheet_names", "sheets_info").alias("xlsx"),
+        F.col("properties").alias("_p2"), F.col("error").alias("_e2"))
+    base = f.drop("content").join(docx, "path", "left").join(xl, "path", "left")
+    cat = file_category(F.lit("application/octet-stream"))
+    return base.select(
+        stable_uuid(F.col("path")).alias("uuid"), "filename", F.concat(F.lit("."), F.col("ext")).alias("extension"),
+        F.lit(uploaded_at).alias("upload_time"),
+        F.struct(bucket_for(cat, F.col("filename")).alias("bucket"), F.col("ext").alias("type"),
+                 F.col("size").alias("size")).alias("storage"),
+        "docx", "xlsx", F.coalesce(F.col("_p1"), F.col("_p2")).alias("properties"),
+        F.when(~F.col("ext").isin("docx", "xlsx", "pdf", "doc"), F.lit(UNSUPPORTED_DOCUMENT))
+         .when(F.col("ext").isin("pdf", "doc"), F.lit("decoder not available for this type"))
+         .otherwise(F.coalesce(F.col("_e1"), F.col("_e2"))).alias("error"),
+    )
