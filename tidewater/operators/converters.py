@@ -82,7 +82,7 @@ def _missing(name: str) -> Column:
 def structured_cells(df: DataFrame) -> DataFrame:
     """Apply the pandas reading rule to every raw text cell: NA tokens -> NULL."""
     return df.select(*[
-        (F.col(f"`{c}`") if c in ID_COLUMNS else na_to_null(F.col(f"`{c}`").cast("string"))).alias(c)
+        (F.col(f"`{c}`") if c in ID_COLUMNS else na_to_null(c)).alias(c)
         for c in df.columns
     ])
 

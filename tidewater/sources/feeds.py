@@ -188,8 +188,17 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table (A5), one scan plan per session and path: feeds that
+    read the same table share it (and Spark reuses the exchange)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = ensure_parallelism(spark.read.parquet(path))
+    return _TABLES[key]
 
 
 def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
