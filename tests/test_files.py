@@ -121,3 +121,24 @@ def test_document_records(spark, folder):
     assert recs["d.docx"]["docx"]["paragraph_count"] == 2 and recs["d.docx"]["error"] is None
     assert recs["w.xlsx"]["xlsx"]["sheet_count"] == 2 and recs["w.xlsx"]["storage"]["bucket"] == "xlsx-files"
     assert recs["a.png"]["error"] == office.UNSUPPORTED_DOCUMENT
+
+
+def test_store_p8i_tables(spark):
+    from tidewater.operators.ingest import store_p8i_tables
+
+    raw = spark.createDataFrame([
+        ("p.csv", 0, "05-03-2024", "10:00:00", "1", "Redicent", None, None),
+        ("p.csv", 1, "05-03-2024", "10:00:00", "fast", "Efficnt", None, None),
+        ("p.csv", 2, "05-03-2024", "10:00:00", "1", "Esm emitters", "06-03-2024", None),
+        ("p.csv", 3, "05-03-2024", "10:00:00", "1", "Falcon", None, None),
+        ("p.csv", 4, "05-03-2024", "10:00:00", "1", None, None, None),
+    ], "file_name string, row_no long, msg_date string, msg_time string, speed string, sub_source_name string, "
+       "position_valid_date string, date string")
+    out = tempfile.mkdtemp(prefix="tidewater-p8i-")
+    paths = store_p8i_tables(raw, out)
+    trk = spark.read.parquet(paths["tracking"])
+    assert [r["row_no"] for r in trk.where("status = 'saved'").collect()] == [0]
+    assert [r["reject_reason"] for r in trk.where("status = 'failed'").collect()] == ["Invalid number for speed: fast"]
+    assert [r["row_no"] for r in spark.read.parquet(paths["esm"]).where("status = 'saved'").collect()] == [2]
+    rej = {r["row_no"]: r["reject_reason"] for r in spark.read.parquet(paths["unrouted"]).collect()}
+    assert rej == {3: "Unknown sub_source: Falcon", 4: "Missing 'sub_source_name' in row."}

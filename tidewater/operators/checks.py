@@ -17,8 +17,9 @@ def upload_summary(converted: DataFrame, attempted: DataFrame | None = None) ->
     converter drops before conversion (blank NDJSON lines count as attempted,
     F2). All counts are partial aggregates, so one huge file is fine.
     """
-    conv = converted.groupBy("file_name").agg(
-        F.first("feed", ignorenulls=True).alias("feed"),
+    # a file holds one feed: grouping by both keeps a hash aggregate (a
+    # string-valued aggregate buffer would force a sort-based one)
+    conv = converted.groupBy("file_name", "feed").agg(
         F.count_if(record_status("reject_reason") == "saved").alias("saved"),
         F.count_if(record_status("reject_reason") == "failed").alias("failed"),
         F.count(F.lit(1)).alias("attempted"),

@@ -86,6 +86,12 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     written = spark.read.parquet(records_path).where(F.col("file_name").isin(
         [p.rsplit("/", 1)[-1] for p in paths]))
     summary = checks.upload_summary(written)
+    per_file = written.groupBy("file_name").agg(
+        F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
+        F.count_if(F.col("status") == "saved").alias("saved"))
+    meta = checks.upload_metadata(per_file.withColumn("file_uuid", stable_uuid("file_name")),
+                                  F.col("source_id"), F.col("sub_source_id"), uploaded_at)
+    meta.write.mode("append").parquet(f"{out_dir.rstrip('/')}/upload_metadata")
 
     blobs = files.read_binary(spark, paths).drop("content")  # the bytes are never read
     ct = F.lit(content_type) if content_type else F.when(F.lit(kind == "ndjson"), F.lit("application/x-ndjson")).otherwise(F.lit("text/csv"))
@@ -98,3 +104,26 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     catalog_rows = cat.catalog_rows(named, source_col="source_name")
     writers.append_catalog(catalog_rows, f"{out_dir.rstrip('/')}/file_catalog")
     return UploadResult(records_path, summary, catalog_rows)
+
+
+def store_p8i_tables(raw: DataFrame, out_dir: str) -> dict:
+    """B2 after C13, per row (X17): rows of tracking sub-sources are
+    converted by D5 into the tracking table, rows of ESM sub-sources by D6
+    into the ESM table (each written once, partitioned by status, so the
+    converter's rejects sit in ``status=failed``); rows with no or an unknown
+    sub-source go to the unrouted table with the reason. The raw frame is
+    split by narrow filters, so each row is parsed once."""
+    from .routing import ESM_TABLE, TRACKING_TABLE, route_p8i
+
+    routed = route_p8i(raw)
+    base = out_dir.rstrip("/")
+    tracking = converters.convert_p8i_tracking_rows(
+        routed.where(F.col("target_table") == TRACKING_TABLE).drop("target_table", "route_error"))
+    esm = converters.convert_p8i_esm(
+        routed.where(F.col("target_table") == ESM_TABLE).drop("target_table", "route_error"))
+    writers.write_records(tracking, f"{base}/tracking_data")
+    writers.write_records(esm, f"{base}/esm_data")
+    routed.where(F.col("route_error").isNotNull()).select(
+        "file_name", "row_no", F.col("route_error").alias("reject_reason")
+    ).write.mode("append").parquet(f"{base}/p8i_unrouted")
+    return {"tracking": f"{base}/tracking_data", "esm": f"{base}/esm_data", "unrouted": f"{base}/p8i_unrouted"}

@@ -20,11 +20,13 @@ from ..schemas import (
 
 def write_records(converted: DataFrame, path: str, mode: str = "append") -> None:
     """B1 + C10: converted rows written once, partitioned by status
-    ('saved' / 'failed' / 'skipped') and feed. The common-record table is
-    the ``status=saved`` part (partition pruning), the rejects table the
-    ``status=failed`` part: one scan of the input feeds both."""
+    ('saved' / 'failed' / 'skipped') and feed (when there is one). The
+    record table is the ``status=saved`` part (partition pruning), the
+    rejects table the ``status=failed`` part: one scan of the input feeds
+    both, no cache needed."""
     out = converted.withColumn("status", record_status("reject_reason"))
-    out.write.mode(mode).partitionBy("status", "feed").parquet(path)
+    parts = ["status", "feed"] if "feed" in out.columns else ["status"]
+    out.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
 def read_saved_records(spark: SparkSession, path: str) -> DataFrame:
