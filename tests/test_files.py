@@ -102,6 +102,11 @@ def test_ingest_upload_and_writers(spark, folder):
                         uploaded_at="2025-01-01 00:00:00")
     s = res.summary.first()
     assert (s["attempted"], s["saved"], s["failed"]) == (4, 1, 2)
+    again = ingest_upload(spark, [f"{folder}/dmas.ndjson"], "dmas", out, source_dim=src, sub_source_dim=sub,
+                          uploaded_at="2025-01-01 00:00:00")  # a rerun replaces, never duplicates
+    assert spark.read.parquet(again.records_path).count() == 4
+    assert spark.read.parquet(f"{out}/file_catalog").count() == 1
+    assert spark.read.parquet(f"{out}/upload_metadata").first()["record_count"] == 1
     saved = writers.read_saved_records(spark, res.records_path).collect()
     assert len(saved) == 1 and saved[0]["source_id"] == 3 and saved[0]["sub_source_id"] == 5
     assert writers.read_rejects(spark, res.records_path).count() == 2

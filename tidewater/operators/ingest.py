@@ -8,6 +8,7 @@ lineage), so the input is read and parsed a single time.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,12 @@ def convert_ndjson(lines: DataFrame, feed: str) -> DataFrame | None:
     return converters.convert_feed(flat, feed, path="ndjson")
 
 
+def upload_id_of(paths) -> str:
+    """A stable id for one upload job (its sorted input paths), so that
+    running the same job twice overwrites instead of appending."""
+    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
+
+
 def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source_dim: DataFrame,
                   sub_source_dim: DataFrame, uploaded_at: str, content_type: str | None = None) -> UploadResult:
     """Convert one or more uploaded files of a feed and store the results.
@@ -71,6 +78,7 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     Unknown feed: nothing is converted and every row is reported skipped
     (the structured path's 'Row <i> skipped: unknown source type')."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    upload_id = upload_id_of(paths)
     kind = "ndjson" if all(p.lower().endswith(".ndjson") for p in paths) else "structured"
     raw = read_upload(spark, paths, kind)
     converted = convert_ndjson(raw, feed) if kind == "ndjson" else converters.convert_feed(raw, feed)
@@ -81,17 +89,17 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
         converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
         converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
     records_path = f"{out_dir.rstrip('/')}/cdf_data"
-    writers.write_records(converted, records_path)
+    writers.write_records(converted.withColumn("upload_id", F.lit(upload_id)), records_path)
 
-    written = spark.read.parquet(records_path).where(F.col("file_name").isin(
-        [p.rsplit("/", 1)[-1] for p in paths]))
+    written = spark.read.parquet(records_path).where(F.col("upload_id") == upload_id)
     summary = checks.upload_summary(written)
     per_file = written.groupBy("file_name").agg(
         F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
         F.count_if(F.col("status") == "saved").alias("saved"))
     meta = checks.upload_metadata(per_file.withColumn("file_uuid", stable_uuid("file_name")),
                                   F.col("source_id"), F.col("sub_source_id"), uploaded_at)
-    meta.write.mode("append").parquet(f"{out_dir.rstrip('/')}/upload_metadata")
+    writers.write_idempotent(meta.withColumn("upload_id", F.lit(upload_id)),
+                             f"{out_dir.rstrip('/')}/upload_metadata", ["upload_id"])
 
     blobs = files.read_binary(spark, paths).drop("content")  # the bytes are never read
     ct = F.lit(content_type) if content_type else F.when(F.lit(kind == "ndjson"), F.lit("application/x-ndjson")).otherwise(F.lit("text/csv"))
@@ -102,7 +110,8 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     )
     named = enrich.with_upload_source_name(cat_rows, source_dim)
     catalog_rows = cat.catalog_rows(named, source_col="source_name")
-    writers.append_catalog(catalog_rows, f"{out_dir.rstrip('/')}/file_catalog")
+    writers.append_catalog(catalog_rows.withColumn("upload_id", F.lit(upload_id)),
+                           f"{out_dir.rstrip('/')}/file_catalog")
     return UploadResult(records_path, summary, catalog_rows)
 
 

@@ -26,7 +26,18 @@ def write_records(converted: DataFrame, path: str, mode: str = "append") -> None
     both, no cache needed."""
     out = converted.withColumn("status", record_status("reject_reason"))
     parts = ["status", "feed"] if "feed" in out.columns else ["status"]
-    out.write.mode(mode).partitionBy(*parts).parquet(path)
+    if "upload_id" in out.columns:
+        write_idempotent(out, path, ["upload_id"] + parts)
+    else:
+        out.write.mode(mode).partitionBy(*parts).parquet(path)
+
+
+def write_idempotent(df: DataFrame, path: str, partition_by) -> None:
+    """Write with dynamic partition overwrite: a job that is run again
+    (after a failure, or by a replayed batch) replaces exactly the partitions
+    it writes -- its own upload id -- and leaves every other one alone."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_by).parquet(path))
 
 
 def read_saved_records(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +86,13 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_catalog(rows: DataFrame, path: str) -> None:
-    """Catalogue rows in the fixed schema."""
+    """Catalogue rows in the fixed schema (keyed by ``upload_id`` when
+    present, so a rerun replaces its own rows)."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in FILE_CATALOG_SCHEMA.fields]
-    rows.select(*cols).write.mode("append").parquet(path)
+    if "upload_id" in rows.columns:
+        write_idempotent(rows.select(*cols, "upload_id"), path, ["upload_id"])
+    else:
+        rows.select(*cols).write.mode("append").parquet(path)
 
 
 TABLE_SCHEMAS = {
