@@ -138,25 +138,6 @@ def is_float_text(c) -> Column:
     return col_(c).rlike(_FLOAT_RE)
 
 
-def number_or(c, default=None) -> Column:
-    """Text to DOUBLE; missing (NULL/blank) gives ``default``.
-
-    Non-numeric text also gives NULL here; pair with :func:`bad_number`
-    to reject such rows.
-    """
-    c = col_(c)
-    v = F.when(is_float_text(c), c.cast("double"))
-    if default is None:
-        return v
-    return F.when(blank_to_null(c).isNull(), F.lit(float(default))).otherwise(v)
-
-
-def bad_number(c) -> Column:
-    """True where a present, non-blank text is not a number."""
-    c = col_(c)
-    return blank_to_null(c).isNotNull() & ~is_float_text(c)
-
-
 def file_extension(name) -> Column:
     """``os.path.splitext(name)[1].lstrip('.').lower()``."""
     return F.lower(F.regexp_extract(col_(name), r"^(?:.*/)?\.*[^/.][^/]*\.([^./]*)$", 1))

@@ -193,8 +193,3 @@ def exif_time_fields(v) -> tuple[Column, Column, Column]:
     dt = exif_datetime(v)
     stamp = F.coalesce(F.concat(F.date_format(dt, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), col_(v))
     return stamp, F.date_format(dt, "yyyy-MM-dd"), F.date_format(dt, "HH:mm:ss")
-
-
-def utc_now_text(now: str) -> Column:
-    """Upload time is a job parameter 'YYYY-MM-DD HH:MM:SS' (reproducible)."""
-    return F.lit(now)

@@ -87,9 +87,9 @@ def structured_cells(df: DataFrame) -> DataFrame:
     ])
 
 
-def _raw_json(columns) -> Column:
-    return F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns if c not in ID_COLUMNS]),
-                     {"ignoreNullFields": "false"})
+def _raw_json(df: DataFrame) -> Column:
+    """J5 + J6: the raw row (without the id columns) as JSON text."""
+    return row_json(df, [c for c in df.columns if c not in ID_COLUMNS])
 
 
 def _finish(df: DataFrame, feed: str, values: dict, checks: list) -> DataFrame:
@@ -140,7 +140,7 @@ def convert_ais(raw_df: DataFrame) -> DataFrame:
     Missing numbers stay NULL (X8), non-numeric text and a blank or bad time
     are rejects (X16)."""
     r = _Raw(raw_df)
-    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df).alias("_raw_json"))
     df = staged(df, *merge_layers(
         [{"_ts_text": text_or_empty(first_present(r("timestamp"), r("basedatetime")))}]
         + iso_timestamp_layers(F.col("_ts_text"), "_ts"),
@@ -184,7 +184,7 @@ def convert_p8i_csv(raw_df: DataFrame) -> DataFrame:
     0.0 when the column is absent) fills both bearing and course."""
     r = _Raw(raw_df)
     h = P8I_CSV_HEADERS
-    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df).alias("_raw_json"))
     df = staged(df, *merge_layers(
         python_timestamp_layers(r(h["date"]), r(h["time"]), "_ts"),
         dms_layers(r(h["lat"]), "_lat"),
@@ -278,7 +278,7 @@ def convert_piracy(raw_df: DataFrame) -> DataFrame:
     """D3: piracy incident rows: J1 time from date+time, coordinates passed
     through as numbers, trimmed vessel name, the row as JSON."""
     r = _Raw(raw_df)
-    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df.columns).alias("_raw_json"))
+    df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df).alias("_raw_json"))
     df = staged(df, *merge_layers(
         python_timestamp_layers(r("date"), r("time"), "_ts"),
         numbers_layers([(r("latitude"), "_lat", None, "latitude"), (r("longitude"), "_lon", None, "longitude")]),

@@ -467,6 +467,9 @@ def _build() -> None:
                                 "cast(count(*) filter (where reject_reason is null) as bigint) as saved, "
                                 "cast(count(*) filter (where reject_reason is not null) as bigint) as failed "
                                 "from all_rec group by file_name) a left join dm_att d on a.file_name = d.file_name")
+    o["upload_failures"] = _with(records_ctes(), "select " + uuid_of("file_name") + " as file_uuid, file_name, row_no, "
+                                 "'Row ' || cast(row_no as varchar) || ' failed: ' || reject_reason as message "
+                                 "from all_rec where reject_reason is not null")
     o["upload_metadata_list"] = _with(
         records_ctes(),
         "select a.file_name, s.name as source, ss.name as sub_source, upper(regexp_extract(a.file_name, '\\.([^./]+)$', 1)) "

@@ -300,6 +300,11 @@ def upload_summary(spark, sf):
     return checks.upload_summary(all_records(spark, sf))
 
 
+def upload_failures(spark, sf):
+    """one 'Row <n> failed: <reason>' line per rejected row, per file."""
+    return checks.failure_messages(all_records(spark, sf))
+
+
 def upload_metadata_list(spark, sf):
     """F4 + E3 + H1: upload_metadata rows with source names, newest first."""
     s, ss = dims(spark, sf)
@@ -401,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "sub_sources_of": sub_sources_of,
     "upload_source_name": upload_source_name,
     "upload_summary": upload_summary,
+    "upload_failures": upload_failures,
     "upload_metadata_list": upload_metadata_list,
     "duplicate_uuids": duplicate_uuids,
     "fk_violations": fk_violations,

@@ -58,13 +58,6 @@ def write_table(df: DataFrame, target: str, mode: str = "append", jdbc: dict | N
         df.write.mode(mode).parquet(target)
 
 
-def write_routed_p8i(converted: DataFrame, base: str, mode: str = "append") -> None:
-    """B2 after C13: each P8I row to the tracking or ESM table in one write,
-    partitioned by target; unroutable rows land under ``target_table=NULL``
-    with their reason."""
-    converted.write.mode(mode).partitionBy("target_table").parquet(base)
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A query result as CSV with a header, written by the executors."""
     df.write.mode(mode).option("header", True).csv(path)
