@@ -38,9 +38,12 @@ def _shared_plan(fn):
 
     def wrapper(spark, sf):
         key = (fn.__name__, id(spark), sf)
-        if key not in _PLANS:
-            _PLANS[key] = fn(spark, sf)
-        return _PLANS[key]
+        hit = _PLANS.get(key)
+        # the entry holds the session itself, so its id cannot be reused
+        # while cached; a stopped context is never served again
+        if hit is None or hit[0] is not spark or hit[1] is not spark.sparkContext._jsc:
+            hit = _PLANS[key] = (spark, spark.sparkContext._jsc, fn(spark, sf))
+        return hit[2]
 
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__

@@ -196,9 +196,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read the same table share it (and Spark reuses the exchange)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = ensure_parallelism(spark.read.parquet(path))
-    return _TABLES[key]
+    hit = _TABLES.get(key)
+    if hit is None or hit[0] is not spark or hit[1] is not spark.sparkContext._jsc:
+        hit = _TABLES[key] = (spark, spark.sparkContext._jsc, ensure_parallelism(spark.read.parquet(path)))
+    return hit[2]
 
 
 def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
