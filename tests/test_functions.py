@@ -114,3 +114,29 @@ def test_exif_time_and_coordinates(spark):
     r = df.select(stamp.alias("s"), d.alias("d"), t.alias("t"), coords.coordinates_text("a", "b").alias("c")).collect()
     assert (r[0]["s"], r[0]["d"], r[0]["t"], r[0]["c"]) == ("2024-03-05T10:20:30Z", "2024-03-05", "10:20:30", "1.500000, 2.250000")
     assert (r[1]["s"], r[1]["d"], r[1]["c"]) == ("not a date", None, None)
+
+
+def test_row_json_nan_and_nulls(spark):
+    df = spark.createDataFrame([(float("nan"), None, "x")], "a double, b string, c string")
+    js = df.select(records.row_json(df).alias("j")).first()["j"]
+    assert js == '{"a":null,"b":null,"c":"x"}'
+
+
+def test_wkt_and_info_map(spark):
+    from tidewater.sources.office import document_info_map
+
+    df = spark.createDataFrame([("POINT(1.5 -2)",), ("POINT (a b)",), (None,)], "p string")
+    assert [r[0] for r in df.select(coords.wkt_or_invalid("p")).collect()] == ["POINT(1.5 -2)", "Invalid geometry", None]
+    m = spark.createDataFrame([({"/Title": "T", "/Author": "", "/Pages": "3"},)], "m map<string,string>")
+    assert m.select(document_info_map(F.col("m")).alias("x")).first()["x"] == {"Title": "T", "Pages": "3"}
+
+
+def test_first_match_and_upload_metadata(spark):
+    from tidewater.operators import checks, enrich
+
+    src = spark.createDataFrame([(3, "ais"), (2, "AIS"), (1, "Piracy")], "id int, name string")
+    assert enrich.first_match(src, F.lower("name") == "ais").first()["id"] == 2
+    summary = spark.createDataFrame([("u", "a.csv", 5)], "file_uuid string, file_name string, saved long")
+    m = checks.upload_metadata(summary, 2, 1, "2025-01-01 00:00:00").first()
+    assert (m["format"], m["record_count"], m["source_id"]) == ("CSV", 5, 2)
+    assert m["timestamp"] == dt.datetime(2025, 1, 1)
