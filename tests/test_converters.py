@@ -105,3 +105,13 @@ def test_routing_and_dispatch(spark):
     conv = [x[0] for x in df.select(C.p8i_converter_name(F.col("sub_source_name"))).collect()]
     assert conv == ["tracking", "tracking", "p8i_csv", "p8i_csv", "p8i_csv"]
     assert C.convert_feed(df, "radar") is None
+
+
+def test_refine_with_sql_writes_csv(spark, tmp_path):
+    from tidewater.operators.refine import refine_with_sql
+
+    rec = spark.createDataFrame([(1.0, 2.0, 11.0), (1.0, 2.0, None), (3.0, 4.0, 9.0)],
+                                "latitude double, longitude double, speed double")
+    out = refine_with_sql(rec, 10, str(tmp_path / "refined"))
+    assert [r["speed"] for r in out.collect()] == [11.0]
+    assert any(p.name.endswith(".csv") for p in (tmp_path / "refined").iterdir())

@@ -21,6 +21,7 @@ from ..functions.timestamps import iso_text
 from ..operators import catalog as cat
 from ..operators import checks, enrich, media
 from ..operators import converters as conv
+from ..operators.refine import refine_with_sql
 from ..operators.routing import route_p8i
 from ..sources import feeds
 
@@ -135,9 +136,9 @@ def _date_text(c: str):
 # ---- queries ------------------------------------------------------------------
 
 def refined_speed(spark, sf, threshold: float = 10.0):
-    """C1 (flagship): latitude, longitude, speed of AIS records over a speed."""
-    rec = saved(conv.convert_ais(raw_ais(spark, sf)))
-    return rec.where(F.col("speed") > threshold).select("latitude", "longitude", "speed")
+    """C1 (flagship): latitude, longitude, speed of AIS records over a speed,
+    as parameterised SQL over the converted records."""
+    return refine_with_sql(saved(conv.convert_ais(raw_ais(spark, sf))), threshold)
 
 
 def ais_to_cdf(spark, sf):
