@@ -140,3 +140,10 @@ def test_first_match_and_upload_metadata(spark):
     m = checks.upload_metadata(summary, 2, 1, "2025-01-01 00:00:00").first()
     assert (m["format"], m["record_count"], m["source_id"]) == ("CSV", 5, 2)
     assert m["timestamp"] == dt.datetime(2025, 1, 1)
+
+
+def test_word_count_matches_python_split(spark):
+    samples = ["a b", "x　y z", " lead trail ", "p\x1cq", "", "   ", "one", "tab\tsep\nnl"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = [r[0] for r in df.select(text.word_count("t")).collect()]
+    assert got == [len(s.split()) for s in samples]

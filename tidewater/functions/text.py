@@ -159,9 +159,16 @@ def preview(c, n: int = 200) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+# Python whitespace that Java's \\s does not know, mapped to a space first.
+_EXTRA_WS = "".join(ch for ch in WS_CHARS if ch not in " \t\n\u000b\u000c\r")
+
+
 def word_count(c) -> Column:
-    """``len(text.split())`` -- runs of non-whitespace, no array built."""
-    return F.regexp_count(F.coalesce(col_(c), F.lit("")), F.lit(NOT_WS + "+"))
+    """``len(text.split())`` -- runs of non-whitespace, no array built.
+    The extra Unicode whitespace is translated to spaces (a character map)
+    so the simple ``\\S+`` pattern counts exactly what Python splits on."""
+    spaced = F.translate(F.coalesce(col_(c), F.lit("")), _EXTRA_WS, " " * len(_EXTRA_WS))
+    return F.regexp_count(spaced, F.lit(r"\S+"))
 
 
 def first_paragraph(c) -> Column:
