@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, WS, col_, is_float_text, staged, strip_ws
+from .text import WS, col_, is_float_text, staged, strip_ws, to_ascii_space
 
-_TWO_TOKENS = f"^{NOT_WS}+{WS}+{NOT_WS}+$"
 
 
 def dms_layers(src, out: str):
@@ -24,10 +23,11 @@ def dms_layers(src, out: str):
 
     return [
         {p + "raw": col_(src).cast("string")},
-        {p + "s": strip_ws(c("raw"))},
-        {p + "two": c("s").rlike(_TWO_TOKENS),
-         p + "dir": F.regexp_extract(c("s"), f"({NOT_WS}+)$", 1),
-         p + "parts": F.split(F.regexp_extract(c("s"), f"^({NOT_WS}+)", 1), ":", -1)},
+        # Python-only whitespace becomes a space, so Java's \s/\S classes apply
+        {p + "s": to_ascii_space(strip_ws(c("raw")))},
+        {p + "two": c("s").rlike(r"^\S+\s+\S+$"),
+         p + "dir": F.regexp_extract(c("s"), r"(\S+)$", 1),
+         p + "parts": F.split(F.regexp_extract(c("s"), r"^(\S+)", 1), ":", -1)},
         {p + "p0": F.get(c("parts"), 0), p + "p1": F.get(c("parts"), 1), p + "p2": F.get(c("parts"), 2)},
         {p + "ok": F.coalesce(c("two") & (F.size(c("parts")) == 3) & is_float_text(c("p0"))
                               & is_float_text(c("p1")) & is_float_text(c("p2")), F.lit(False))},

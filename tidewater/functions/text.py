@@ -163,11 +163,17 @@ def preview(c, n: int = 200) -> Column:
 _EXTRA_WS = "".join(ch for ch in WS_CHARS if ch not in " \t\n\u000b\u000c\r")
 
 
+def to_ascii_space(c) -> Column:
+    """Map the whitespace Python knows but Java's ``\\s`` does not to a
+    plain space (a per-character translation, no regex)."""
+    return F.translate(col_(c), _EXTRA_WS, " " * len(_EXTRA_WS))
+
+
 def word_count(c) -> Column:
     """``len(text.split())`` -- runs of non-whitespace, no array built.
     The extra Unicode whitespace is translated to spaces (a character map)
     so the simple ``\\S+`` pattern counts exactly what Python splits on."""
-    spaced = F.translate(F.coalesce(col_(c), F.lit("")), _EXTRA_WS, " " * len(_EXTRA_WS))
+    spaced = to_ascii_space(F.coalesce(col_(c), F.lit("")))
     return F.regexp_count(spaced, F.lit(r"\S+"))
 
 
