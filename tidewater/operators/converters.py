@@ -184,6 +184,9 @@ def convert_p8i_csv(raw_df: DataFrame) -> DataFrame:
     0.0 when the column is absent) fills both bearing and course."""
     r = _Raw(raw_df)
     h = P8I_CSV_HEADERS
+    missing = [k for k in (h["date"], h["time"], h["lat"], h["lon"], h["speed"]) if not r.has(k)]
+    if missing:  # known when the plan is built: every row fails the same way, nothing to parse
+        return _finish(raw_df, "P8I", {"raw_data": _raw_json(raw_df)}, [_missing(missing[0])])
     df = raw_df.select(*[F.col(f"`{c}`") for c in raw_df.columns], _raw_json(raw_df).alias("_raw_json"))
     df = staged(df, *merge_layers(
         python_timestamp_layers(r(h["date"]), r(h["time"]), "_ts"),
@@ -202,8 +205,7 @@ def convert_p8i_csv(raw_df: DataFrame) -> DataFrame:
         "logged_timestamp": F.col("_ts"),
         "raw_data": F.col("_raw_json"),
     }
-    checks = [_missing(k) for k in (h["date"], h["time"], h["lat"], h["lon"], h["speed"]) if not r.has(k)]
-    checks += [_err("_ts"), _err("_lat"), _err("_lon"), _err("_speed"), _err("_course")]
+    checks = [_err("_ts"), _err("_lat"), _err("_lon"), _err("_speed"), _err("_course")]
     return _finish(df, "P8I", values, checks)
 
 
