@@ -72,7 +72,7 @@ def text_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     t = F.col(text_col)
     return docs.select(
         F.col(id_col),
-        F.length(t).alias("text_length"),
-        word_count(t).alias("word_count"),
+        F.length(t).cast("long").alias("text_length"),
+        word_count(t).cast("long").alias("word_count"),
         preview(first_paragraph(t)).alias("first_paragraph"),
     )
