@@ -1,6 +1,5 @@
 """File-level tests: readers, binary decoders, ingest job, writers."""
 
-import datetime as dt
 import os
 import tempfile
 
