@@ -90,3 +90,42 @@ def test_dms_matches_spec(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
     got = [r["x"] for r in add_dms(df, F.col("v"), "x").collect()]
     assert got == [dms_spec(t) for t in texts]
+
+
+def strptime_or_none(text, fmt):
+    if text is None or text.strip() == "":
+        return "blank"
+    try:
+        return dt.datetime.strptime(text.strip(), fmt)
+    except ValueError:
+        return None
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(
+    st.one_of(st.builds(lambda a, b, y: f"{a}-{b}-{y}", st.integers(0, 32), st.integers(0, 13),
+                        st.sampled_from(["2024", "2023", "99"])),
+              st.sampled_from(["", " ", "2024-01-02", "1-1-2024 ", None])),
+    st.one_of(st.builds(lambda h, m, s: f"{h}:{m}:{s}", st.integers(0, 25), st.integers(0, 61), st.integers(0, 61)),
+              st.sampled_from(["", "7:05", "07:05:03", " 7:5:3 ", "7:05:03.5", None])),
+), min_size=40, max_size=80))
+def test_strict_date_time_match_strptime(spark, pairs):
+    from tidewater.functions.timestamps import add_strict_date, add_strict_time
+
+    df = spark.createDataFrame(pairs, "d string, t string")
+    out = add_strict_time(add_strict_date(df, F.col("d"), "dmy", "dd"), F.col("t"), "tt").collect()
+    for (d, t), r in zip(pairs, out):
+        want_d = strptime_or_none(d, "%d-%m-%Y")
+        want_t = strptime_or_none(t, "%H:%M:%S")
+        if want_d == "blank":
+            assert r["dd"] is None and r["dd_err"] is None
+        elif want_d is None:
+            assert r["dd"] is None and r["dd_err"].startswith("Invalid date format")
+        else:
+            assert r["dd"] == want_d.date()
+        if want_t == "blank":
+            assert r["tt"] is None and r["tt_err"] is None
+        elif want_t is None:
+            assert r["tt"] is None and r["tt_err"].startswith("Invalid time format")
+        else:
+            assert r["tt"] == want_t.strftime("%H:%M:%S")
