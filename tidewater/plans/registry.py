@@ -39,11 +39,14 @@ def _shared_plan(fn):
 
     def wrapper(spark, sf):
         key = (fn.__name__, id(spark), sf)
+        ctx = feeds._context_of(spark)
         hit = _PLANS.get(key)
         # the entry holds the session itself, so its id cannot be reused
         # while cached; a stopped context is never served again
-        if hit is None or hit[0] is not spark or hit[1] is not spark.sparkContext._jsc:
-            hit = _PLANS[key] = (spark, spark.sparkContext._jsc, fn(spark, sf))
+        if ctx is None or hit is None or hit[0] is not spark or hit[1] is not ctx:
+            hit = (spark, ctx, fn(spark, sf))
+            if ctx is not None:
+                _PLANS[key] = hit
         return hit[2]
 
     wrapper.__name__ = fn.__name__

@@ -184,8 +184,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     count, which AQE leaves alone) fixes that; a big input already has enough
     splits and is returned unchanged, with no shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # a client session without RDD access: leave the plan alone
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 _TABLES: dict = {}
@@ -196,12 +200,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read the same table share it (and Spark reuses the exchange)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path)
+    ctx = _context_of(spark)
     hit = _TABLES.get(key)
-    if hit is None or hit[0] is not spark or hit[1] is not spark.sparkContext._jsc:
-        hit = _TABLES[key] = (spark, spark.sparkContext._jsc, ensure_parallelism(spark.read.parquet(path)))
+    if ctx is None or hit is None or hit[0] is not spark or hit[1] is not ctx:
+        hit = (spark, ctx, ensure_parallelism(spark.read.parquet(path)))
+        if ctx is not None:
+            _TABLES[key] = hit
     return hit[2]
 
 
+def _context_of(spark: SparkSession):
+    """The live JVM context of a classic session (None for a client session)."""
+    try:
+        return spark.sparkContext._jsc
+    except Exception:
+        return None
+
+
 def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived raw feed (or dimension) as a DataFrame."""
     if name == "exif_tags":
