@@ -12,6 +12,8 @@ fields (C10). Parsers are staged projections (see ``functions.text.staged``).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ from ..functions.text import (
     first_present,
     is_int_text,
     na_to_null,
+    merge_layers,
     norm_header_esm,
     norm_header_tracking,
-    merge_layers,
     normalise_headers,
     numbers_layers,
     staged,
@@ -40,8 +42,6 @@ from ..functions.timestamps import (
 )
 from ..schemas import CDF_SCHEMA, P8I_ESM_SCHEMA, P8I_TRACKING_SCHEMA, PIRATE_ATTACKS_SCHEMA
 
-import itertools
-
 ID_COLUMNS = ("file_name", "row_no")
 _OBS_IDS = itertools.count()
 BLANK_LINE = "Blank line"

@@ -263,7 +263,8 @@ def cdf_export(spark, sf):
 
 
 def cdf_by_file(spark, sf, file_name: str = "ais_view.csv"):
-    """The saved records of one file, by file uuid (pushed-down filter)."""
+    """The saved records of one file, by file uuid (on stored records
+    the equality reaches the Parquet scan as a pushed filter)."""
     rec = saved(all_records(spark, sf))
     fid = stable_uuid(F.lit(file_name))
     return rec.where(F.col("file_uuid") == fid).select(
