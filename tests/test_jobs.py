@@ -56,3 +56,18 @@ def test_store_end_to_end(spark):
     assert jobs.source_name(spark, store, 2) == "AIS"
     with pytest.raises(LookupError):
         jobs.source_name(spark, store, 9)
+
+
+def test_same_name_two_uploads_distinct_ids(spark):
+    d1, d2 = tempfile.mkdtemp(prefix="tidewater-a-"), tempfile.mkdtemp(prefix="tidewater-b-")
+    store = tempfile.mkdtemp(prefix="tidewater-store2-")
+    for d in (d1, d2):
+        open(f"{d}/same.ndjson", "w").write(LINE + "\n")
+    jobs.init_store(spark, store, [(3, "DMAS")], [(1, "Redicent", 4)])
+    jobs.upload(spark, [f"{d1}/same.ndjson"], "dmas", store, "2025-01-01 00:00:00")
+    jobs.upload(spark, [f"{d2}/same.ndjson"], "dmas", store, "2025-01-02 00:00:00")
+    jobs.upload(spark, [f"{d2}/same.ndjson"], "dmas", store, "2025-01-02 00:00:00")  # rerun
+    recs = spark.read.parquet(f"{store}/cdf_data").where("status = 'saved'")
+    assert recs.count() == 2 and recs.select("uuid").distinct().count() == 2
+    cat_ids = {r["uuid"] for r in spark.read.parquet(f"{store}/file_catalog").collect()}
+    assert cat_ids == {r["file_uuid"] for r in recs.collect()}

@@ -19,7 +19,9 @@ def upload_summary(converted: DataFrame, attempted: DataFrame | None = None) ->
     """
     # a file holds one feed: grouping by both keeps a hash aggregate (a
     # string-valued aggregate buffer would force a sort-based one)
-    conv = converted.groupBy("file_name", "feed").agg(
+    if "file_uuid" not in converted.columns:
+        converted = converted.withColumn("file_uuid", stable_uuid("file_name"))
+    conv = converted.groupBy("file_uuid", "file_name", "feed").agg(
         F.count_if(record_status("reject_reason") == "saved").alias("saved"),
         F.count_if(record_status("reject_reason") == "failed").alias("failed"),
         F.count(F.lit(1)).alias("attempted"),
@@ -28,7 +30,7 @@ def upload_summary(converted: DataFrame, attempted: DataFrame | None = None) ->
         att = attempted.groupBy("file_name").agg(F.count(F.lit(1)).alias("_att"))
         conv = conv.join(att, "file_name", "full").withColumn("attempted", F.col("_att"))
     return conv.select(
-        stable_uuid("file_name").alias("file_uuid"), "file_name", "feed",
+        "file_uuid", "file_name", "feed",
         F.col("attempted").cast("long").alias("attempted"),
         F.coalesce(F.col("saved"), F.lit(0)).cast("long").alias("saved"),
         F.coalesce(F.col("failed"), F.lit(0)).cast("long").alias("failed"),

@@ -65,6 +65,14 @@ def convert_ndjson(lines: DataFrame, feed: str) -> DataFrame | None:
     return converters.convert_feed(flat, feed, path="ndjson")
 
 
+def with_upload_ids(converted: DataFrame, scope: str) -> DataFrame:
+    """Record and file ids scoped by the upload: the same file name uploaded
+    twice gives different ids, running the same upload again the same ids
+    (the catalogue row of a file carries its ``file_uuid``)."""
+    return (converted.withColumn("file_uuid", stable_uuid(F.lit(scope), "file_name"))
+            .withColumn("uuid", stable_uuid(F.lit(scope), "file_name", "row_no")))
+
+
 def upload_id_of(paths) -> str:
     """A stable id for one upload job (its sorted input paths), so that
     running the same job twice overwrites instead of appending."""
@@ -88,6 +96,7 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     else:
         converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
         converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
+    converted = with_upload_ids(converted, upload_id)
     records_path = f"{out_dir.rstrip('/')}/cdf_data"
     writers.write_records(converted.withColumn("upload_id", F.lit(upload_id)), records_path)
 
@@ -96,7 +105,7 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     per_file = written.groupBy("file_name").agg(
         F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
         F.count_if(F.col("status") == "saved").alias("saved"))
-    meta = checks.upload_metadata(per_file.withColumn("file_uuid", stable_uuid("file_name")),
+    meta = checks.upload_metadata(per_file.withColumn("file_uuid", stable_uuid(F.lit(upload_id), "file_name")),
                                   F.col("source_id"), F.col("sub_source_id"), uploaded_at)
     writers.write_idempotent(meta.withColumn("upload_id", F.lit(upload_id)),
                              f"{out_dir.rstrip('/')}/upload_metadata", ["upload_id"])
@@ -104,7 +113,7 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     blobs = files.read_binary(spark, paths).drop("content")  # the bytes are never read
     ct = F.lit(content_type) if content_type else F.when(F.lit(kind == "ndjson"), F.lit("application/x-ndjson")).otherwise(F.lit("text/csv"))
     cat_rows = blobs.select(
-        stable_uuid(F.col("filename")).alias("uuid"), "filename",
+        stable_uuid(F.lit(upload_id), F.col("filename")).alias("uuid"), "filename",
         F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
         F.lit(feed).alias("upload_source"),
     )

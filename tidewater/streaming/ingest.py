@@ -41,6 +41,9 @@ def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_di
         conv = converters.convert_feed(converters.structured_cells(raw), feed)
     if conv is None:
         return
+    from ..operators.ingest import with_upload_ids
+
+    conv = with_upload_ids(conv, f"{feed.lower()}:{batch_id}")
     conv = enrich.with_source_id(conv.drop("source_id"), source_dim)
     conv = enrich.with_sub_source_id(conv.drop("sub_source_id"), sub_source_dim)
     out = conv.withColumn("status", converters.record_status("reject_reason"))
