@@ -89,6 +89,43 @@ def raw_esm(spark, sf):
     return conv.structured_cells(df)
 
 
+@_shared_plan
+def conv_ais(spark, sf):
+    return conv.convert_ais(raw_ais(spark, sf))
+
+
+@_shared_plan
+def conv_p8i_csv(spark, sf):
+    return conv.convert_p8i_csv(raw_p8i_csv(spark, sf))
+
+
+@_shared_plan
+def conv_dmas(spark, sf):
+    """DMAS keeps its blank lines (status 'skipped') so counts need one scan."""
+    return conv.convert_dmas(raw_dmas(spark, sf), keep_blank=True)
+
+
+@_shared_plan
+def conv_piracy(spark, sf):
+    return conv.convert_piracy(raw_piracy(spark, sf))
+
+
+@_shared_plan
+def conv_p8i_tracking_feed(spark, sf):
+    """The tracking rows through the P8I upload dispatch."""
+    return conv.convert_feed(raw_tracking(spark, sf), "p8i")
+
+
+@_shared_plan
+def conv_tracking_rows(spark, sf):
+    return conv.convert_p8i_tracking_rows(raw_tracking(spark, sf))
+
+
+@_shared_plan
+def conv_esm(spark, sf):
+    return conv.convert_p8i_esm(raw_esm(spark, sf))
+
+
 @_shared_plan
 def dims(spark, sf):
     return feeds.feed(spark, sf, "source_dim"), feeds.feed(spark, sf, "sub_source_dim")
@@ -98,13 +135,8 @@ def dims(spark, sf):
 def all_converted(spark, sf) -> DataFrame:
     """C11 + I1: every feed through its converter, one union (no shuffle).
     DMAS keeps its blank lines (status 'skipped') so counts need one scan."""
-    parts = [
-        conv.convert_feed(raw_ais(spark, sf), "AIS"),
-        conv.convert_feed(raw_p8i_csv(spark, sf), "P8I"),
-        conv.convert_dmas(raw_dmas(spark, sf), keep_blank=True),
-        conv.convert_feed(raw_piracy(spark, sf), "piracy"),
-        conv.convert_feed(raw_tracking(spark, sf), "p8i"),
-    ]
+    parts = [conv_ais(spark, sf), conv_p8i_csv(spark, sf), conv_dmas(spark, sf), conv_piracy(spark, sf),
+             conv_p8i_tracking_feed(spark, sf)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -141,11 +173,11 @@ def _date_text(c: str):
 def refined_speed(spark, sf, threshold: float = 10.0):
     """C1 (flagship): latitude, longitude, speed of AIS records over a speed,
     as parameterised SQL over the converted records."""
-    return refine_with_sql(saved(conv.convert_ais(raw_ais(spark, sf))), threshold)
+    return refine_with_sql(saved(conv_ais(spark, sf)), threshold)
 
 
 def ais_to_cdf(spark, sf):
-    return saved(conv.convert_ais(raw_ais(spark, sf))).select(
+    return saved(conv_ais(spark, sf)).select(
         "row_no", "uuid", "file_uuid", "logged_timestamp", "vessel_name", "imo", "mmsi",
         "latitude", "longitude", "speed", "course")
 
@@ -155,42 +187,42 @@ def _rejects(df):
 
 
 def ais_rejects(spark, sf):
-    return _rejects(conv.convert_ais(raw_ais(spark, sf)))
+    return _rejects(conv_ais(spark, sf))
 
 
 def raw_data_json(spark, sf):
     """The stored raw row, read back field by field."""
-    rec = saved(conv.convert_ais(raw_ais(spark, sf)))
+    rec = saved(conv_ais(spark, sf))
     return rec.select("row_no", *[F.get_json_object("raw_data", f"$.{k}").alias(k)
                                   for k in ("mmsi", "sog", "heading", "vesselname")])
 
 
 def p8i_csv_to_cdf(spark, sf):
-    return saved(conv.convert_p8i_csv(raw_p8i_csv(spark, sf))).select(
+    return saved(conv_p8i_csv(spark, sf)).select(
         "row_no", "uuid", "logged_timestamp", "latitude", "longitude", "speed", "bearing", "course")
 
 
 def p8i_csv_rejects(spark, sf):
-    return _rejects(conv.convert_p8i_csv(raw_p8i_csv(spark, sf)))
+    return _rejects(conv_p8i_csv(spark, sf))
 
 
 def dmas_to_cdf(spark, sf):
-    return saved(conv.convert_dmas(raw_dmas(spark, sf))).select(
+    return saved(conv_dmas(spark, sf)).select(
         "row_no", "uuid", "latitude", "longitude", "speed", "bearing", "course", "logged_timestamp",
         "sys_trk_no", "location")
 
 
 def dmas_rejects(spark, sf):
-    return _rejects(conv.convert_dmas(raw_dmas(spark, sf)))
+    return _rejects(conv_dmas(spark, sf))
 
 
 def piracy_to_cdf(spark, sf):
-    return saved(conv.convert_piracy(raw_piracy(spark, sf))).select(
+    return saved(conv_piracy(spark, sf)).select(
         "row_no", "uuid", "logged_timestamp", "latitude", "longitude", "vessel_name")
 
 
 def piracy_rejects(spark, sf):
-    return _rejects(conv.convert_piracy(raw_piracy(spark, sf)))
+    return _rejects(conv_piracy(spark, sf))
 
 
 def pirate_attacks_load(spark, sf):
@@ -198,20 +230,18 @@ def pirate_attacks_load(spark, sf):
 
 
 def p8i_tracking(spark, sf):
-    t = conv.convert_p8i_tracking_rows(raw_tracking(spark, sf))
-    return saved(t).select(
+    return saved(conv_tracking_rows(spark, sf)).select(
         "row_no", "uuid", "file_uuid", _date_text("msg_date"), "msg_time", "change_type", "latitude", "longitude",
         "altitude", "course", "bearing", "speed", _date_text("position_valid_date"), "position_valid_time",
         "trk_short_name", "sub_source_name")
 
 
 def p8i_tracking_rejects(spark, sf):
-    return _rejects(conv.convert_p8i_tracking_rows(raw_tracking(spark, sf)))
+    return _rejects(conv_tracking_rows(spark, sf))
 
 
 def p8i_esm(spark, sf):
-    e = conv.convert_p8i_esm(raw_esm(spark, sf))
-    return saved(e).select(
+    return saved(conv_esm(spark, sf)).select(
         "row_no", "uuid", "file_uuid", _date_text("msg_date"), "msg_time", "emitter", "emitter_enumeration",
         "beam_enumeration", "change_type", "amplitude", "frequency", _date_text("Position Valid Date YYYYMMDD"),
         "`Position Valid Time`", "azimuth_degree", "latitude", "longitude", "azimuth_accuracy_degree",
@@ -219,7 +249,7 @@ def p8i_esm(spark, sf):
 
 
 def p8i_esm_rejects(spark, sf):
-    return _rejects(conv.convert_p8i_esm(raw_esm(spark, sf)))
+    return _rejects(conv_esm(spark, sf))
 
 
 def _p8i_inputs(spark, sf):
