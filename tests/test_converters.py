@@ -115,3 +115,25 @@ def test_refine_with_sql_writes_csv(spark, tmp_path):
     out = refine_with_sql(rec, 10, str(tmp_path / "refined"))
     assert [r["speed"] for r in out.collect()] == [11.0]
     assert any(p.name.endswith(".csv") for p in (tmp_path / "refined").iterdir())
+
+
+def test_ndjson_paths_for_other_feeds(spark):
+    """AIS, piracy and P8I records in NDJSON go through the same
+    converters (keys compared lower-cased); P8I uses the NDJSON name list."""
+    from tidewater.operators.ingest import convert_ndjson
+
+    def lines(*objs):
+        return spark.createDataFrame([("f.ndjson", i, o) for i, o in enumerate(objs)],
+                                     "file_name string, row_no long, value string")
+
+    ais = convert_ndjson(lines('{"BaseDateTime": "2024-01-01T00:00:00", "LAT": "1", "LON": "2", "SOG": "3", "Heading": "4"}',
+                               ""), "AIS").collect()
+    assert len(ais) == 1 and ais[0]["speed"] == 3.0 and ais[0]["reject_reason"] is None
+    pir = convert_ndjson(lines('{"date": "05-03-2020", "time": "NA", "latitude": "1", "longitude": "2"}'), "Piracy").first()
+    assert pir["logged_timestamp"] == dt.datetime(2020, 3, 5)
+    p8i = {r["row_no"]: r for r in convert_ndjson(lines(
+        '{"sub_source_name": "Garud", "msg_date": "05-03-2024", "speed": "2"}',
+        '{"sub_source_name": "Efficnt", "speed": "2"}'), "p8i").collect()}
+    assert p8i[0]["reject_reason"] is None and p8i[0]["speed"] == 2.0 and p8i[0]["msg_date"] == dt.date(2024, 3, 5)
+    assert p8i[1]["reject_reason"].startswith("Invalid date format") or p8i[1]["reject_reason"].startswith("Invalid coordinate")
+    assert convert_ndjson(lines("{}"), "radar") is None
