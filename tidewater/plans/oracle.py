@@ -480,9 +480,15 @@ def _build() -> None:
     o["duplicate_uuids"] = _with(records_ctes(), "select uuid, count(*) as n from all_rec where reject_reason is null "
                                  "group by uuid having count(*) > 1")
     o["fk_violations"] = _with(
-        f"{file_ctes()}, {feed_cte('source_dim')}",
-        "select uuid, source, cast(source as integer) as source_id from catalog where regexp_matches(source, '^[0-9]+$') "
-        "and cast(source as integer) not in (select id from source_dim)")
+        records_ctes() + ",\n" + file_ctes(),
+        "select 'file_catalog.source' as relation, uuid as key, cast(source as integer) as value from catalog "
+        "where regexp_matches(source, '^[0-9]+$') and cast(source as integer) not in (select id from source_dim) "
+        "union all select 'sub_source.source_id', cast(id as varchar), source_id from sub_source_dim "
+        "where source_id is not null and source_id not in (select id from source_dim) "
+        "union all select 'cdf_data.source_id', uuid, source_id from all_rec where reject_reason is null "
+        "and source_id is not null and source_id not in (select id from source_dim) "
+        "union all select 'cdf_data.sub_source_id', uuid, sub_source_id from all_rec where reject_reason is null "
+        "and sub_source_id is not null and sub_source_id not in (select id from sub_source_dim)")
     kind = ("(case when content_type in ('application/x-ndjson', 'application/json') or ends_with(lower(filename), '.ndjson') "
             "then 'ndjson' when content_type in ('text/csv', 'application/vnd.ms-excel', "
             "'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet') or ends_with(lower(filename), '.csv') "

@@ -363,11 +363,25 @@ def duplicate_uuids(spark, sf):
 
 
 def fk_violations(spark, sf):
-    """uploads naming a source id that does not exist."""
-    s, _ = dims(spark, sf)
+    """rows whose reference has no parent, for every declared reference:
+    records -> source and sub_source, sub_source -> source, and uploads that
+    name a source id (left anti joins against the parents' keys)."""
+    s, ss = dims(spark, sf)
+    rec = saved(all_records(spark, sf))
     c = catalog(spark, sf).where(is_all_digits(F.col("source")))
     c = c.withColumn("source_id", F.col("source").try_cast("int"))
-    return checks.foreign_key_violations(c, "source_id", s).select("uuid", "source", "source_id")
+    parts = [
+        ("file_catalog.source", c, "uuid", "source_id", s),
+        ("sub_source.source_id", ss.withColumn("key", F.col("id").cast("string")), "key", "source_id", s),
+        ("cdf_data.source_id", rec, "uuid", "source_id", s),
+        ("cdf_data.sub_source_id", rec, "uuid", "sub_source_id", ss),
+    ]
+    out = None
+    for relation, child, key, col, parent in parts:
+        v = checks.foreign_key_violations(child, col, parent).select(
+            F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"), F.col(col).cast("int").alias("value"))
+        out = v if out is None else out.unionByName(v)
+    return out
 
 
 def file_kind(spark, sf):
