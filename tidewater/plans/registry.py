@@ -43,7 +43,7 @@ def _shared_plan(fn):
         hit = _PLANS.get(key)
         # the entry holds the session itself, so its id cannot be reused
         # while cached; a stopped context is never served again
-        if ctx is None or hit is None or hit[0] is not spark or hit[1] is not ctx:
+        if ctx is None or hit is None or hit[0] is not spark or hit[1] != ctx:
             hit = (spark, ctx, fn(spark, sf))
             if ctx is not None:
                 _PLANS[key] = hit

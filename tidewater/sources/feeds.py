@@ -202,7 +202,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), path)
     ctx = _context_of(spark)
     hit = _TABLES.get(key)
-    if ctx is None or hit is None or hit[0] is not spark or hit[1] is not ctx:
+    if ctx is None or hit is None or hit[0] is not spark or hit[1] != ctx:
         hit = (spark, ctx, ensure_parallelism(spark.read.parquet(path)))
         if ctx is not None:
             _TABLES[key] = hit
@@ -210,9 +210,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _context_of(spark: SparkSession):
-    """The live JVM context of a classic session (None for a client session)."""
+    """The application id of a classic session's context (a restarted
+    context gets a new one); None for a client session."""
     try:
-        return spark.sparkContext._jsc
+        return spark.sparkContext.applicationId
     except Exception:
         return None
 
