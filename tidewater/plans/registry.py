@@ -370,18 +370,10 @@ def fk_violations(spark, sf):
     rec = saved(all_records(spark, sf))
     c = catalog(spark, sf).where(is_all_digits(F.col("source")))
     c = c.withColumn("source_id", F.col("source").try_cast("int"))
-    parts = [
-        ("file_catalog.source", c, "uuid", "source_id", s),
-        ("sub_source.source_id", ss.withColumn("key", F.col("id").cast("string")), "key", "source_id", s),
-        ("cdf_data.source_id", rec, "uuid", "source_id", s),
-        ("cdf_data.sub_source_id", rec, "uuid", "sub_source_id", ss),
-    ]
-    out = None
-    for relation, child, key, col, parent in parts:
-        v = checks.foreign_key_violations(child, col, parent).select(
-            F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"), F.col(col).cast("int").alias("value"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    return (checks.reference_violations(c, "uuid", [("file_catalog.source", "source_id", s)])
+            .unionByName(checks.reference_violations(ss, "id", [("sub_source.source_id", "source_id", s)]))
+            .unionByName(checks.reference_violations(rec, "uuid", [("cdf_data.source_id", "source_id", s),
+                                                                   ("cdf_data.sub_source_id", "sub_source_id", ss)])))
 
 
 def file_kind(spark, sf):
