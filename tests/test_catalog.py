@@ -72,3 +72,10 @@ def test_constraints(spark):
     assert [r["uuid"] for r in checks.duplicate_keys(df).collect()] == ["a"]
     src = spark.createDataFrame([(1, "x"), (2, "y")], SOURCE_SCHEMA)
     assert [r["source_id"] for r in checks.foreign_key_violations(df, "source_id", src).collect()] == [9]
+
+
+def test_lookup_one_file(spark):
+    c = cat.catalog_rows(files(spark))
+    assert cat.lookup_file(c, "u1").first()["found"] is False
+    assert cat.lookup_file(c, "u3").first()["current_uuid"] == "u3"
+    assert cat.lookup_file(c, "nope").count() == 0

@@ -114,7 +114,7 @@ def file_history(spark: SparkSession, store: str) -> DataFrame:
 def file_metadata(spark: SparkSession, store: str, uuid: str) -> DataFrame:
     """C3 + E7: one catalogue entry by uuid with where its bytes are and
     whether that object is still this upload; empty frame = not found."""
-    return cat.file_by_uuid(spark.read.parquet(_p(store, "file_catalog"))).where(F.col("uuid") == uuid)
+    return cat.lookup_file(spark.read.parquet(_p(store, "file_catalog")), uuid)
 
 
 def download_file_records(spark: SparkSession, store: str, file_uuid: str, out_csv: str) -> None:

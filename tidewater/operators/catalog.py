@@ -124,3 +124,20 @@ def file_by_uuid(catalog: DataFrame) -> DataFrame:
 def with_size_mb(catalog: DataFrame) -> DataFrame:
     """J16."""
     return catalog.withColumn("size_mb", size_mb(F.col("size")))
+
+
+def lookup_file(catalog: DataFrame, uuid: str) -> DataFrame:
+    """E7 for one uuid: the entry (an equality the Parquet scan can push
+    down), and whether the object stored under its bucket and filename is
+    still this upload. Only rows with that bucket and filename are
+    aggregated (semi join against the one matched key), not the catalogue."""
+    from .enrich import checked_broadcast
+
+    entry = catalog.where(F.col("uuid") == F.lit(uuid))
+    key = checked_broadcast(entry.select("bucket", "filename").distinct())
+    same_name = catalog.join(key, ["bucket", "filename"], "left_semi")
+    cur = latest_objects(same_name.select("bucket", "filename", "timestamp", "uuid")).select(
+        "bucket", "filename", F.col("uuid").alias("current_uuid"))
+    j = entry.join(cur, ["bucket", "filename"], "left")
+    return j.select("uuid", "bucket", "filename", "content_type",
+                    (F.col("current_uuid") == F.col("uuid")).alias("found"), "current_uuid")
