@@ -154,6 +154,8 @@ FEED_SQL = {
     ),
 }
 
+DIMENSIONS = ("source_dim", "sub_source_dim")
+
 # which driver tables each derivation reads
 FEED_TABLES = {
     "source_dim": ("region",), "sub_source_dim": ("nation",), "ais_raw": ("events",),
@@ -195,10 +197,13 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
 _TABLES: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A driver table (A5), one scan plan per session and path: feeds that
-    read the same table share it (and Spark reuses the exchange)."""
+    read the same table share it. ``spread=False`` for dimension tables,
+    which feed broadcast joins and gain nothing from more partitions."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if not spread:
+        return spark.read.parquet(path)
     key = (id(spark), path)
     ctx = _context_of(spark)
     hit = _TABLES.get(key)
@@ -222,7 +227,8 @@ def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived raw feed (or dimension) as a DataFrame."""
     if name == "exif_tags":
         return exif_tags(spark, sf_dir)
-    tables = {t: table(spark, sf_dir, t) for t in FEED_TABLES[name]}
+    spread = name not in DIMENSIONS
+    tables = {t: table(spark, sf_dir, t, spread) for t in FEED_TABLES[name]}
     return spark.sql(FEED_SQL[name], **tables)
 
 
