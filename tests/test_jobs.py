@@ -71,3 +71,22 @@ def test_same_name_two_uploads_distinct_ids(spark):
     assert recs.count() == 2 and recs.select("uuid").distinct().count() == 2
     cat_ids = {r["uuid"] for r in spark.read.parquet(f"{store}/file_catalog").collect()}
     assert cat_ids == {r["file_uuid"] for r in recs.collect()}
+
+
+def test_xlsx_upload_and_unknown_feed(spark):
+    from builders import xlsx
+
+    d = tempfile.mkdtemp(prefix="tidewater-x-")
+    store = tempfile.mkdtemp(prefix="tidewater-store3-")
+    xlsx(f"{d}/ais.xlsx", [["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "Heading"],
+                            ["1", "2024-01-01T00:00:00", 1.5, 2.5, 12, 90], ["2", "bad", 1, 2, 3, 4]])
+    jobs.init_store(spark, store, [(2, "AIS")], [(1, "Redicent", 4)])
+    r = jobs.upload(spark, [f"{d}/ais.xlsx"], "AIS", store, "2025-01-01 00:00:00")
+    s = r.summary.first()
+    assert (s["attempted"], s["saved"], s["failed"]) == (2, 1, 1)
+    saved = spark.read.parquet(f"{store}/cdf_data").where("status = 'saved'").first()
+    assert saved["speed"] == 12.0 and saved["latitude"] == 1.5
+    open(f"{d}/radar.csv", "w").write("a,b\n1,2\n3,4\n")
+    u = jobs.upload(spark, [f"{d}/radar.csv"], "radar", store, "2025-01-01 00:00:00")
+    us = u.summary.first()
+    assert (us["attempted"], us["saved"], us["failed"]) == (2, 0, 2)

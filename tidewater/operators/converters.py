@@ -112,7 +112,7 @@ def _finish(df: DataFrame, feed: str, values: dict, checks: list) -> DataFrame:
 
 def observe_status(df: DataFrame, label: str) -> DataFrame:
     """Attach the per-conversion counters (rows, saved, failed) as observed
-    metrics, readable from the action's listener or a stream's progress.
+    metrics, delivered to query execution listeners with each action.
 
     The observation also ends the converter's plan for the optimizer: a
     later filter on ``reject_reason`` is evaluated here instead of being
