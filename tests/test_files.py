@@ -146,3 +146,22 @@ def test_store_p8i_tables(spark):
     assert [r["row_no"] for r in spark.read.parquet(paths["esm"]).where("status = 'saved'").collect()] == [2]
     rej = {r["row_no"]: r["reject_reason"] for r in spark.read.parquet(paths["unrouted"]).collect()}
     assert rej == {3: "Unknown sub_source: Falcon", 4: "Missing 'sub_source_name' in row."}
+
+
+def test_row_numbers_packed_and_split_files(spark):
+    d = tempfile.mkdtemp(prefix="tidewater-rows-")
+    for k, n in (("a", 5), ("b", 3), ("c", 2000)):
+        open(f"{d}/{k}.csv", "w").write("x,y\n" + "".join(f"{k}{i},{i}\n" for i in range(n)))
+    old = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # tiny splits: c.csv spans several tasks, a.csv and b.csv share one
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = files.read_structured(spark, [f"{d}/a.csv", f"{d}/b.csv", f"{d}/c.csv"])
+        assert df.rdd.getNumPartitions() > 2
+        got = {(r["file_name"], r["row_no"]): r["y"] for r in df.collect()}
+    finally:
+        for key, v in old.items():
+            spark.conf.set(key, v)
+    assert len(got) == 2008
+    assert all(got[(f, i)] == str(i) for (f, i) in got)
