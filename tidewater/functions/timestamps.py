@@ -89,12 +89,19 @@ def add_python_timestamp(df, date_c, time_c, out: str):
     return staged(df, *python_timestamp_layers(date_c, time_c, out))
 
 
-def strict_date_layers(src, kind: str, out: str):
+def strict_date_layers(src, kind, out: str):
     """``safe_parse_date``: adds ``out`` (DATE; blank/missing -> NULL)
-    and ``out + '_err'`` ('Invalid date format: <text>' for bad text)."""
+    and ``out + '_err'`` ('Invalid date format: <text>' for bad text).
+
+    ``kind`` is 'dmy', 'ymd', or a boolean Column choosing yyyyMMdd per row
+    (one parse per row when the format depends on which header held it)."""
     p = f"_{out}_"
     raw = col_(src).cast("string")
-    parsed = date_dmy(F.col(p + "s")) if kind == "dmy" else date_ymd(F.col(p + "s"))
+    s = F.col(p + "s")
+    if isinstance(kind, str):
+        parsed = date_dmy(s) if kind == "dmy" else date_ymd(s)
+    else:
+        parsed = F.when(kind, date_ymd(s)).otherwise(date_dmy(s))
     return [
         {p + "s": strip_ws(raw), p + "raw": raw},
         {p + "present": F.coalesce(F.col(p + "s"), F.lit("")) != ""},
@@ -104,7 +111,7 @@ def strict_date_layers(src, kind: str, out: str):
     ]
 
 
-def add_strict_date(df, src, kind: str, out: str):
+def add_strict_date(df, src, kind, out: str):
     return staged(df, *strict_date_layers(src, kind, out))
 
 

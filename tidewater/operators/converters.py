@@ -315,12 +315,11 @@ def convert_p8i_tracking_rows(raw_df: DataFrame) -> DataFrame:
         [{"_use_ymd": F.coalesce(ymd, F.lit("")) != ""}],
         strict_date_layers(r("msg_date"), "dmy", "_msg_date"),
         strict_time_layers(r("msg_time"), "_msg_time"),
-        strict_date_layers(ymd, "ymd", "_pvd_ymd"),
-        strict_date_layers(r("position_valid_date"), "dmy", "_pvd_dmy"),
+        [{}, {"_pvd_src": F.when(F.col("_use_ymd"), ymd).otherwise(r("position_valid_date"))}]
+        + strict_date_layers(F.col("_pvd_src"), F.col("_use_ymd"), "_pvd"),
         strict_time_layers(r("position_valid_time"), "_pvt"),
         numbers_layers([(r(n), f"_{n}", 0.0, n) for n in _TRACK_NUMBERS]),
     ))
-    use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
         "file_uuid": stable_uuid("file_name"),
@@ -328,14 +327,14 @@ def convert_p8i_tracking_rows(raw_df: DataFrame) -> DataFrame:
         "msg_date": F.col("_msg_date"),
         "msg_time": F.col("_msg_time"),
         "change_type": r("change_type"),
-        "position_valid_date": F.when(use_ymd, F.col("_pvd_ymd")).otherwise(F.col("_pvd_dmy")),
+        "position_valid_date": F.col("_pvd"),
         "position_valid_time": F.col("_pvt"),
         "trk_short_name": r("trk_short_name"),
         "sub_source_name": r("sub_source_name"),
     }
     values.update({n: F.col(f"_{n}") for n in _TRACK_NUMBERS})
     checks = [_err("_msg_date"), _err("_msg_time")] + [_err(f"_{n}") for n in _TRACK_NUMBERS] + [
-        F.when(use_ymd, _err("_pvd_ymd")).otherwise(_err("_pvd_dmy")), _err("_pvt")]
+        _err("_pvd"), _err("_pvt")]
     cols = [values[f.name].cast(f.dataType).alias(f.name) for f in P8I_TRACKING_SCHEMA.fields]
     return observe_status(df.select(*cols, F.col("file_name"), F.coalesce(*checks).alias("reject_reason")), "tracking")
 
@@ -368,8 +367,7 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
         "_pos_time": first_present(r("position valid time"), r("position_valid_time"), r("time")),
     })
     df = staged(df, *merge_layers(
-        strict_date_layers(F.col("_pos_date"), "ymd", "_pvd_ymd"),
-        strict_date_layers(F.col("_pos_date"), "dmy", "_pvd_dmy"),
+        strict_date_layers(F.col("_pos_date"), F.col("_use_ymd"), "_pvd"),
         strict_date_layers(r("msg_date"), "dmy", "_msg_date"),
         strict_time_layers(r("msg_time"), "_msg_time"),
         strict_time_layers(F.col("_pos_time"), "_pvt"),
@@ -377,7 +375,6 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
         strict_time_layers(r("last_beam_intercept_time"), "_lbt"),
         numbers_layers([(r(n), f"_{n}", 0.0, n) for n in _ESM_NUMBERS]),
     ))
-    use_ymd = F.col("_use_ymd")
     values = {
         "uuid": stable_uuid("file_name", "row_no"),
         "file_uuid": stable_uuid("file_name"),
@@ -388,7 +385,7 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
         "emitter_enumeration": r("emitter_enumeration"),
         "beam_enumeration": r("beam_enumeration"),
         "change_type": r("change_type"),
-        "Position Valid Date YYYYMMDD": F.when(use_ymd, F.col("_pvd_ymd")).otherwise(F.col("_pvd_dmy")),
+        "Position Valid Date YYYYMMDD": F.col("_pvd"),
         "Position Valid Time": F.col("_pvt"),
         "last_beam_intercept_date": F.col("_lbd"),
         "last_beam_intercept_time": F.col("_lbt"),
@@ -398,7 +395,7 @@ def convert_p8i_esm(raw_df: DataFrame) -> DataFrame:
     checks = [
         F.when(F.col("_pos_date").isNull(), F.lit("Missing required field: Position Valid Date YYYYMMDD")),
         _err("_msg_date"), _err("_msg_time"), _err("_amplitude"), _err("_frequency"),
-        F.when(use_ymd, _err("_pvd_ymd")).otherwise(_err("_pvd_dmy")), _err("_pvt"), _err("_lbd"), _err("_lbt"),
+        _err("_pvd"), _err("_pvt"), _err("_lbd"), _err("_lbt"),
         _err("_azimuth_degree"), _err("_latitude"), _err("_longitude"), _err("_azimuth_accuracy_degree"),
     ]
     cols = [values[f.name].cast(f.dataType).alias(f.name) for f in P8I_ESM_SCHEMA.fields]
