@@ -90,3 +90,22 @@ def test_xlsx_upload_and_unknown_feed(spark):
     u = jobs.upload(spark, [f"{d}/radar.csv"], "radar", store, "2025-01-01 00:00:00")
     us = u.summary.first()
     assert (us["attempted"], us["saved"], us["failed"]) == (2, 0, 2)
+
+
+def test_stream_and_uploads_share_a_store(spark):
+    from tidewater.streaming.ingest import start_file_ingest
+
+    d = tempfile.mkdtemp(prefix="tidewater-sh-")
+    landing = tempfile.mkdtemp(prefix="tidewater-land-")
+    store = tempfile.mkdtemp(prefix="tidewater-store4-")
+    jobs.init_store(spark, store, [(3, "DMAS")], [(1, "Redicent", 4)])
+    open(f"{d}/up.ndjson", "w").write(LINE + "\n")
+    jobs.upload(spark, [f"{d}/up.ndjson"], "dmas", store, "2025-01-01 00:00:00")
+    open(f"{landing}/s.ndjson", "w").write(LINE + "\n" + LINE + "\n")
+    src, sub = spark.read.parquet(f"{store}/source"), spark.read.parquet(f"{store}/sub_source")
+    q = start_file_ingest(spark, landing, store, "DMAS", source_dim=src, sub_source_dim=sub,
+                          checkpoint_location=tempfile.mkdtemp(prefix="tidewater-ck-"))
+    q.awaitTermination(120)
+    recs = spark.read.parquet(f"{store}/cdf_data").where("status = 'saved'")
+    assert recs.count() == 3 and recs.select("upload_id").distinct().count() == 2
+    assert len(jobs.export_cdf(spark, store).collect()) == 3

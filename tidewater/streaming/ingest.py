@@ -3,13 +3,17 @@
 Each file that arrives in the input folder is converted, appended and
 summarised once. The stream reads new files (``readStream``), and every
 micro-batch goes through the same converter as the batch job inside
-``foreachBatch``. Output folders are keyed by batch id and written with
-``overwrite``, so a batch replayed after a failure replaces its own output
-instead of adding duplicates; the checkpoint records which files were taken.
+``foreachBatch``. Each batch writes under its own upload id (stream,
+checkpoint, batch id) with dynamic partition overwrite, in the same layout
+as the batch upload job, so a batch replayed after a failure replaces its
+own output instead of adding duplicates; the checkpoint records which files
+were taken.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,10 +34,11 @@ def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
 
 
 def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_dim: DataFrame,
-             sub_source_dim: DataFrame, kind: str) -> None:
-    if kind == "ndjson":
-        from ..operators.ingest import convert_ndjson
+             sub_source_dim: DataFrame, kind: str, scope: str) -> None:
+    from ..operators.ingest import convert_ndjson, with_upload_ids
+    from ..sinks import writers
 
+    if kind == "ndjson":
         lines = with_file_row_numbers(batch).select("file_name", "row_no", "value")
         conv = convert_ndjson(lines, feed)
     else:
@@ -41,17 +46,17 @@ def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_di
         conv = converters.convert_feed(converters.structured_cells(raw), feed)
     if conv is None:
         return
-    from ..operators.ingest import with_upload_ids
-
-    conv = with_upload_ids(conv, f"{feed.lower()}:{batch_id}")
+    upload_id = f"{scope}-{batch_id}"
+    conv = with_upload_ids(conv, upload_id)
     conv = enrich.with_source_id(conv.drop("source_id"), source_dim)
     conv = enrich.with_sub_source_id(conv.drop("sub_source_id"), sub_source_dim)
-    out = conv.withColumn("status", converters.record_status("reject_reason"))
-    part = f"{out_dir.rstrip('/')}/cdf_data/batch_id={batch_id}"
-    out.write.mode("overwrite").partitionBy("status", "feed").parquet(part)
-    written = batch.sparkSession.read.parquet(part)
-    checks.upload_summary(written).write.mode("overwrite").parquet(
-        f"{out_dir.rstrip('/')}/upload_summary/batch_id={batch_id}")
+    # same layout as the batch upload job (upload_id / status / feed), so both
+    # can write one store; a replayed batch overwrites its own partitions
+    records = f"{out_dir.rstrip('/')}/cdf_data"
+    writers.write_records(conv.withColumn("upload_id", F.lit(upload_id)), records)
+    written = batch.sparkSession.read.parquet(records).where(F.col("upload_id") == upload_id)
+    writers.write_idempotent(checks.upload_summary(written).withColumn("upload_id", F.lit(upload_id)),
+                             f"{out_dir.rstrip('/')}/upload_summary", ["upload_id"])
 
 
 def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str, *, source_dim: DataFrame,
@@ -77,8 +82,11 @@ def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str,
         F.col("_metadata.file_block_start").alias("_file_block_start"),
     )
     name = f"ingest_{feed.lower()}"
-    writer = stream.writeStream.queryName(name).option(
-        "checkpointLocation", _checkpoint(spark, name, checkpoint_location))
-    writer = writer.foreachBatch(lambda df, bid: _process(df, bid, feed, out_dir, source_dim, sub_source_dim, kind))
+    ckpt = _checkpoint(spark, name, checkpoint_location)
+    # batch ids restart with a new checkpoint: the checkpoint is part of the id
+    scope = f"stream-{feed.lower()}-{hashlib.md5(ckpt.encode()).hexdigest()[:12]}"
+    writer = stream.writeStream.queryName(name).option("checkpointLocation", ckpt)
+    writer = writer.foreachBatch(
+        lambda df, bid: _process(df, bid, feed, out_dir, source_dim, sub_source_dim, kind, scope))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
