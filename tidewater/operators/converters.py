@@ -110,6 +110,12 @@ def _finish(df: DataFrame, feed: str, values: dict, checks: list) -> DataFrame:
     return observe_status(out, feed)
 
 
+def skipped_rows(raw_df: DataFrame, feed: str, reason: str) -> DataFrame:
+    """Rows no converter takes (unknown feed), as records with every field
+    NULL and ``reason``, so one table schema holds all outcomes."""
+    return _finish(raw_df.select("file_name", "row_no"), feed, {}, [F.lit(reason)])
+
+
 def observe_status(df: DataFrame, label: str) -> DataFrame:
     """Attach the per-conversion counters (rows, saved, failed) as observed
     metrics, delivered to query execution listeners with each action.

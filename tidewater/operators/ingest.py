@@ -90,12 +90,10 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     kind = "ndjson" if all(p.lower().endswith(".ndjson") for p in paths) else "structured"
     raw = read_upload(spark, paths, kind)
     converted = convert_ndjson(raw, feed) if kind == "ndjson" else converters.convert_feed(raw, feed)
-    if converted is None:
-        converted = raw.select("file_name", "row_no", F.lit(feed).alias("feed"),
-                               F.lit("Row skipped: unknown source type").alias("reject_reason"))
-    else:
-        converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
-        converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
+    if converted is None:  # every row reported, in the same record shape as converted rows
+        converted = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
+    converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
+    converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
     converted = with_upload_ids(converted, upload_id)
     records_path = f"{out_dir.rstrip('/')}/cdf_data"
     writers.write_records(converted.withColumn("upload_id", F.lit(upload_id)), records_path)
