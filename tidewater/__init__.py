@@ -9,4 +9,11 @@ Sub-packages:
   streaming  -- incremental file ingest with Structured Streaming
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with the job, so workers need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["functions", "sources", "operators", "sinks", "plans", "streaming"]
