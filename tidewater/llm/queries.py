@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.fingerprints import document_fingerprints
+from tidewater.llm.lm_scoring import stupid_backoff
+from tidewater.llm.packing import Limits, pack_documents
 from tidewater.llm.substring_dedup import substring_dedup
 
+#: File names in the folder of public tokenizers.
+PACKING_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +30,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), Limits(2048, 256, 2048), keep_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = document_fingerprints(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_packing": op3_packing,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_fingerprints": op10_fingerprints,
 }

@@ -130,11 +130,15 @@ class Hasher:
         self.values = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.roll, self.window, self.second = Powers(_ROLL), Powers(_WINDOW), Powers(_SECOND)
 
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each span."""
+        up, down = self.roll.upto(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * up[:-1], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
     def words(self, w: Words) -> np.ndarray:
-        up, down = self.roll.upto(len(w.data))
-        sums = np.zeros(len(w.data) + 1, np.uint64)
-        np.cumsum(self.values[w.data] * up[:-1], out=sums[1:])
-        return mix((sums[w.ends] - sums[w.starts]) * down[w.starts] + (w.ends - w.starts).astype(np.uint64))
+        return self.spans(w.data, w.starts, w.ends)
 
     def windows(self, hashes: np.ndarray, size: int, second: bool = False) -> np.ndarray:
         """Hash of the ``size`` words from each word on (``len - size + 1`` values)."""
