@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.fingerprints import document_fingerprints
+from tidewater.llm.language_id import identify, learn
 from tidewater.llm.lm_scoring import stupid_backoff
 from tidewater.llm.packing import Limits, pack_documents
 from tidewater.llm.substring_dedup import substring_dedup
@@ -30,6 +32,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _fold(divisor: int):
+    """Remainder of the crc32 of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # a null id is in no held-out fold
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    model = learn(docs.where(~held_out).select("lang", "text", F.col("doc_id").alias("key")))
+    return identify(docs, model, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), Limits(2048, 256, 2048), keep_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
@@ -46,7 +73,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
