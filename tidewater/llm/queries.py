@@ -10,6 +10,7 @@ from tidewater.llm.fingerprints import document_fingerprints
 from tidewater.llm.language_id import identify, learn
 from tidewater.llm.lm_scoring import stupid_backoff
 from tidewater.llm.packing import Limits, pack_documents
+from tidewater.llm.secrets import scan_secrets, span_text
 from tidewater.llm.substring_dedup import substring_dedup
 
 #: File names in the folder of public tokenizers.
@@ -62,6 +63,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return out.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
 
@@ -76,6 +93,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
