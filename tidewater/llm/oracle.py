@@ -1,3 +1,18 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_chat_perspectives": r"""
+with people as (select distinct conv_id, role as perspective from conversations where role is not null and role <> 'system'),
+both_sides as (
+  select c.conv_id, p.perspective, c.turn, c.role as speaker, coalesce(c.text, '') as words,
+         coalesce(c.role = p.perspective, false) as mine,
+         case when c.role = 'system' then 'system' when c.role = p.perspective then 'assistant' else 'user' end as role
+  from conversations c join people p on c.conv_id is not distinct from p.conv_id),
+named as (select *, case when role = 'user' then coalesce(speaker, 'unknown') end as name from both_sides),
+headed as (select *, '<|im_start|>' || role || case when name is not null then ' name=' || name else '' end || chr(10) as head from named)
+select conv_id, perspective, turn, speaker, role, name, head || words || '<|im_end|>' || chr(10) as text,
+       case when mine then length(head) else 0 end::bigint as loss_start,
+       case when mine then length(head || words || '<|im_end|>') else 0 end::bigint as loss_end
+from headed
+""",
+}

@@ -10,8 +10,10 @@ from tidewater.llm.fingerprints import document_fingerprints
 from tidewater.llm.language_id import identify, learn
 from tidewater.llm.lm_scoring import stupid_backoff
 from tidewater.llm.packing import Limits, pack_documents
+from tidewater.llm.perspectives import rotate_perspectives
 from tidewater.llm.secrets import scan_secrets, span_text
 from tidewater.llm.substring_dedup import substring_dedup
+from tidewater.llm.toxicity import learn_toxicity, score_toxicity
 
 #: File names in the folder of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +65,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    # one label for a document: toxic if any of its rows says so
+    labels = _table(spark, sf_dir, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+    out = score_toxicity(docs, learn_toxicity(labelled), keep=("doc_id",))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -93,6 +109,8 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_chat_perspectives": op7_chat_perspectives,
     "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
