@@ -9,6 +9,7 @@ from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.fingerprints import document_fingerprints
 from tidewater.llm.language_id import identify, learn
 from tidewater.llm.lm_scoring import stupid_backoff
+from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import Limits, pack_documents
 from tidewater.llm.perspectives import rotate_perspectives
 from tidewater.llm.secrets import scan_secrets, span_text
@@ -65,6 +66,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.75, shingle=5)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
@@ -109,6 +116,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_chat_perspectives": op7_chat_perspectives,
     "op8_secret_scans": op8_secret_scans,
