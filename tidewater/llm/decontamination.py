@@ -118,10 +118,11 @@ def _candidates(docs: DataFrame, table: np.ndarray, sizes: list[int], size: int)
                     words = [raw[s - at : e - at].decode() for s, e in zip(w.starts[low:high].tolist(), w.ends[low:high].tolist())]
                     base = int(w.bounds[k])
                     found[a + k].append({"place": p - base, "shingle": h, "from": low - base, "words": words})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words), pa.array(found, around)], names=["doc_id", "row", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words), pa.array(found, around)], names=["doc_id", "text_hash", "row", "n_words", "found"])
 
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(place, "doc_id long, row long, n_words long, found array<struct<place:long,shingle:long,from:long,words:array<string>>>")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", text_hash.alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(place, "doc_id long, text_hash long, row long, n_words long, found array<struct<place:long,shingle:long,from:long,words:array<string>>>")
 
 
 def decontaminate(
@@ -132,7 +133,8 @@ def decontaminate(
     A-Z count as a-z; a word is a run of a-z, 0-9 and characters beyond ASCII.
     An item of fewer words than a window (but not none) is one window.
 
-    Result, one row for each document row: doc_id, n_words, n_hit (words inside
+    Result, one row for each document row: doc_id, text_hash (xxhash64 of the
+    text), n_words, n_hit (words inside
     any occurrence), items (ids, as strings, of items with occurring windows,
     sorted) and hits (start and length in words of every occurring window, by
     start; of several from one word the longest).
@@ -173,8 +175,9 @@ def decontaminate(
         return F.struct((acc["n"] + end - F.greatest(acc["to"], h["start"])).alias("n"), end.alias("to"))
 
     n_hit = F.aggregate("hits", reach, cover, lambda acc: acc["n"])
-    return found.select("row", "doc_id", "n_words").join(by_row, "row", "left").select(
+    return found.select("row", "doc_id", "text_hash", "n_words").join(by_row, "row", "left").select(
         "doc_id",
+        "text_hash",
         "n_words",
         F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

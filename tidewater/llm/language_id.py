@@ -122,8 +122,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     return LanguageFilter(languages, out)
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep``, lang_pred, score and coverage for each row.
+def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Columns ``keep``, lang_pred, score and coverage (``prefix`` before each of the three) for each row.
 
     score: the best language's share of all corrected shares; coverage: its
     corrected share of the text's n-grams.  Without a letter, or null: ``und``
@@ -131,17 +131,19 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
     score 0.  Every character of a text is read.
     """
     names = [f"c{k}" for k in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
+    text = names[keep.index(text_col)] if text_col in keep and docs.schema[text_col].dataType.typeName() == "string" else "text"
     rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: SLOTS integers
-    schema = rows.drop("text", "letters").schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
+    schema = rows.drop("text", "letters").schema
+    rows = rows if text == "text" else rows.drop("text")  # a kept text goes to the tasks once
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: SLOTS integers
+    schema = schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value.languages, shared.value.slots
         wrong = shared.value.false_positives()
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = utf8(batch.column(text))
             shares = np.zeros((batch.num_rows, max(1, len(languages))))
             for a, b in pieces(offsets):
                 hashes, counts = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -163,4 +165,4 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     out = rows.mapInArrow(predict, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "lang_pred", "score", "coverage")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *[F.col(c).alias(prefix + c) for c in ("lang_pred", "score", "coverage")])
