@@ -36,6 +36,14 @@ class Limits:
     loss_tokens: int = 2048
 
 
+#: A control character that stands between words when many are encoded at once.
+BETWEEN = "\x07"
+LATIN = "\u0100"
+SIGNS = frozenset(",.;:!?|)")
+#: White space to str.split, but not to the tokenizer.
+ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
+
+
 class WordCache:
     """Ids of texts by a tokenizer that never joins characters across white space.
 
@@ -43,35 +51,85 @@ class WordCache:
     ``most`` remembered runs the memory starts anew.
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, most: int = 700_000):
         self.tokenizer, self.most = tokenizer, most
+        between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        self.letters = self._letter_tokenizer()
+        self._forget()
+
+    def _letter_tokenizer(self):
+        """A shorter way for runs of lower-case Latin-1 letters, where byte-level merges decide alone; else the tokenizer."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        short = Tokenizer(self.tokenizer.model)
+        short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = f" {BETWEEN} ".join(["a", "the", "straße", "éèàç", "niñoñ", "thisisoneword", "µª"])
+        same = all(short.encode(x).ids == self.tokenizer.encode(x, add_special_tokens=False).ids for x in (probe, "word", BETWEEN))
+        parts = self.tokenizer.encode("a.b", add_special_tokens=False).ids == [i for x in ("a", ".", "b") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
+        return short if same and parts and self.between is not None else self.tokenizer
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.flat, self.begins = [], [], []
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, self.sizes, self.flat = {}, [], []
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = len(self.sizes)
-            self.sizes.append(len(e.ids))
-            self.flat.extend(e.ids)
-        self.table = np.array(self.flat, np.uint32), np.array(self.sizes, np.int64)
+        self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has."""
+        if self.between is None or any(BETWEEN in w for w in words):
+            many = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            return np.array([i for x in many for i in x], np.uint32), np.array([len(x) for x in many], np.int64)
+        ids = np.array(tokenizer.encode(f" {BETWEEN} ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.between), len(ids))
+        return ids[ids != self.between], np.diff(ends, prepend=-1) - 1
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.known), len(words)
+        if k + n > len(self.size):
+            self.begin, self.size = (np.resize(x, 2 * (k + n)) for x in (self.begin, self.size))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = sizes
+        self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + n)))
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.size[index]
+        at = np.repeat(self.begin[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.flat[at], n
+
+    def _learn(self, new: set[str]) -> None:
+        # a letter run before one sign has the ids of the run, then those of the sign
+        ended = [w for w in new if w[-1] in SIGNS and w[:-1].isalpha()] if self.letters is not self.tokenizer else []
+        rest = (new | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(ended) - self.known.keys()
+        runs = [w for w in rest if w.isalpha() and w.islower() and max(w) < LATIN] if self.letters is not self.tokenizer else []
+        for words, tokenizer in ((runs, self.letters), (list(rest.difference(runs)), self.tokenizer)):
+            for at in range(0, len(words), 4000):
+                self._keep(words[at : at + 4000], *self._encoded(words[at : at + 4000], tokenizer))
+        if ended:
+            index = np.fromiter((self.known[x] for w in ended for x in (w[:-1], w[-1])), np.int64, 2 * len(ended))
+            ids, n = self._gather(index)
+            self._keep(ended, ids, n.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
+        # the tokenizer lower-cases; for Latin-1 texts str.lower gives the same characters, and fewer words to learn
+        split = [(t.lower() if t.isascii() or max(t) < LATIN else t).split() for t in texts]
         words = [w for s in split for w in s]
-        if any(w not in self.known for w in words):
-            self._learn(words)
-        flat, sizes = self.table if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = sizes[index] if len(index) else np.zeros(0, np.int64)
-        begins = np.cumsum(sizes) - sizes
-        at = np.repeat((begins[index] if len(index) else n) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        ids = flat[at]
+        new = set(words) - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self._forget()
+            new = set(words)
+        if new:
+            self._learn(new)
+        ids, n = self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
         edges = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(edges, edges[1:])]
+        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
+        for k, t in enumerate(texts):
+            if any(c in t for c in ODD_SPACES):
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 class Packer:
