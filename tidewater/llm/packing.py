@@ -14,6 +14,8 @@ lost executor gives the same rows.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,7 +53,7 @@ class WordCache:
     ``most`` remembered runs the memory starts anew.
     """
 
-    def __init__(self, tokenizer, most: int = 700_000):
+    def __init__(self, tokenizer, most: int = 1_200_000):
         self.tokenizer, self.most = tokenizer, most
         between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
@@ -132,6 +134,22 @@ class WordCache:
         return out
 
 
+def worker_cache(tokenizer_path: str) -> WordCache:
+    """This Python worker's cache: tasks that run in it one after the other share what it learned.
+
+    Ids do not depend on it, only the time.  It hangs on a module object, as
+    the functions of a job are loaded anew for each task.
+    """
+    from tokenizers import Tokenizer
+
+    place = sys.modules.setdefault("_tidewater_word_caches", types.ModuleType("_tidewater_word_caches"))
+    if not hasattr(place, "caches"):
+        place.caches = {}
+    if tokenizer_path not in place.caches:
+        place.caches[tokenizer_path] = WordCache(Tokenizer.from_file(tokenizer_path))
+    return place.caches[tokenizer_path]
+
+
 class Packer:
     """Packs the documents of one partition; pieces come out as sequences fill up."""
 
@@ -256,9 +274,7 @@ def pack_documents(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), loss.cast("long").alias("loss_start"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        cache = WordCache(Tokenizer.from_file(tokenizer_path))
+        cache = worker_cache(tokenizer_path)
         packer = Packer(limits, TaskContext.get().partitionId() << 40, pool)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
