@@ -67,22 +67,20 @@ def extract_images(spark: SparkSession, paths, store: str, uploaded_at: str) ->
     tags = images.exif_tag_table(decoded, stable_uuid(F.col("path")))
     rec = media.image_summary(media.image_record(tags)).withColumnRenamed("filename", "_fn")
     out = prof.withColumn("file_uuid", stable_uuid(F.col("path"))).join(rec, "file_uuid", "left").drop("_fn")
-    uid = upload_id_of(paths if not isinstance(paths, str) else [paths])
-    writers.write_idempotent(out.withColumn("upload_id", F.lit(uid)), _p(store, "image_metadata"), ["upload_id"])
+    uid = upload_id_of(spark, paths)
+    stored = writers.write_upload(out, _p(store, "image_metadata"), uid)
     ct = F.concat(F.lit("image/"), F.lower(F.coalesce(F.col("format"), F.lit("unknown"))))
     catalog_rows = cat.catalog_rows(prof.select(
         stable_uuid(F.col("path")).alias("uuid"), "filename", F.lit(uploaded_at).alias("timestamp"),
         ct.alias("content_type"), F.col("file_size_bytes").alias("size"), F.lit(None).cast("string").alias("source")))
-    writers.append_catalog(catalog_rows.withColumn("upload_id", F.lit(uid)), _p(store, "file_catalog"))
-    return spark.read.parquet(_p(store, "image_metadata")).where(F.col("upload_id") == uid)
+    writers.append_catalog(catalog_rows, _p(store, "file_catalog"), uid)
+    return stored
 
 
 def upload_documents(spark: SparkSession, paths, store: str, uploaded_at: str) -> DataFrame:
     """M4/M5/M7: office documents -> document metadata rows."""
     docs = office.document_records(files.read_binary(spark, paths), uploaded_at)
-    uid = upload_id_of(paths if not isinstance(paths, str) else [paths])
-    writers.write_idempotent(docs.withColumn("upload_id", F.lit(uid)), _p(store, "document_metadata"), ["upload_id"])
-    return spark.read.parquet(_p(store, "document_metadata")).where(F.col("upload_id") == uid)
+    return writers.write_upload(docs, _p(store, "document_metadata"), upload_id_of(spark, paths))
 
 
 def export_cdf(spark: SparkSession, store: str, out_json: str | None = None) -> DataFrame:

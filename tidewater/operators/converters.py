@@ -87,8 +87,15 @@ def structured_cells(df: DataFrame) -> DataFrame:
     ])
 
 
+#: The text of the JSON object that an NDJSON row came from.
+OBJECT_COLUMN = "_object"
+
+
 def _raw_json(df: DataFrame) -> Column:
-    """J5 + J6: the raw row (without the id columns) as JSON text."""
+    """J5 + J6: the raw row (without the id columns) as JSON text; a row that
+    came as a JSON object is kept as it came."""
+    if OBJECT_COLUMN in df.columns:
+        return F.col(OBJECT_COLUMN)
     return row_json(df, [c for c in df.columns if c not in ID_COLUMNS])
 
 
@@ -116,6 +123,11 @@ def skipped_rows(raw_df: DataFrame, feed: str, reason: str) -> DataFrame:
     return _finish(raw_df.select("file_name", "row_no"), feed, {}, [F.lit(reason)])
 
 
+def unreadable_rows(raw_df: DataFrame, feed: str, reason: str, raw_data: str) -> DataFrame:
+    """Rows that never reach a converter, with the reason in a column of their own."""
+    return _finish(raw_df, feed, {"raw_data": F.col(raw_data)}, [F.col(reason)])
+
+
 def observe_status(df: DataFrame, label: str) -> DataFrame:
     """Attach the per-conversion counters (rows, saved, failed) as observed
     metrics, delivered to query execution listeners with each action.
@@ -461,7 +473,9 @@ def convert_feed(raw_df: DataFrame, feed: str, path: str = "structured") -> Data
     if key == "ais":
         return convert_ais(raw_df)
     if key == "dmas":
-        return convert_dmas(raw_df)
+        # a row of a delimited file is taken as the JSON object of its cells
+        lines = raw_df if "value" in raw_df.columns else raw_df.select("file_name", "row_no", _raw_json(raw_df).alias("value"))
+        return convert_dmas(lines)
     if key == "p8i":
         return convert_p8i(raw_df, path)
     return None

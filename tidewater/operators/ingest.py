@@ -3,7 +3,7 @@
 ``scan (A) -> normalise (C9) -> convert (D) -> split (C10) -> append (B1) +
 rejects + summary (F1-F4) + catalogue (B7)``. The converted rows are written
 once; the summary is computed from that written table (which also cuts the
-lineage), so the input is read and parsed a single time.
+lineage). Row numbers read the input a second time, for a table of its splits.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import stable_uuid
@@ -49,20 +49,35 @@ def _ndjson_keys(feed: str) -> list[str]:
         "position_valid_date", "position_valid_time", "trk_short_name", "sub_source_name"})
 
 
-def convert_ndjson(lines: DataFrame, feed: str) -> DataFrame | None:
+#: JSON keys that must be there, with the name used in the reject reason.
+REQUIRED_KEYS = {"ais": (("lat", "LAT"), ("lon", "LON"), ("sog", "SOG"), ("heading", "Heading"))}
+
+
+def convert_ndjson(lines: DataFrame, feed: str, keep_blank: bool = False) -> DataFrame | None:
     """NDJSON upload path: DMAS lines directly; for the other feeds each
     JSON object becomes text columns (keys compared lower-cased, X3) and
-    goes through the same converter as a structured row (X5, X6)."""
+    goes through the same converter as a structured row (X5, X6). With
+    ``keep_blank`` blank lines stay, marked as such, so that they count (F2)."""
     key = (feed or "").lower()
     if key == "dmas":
         return converters.convert_dmas(lines, keep_blank=True)
     if key not in converters.FEEDS:
         return None
-    nonblank = lines.where(F.btrim(F.coalesce(F.col("value"), F.lit(""))) != "")
     m = F.transform_keys(F.from_json("value", "map<string,string>"), lambda k, v: F.lower(k))
-    keyed = nonblank.select("file_name", "row_no", m.alias("m"))
-    flat = keyed.select("file_name", "row_no", *[F.col("m")[k].alias(k) for k in _ndjson_keys(key)])
-    return converters.convert_feed(flat, feed, path="ndjson")
+    keyed = lines.select("file_name", "row_no", "value", m.alias("m"))
+    # an absent key is no blank value: AIS numbers are required, though they may be blank
+    absent = [F.when(~F.map_contains_key("m", k), F.lit(f"Missing {name}")) for k, name in REQUIRED_KEYS.get(key, ())]
+    problem = F.when(F.btrim(F.coalesce(F.col("value"), F.lit(""))) == "", F.lit(converters.BLANK_LINE)).otherwise(
+        F.coalesce(F.when(F.col("m").isNull(), F.lit("Invalid JSON")), *absent))
+    keyed = keyed.withColumn("_problem", problem)
+    if not keep_blank:
+        keyed = keyed.where(~F.col("_problem").eqNullSafe(converters.BLANK_LINE))
+    good = keyed.where(F.col("_problem").isNull())
+    flat = good.select("file_name", "row_no", *[F.col("m")[k].alias(k) for k in _ndjson_keys(key)],
+                       F.btrim("value").alias(converters.OBJECT_COLUMN))
+    converted = converters.convert_feed(flat, feed, path="ndjson")
+    bad = converters.unreadable_rows(keyed.where(F.col("_problem").isNotNull()), feed, "_problem", "value")
+    return converted.unionByName(bad.select(*converted.columns))
 
 
 def with_upload_ids(converted: DataFrame, scope: str) -> DataFrame:
@@ -73,62 +88,85 @@ def with_upload_ids(converted: DataFrame, scope: str) -> DataFrame:
             .withColumn("uuid", stable_uuid(F.lit(scope), "file_name", "row_no")))
 
 
-def upload_id_of(paths) -> str:
-    """A stable id for one upload job (its sorted input paths), so that
-    running the same job twice overwrites instead of appending."""
-    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
+def upload_id_of(spark: SparkSession, paths) -> str:
+    """Id of an upload from path, size and modification time of its files:
+    the same job run again has the same id and replaces its own output; a
+    changed file at the same path is an upload of its own."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    found = files.read_binary(spark, paths).select("path", "size", F.unix_micros("modificationTime").alias("at")).collect()
+    return hashlib.md5("\n".join(sorted(f"{r['path']}:{r['size']}:{r['at']}" for r in found)).encode()).hexdigest()
+
+
+def upload_kind(paths, content_type: str | None) -> str:
+    """C14 for an upload: 'ndjson' by content type or suffix, else 'structured'."""
+    if content_type in cat.NDJSON_TYPES or all(p.lower().endswith(".ndjson") for p in paths):
+        return "ndjson"
+    return "structured"
+
+
+def _content_type(filename) -> Column:
+    """MIME type of a feed file by its suffix."""
+    name = F.lower(filename)
+    return (F.when(name.endswith(".ndjson"), "application/x-ndjson").when(name.endswith(".json"), "application/json")
+            .when(name.endswith(".tsv"), "text/tab-separated-values")
+            .when(name.endswith(".xlsx"), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet")
+            .otherwise("text/csv"))
 
 
 def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source_dim: DataFrame,
                   sub_source_dim: DataFrame, uploaded_at: str, content_type: str | None = None) -> UploadResult:
     """Convert one or more uploaded files of a feed and store the results.
 
-    Unknown feed: nothing is converted and every row is reported skipped
-    (the structured path's 'Row <i> skipped: unknown source type')."""
+    Files are read in groups of one header line each, so columns are never
+    taken from another file's header. Unknown feed: nothing is converted and
+    every row is reported skipped (the structured path's 'Row <i> skipped:
+    unknown source type')."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    upload_id = upload_id_of(paths)
-    kind = "ndjson" if all(p.lower().endswith(".ndjson") for p in paths) else "structured"
-    raw = read_upload(spark, paths, kind)
-    converted = convert_ndjson(raw, feed) if kind == "ndjson" else converters.convert_feed(raw, feed)
-    if converted is None:  # every row reported, in the same record shape as converted rows
-        converted = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
+    upload_id = upload_id_of(spark, paths)
+    kind = upload_kind(paths, content_type)
+    groups = files.header_groups(spark, paths) if kind == "structured" else files.name_groups(paths)
+    converted, cat_rows = None, None
+    for k, group in enumerate(groups):
+        scope = upload_id if k == 0 else f"{upload_id}/{k}"  # files of one name in two groups keep apart
+        raw = read_upload(spark, group, kind)
+        part = convert_ndjson(raw, feed, keep_blank=True) if kind == "ndjson" else converters.convert_feed(raw, feed)
+        if part is None:  # every row reported, in the same record shape as converted rows
+            part = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
+        part = with_upload_ids(part, scope)
+        converted = part if converted is None else converted.unionByName(part)
+        blobs = files.read_binary(spark, group).drop("content")  # the bytes are never read
+        blobs = blobs.select(stable_uuid(F.lit(scope), F.col("filename")).alias("uuid"), "filename", "size")
+        cat_rows = blobs if cat_rows is None else cat_rows.unionByName(blobs)
     converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
     converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
-    converted = with_upload_ids(converted, upload_id)
     records_path = f"{out_dir.rstrip('/')}/cdf_data"
-    writers.write_records(converted.withColumn("upload_id", F.lit(upload_id)), records_path)
+    written = writers.write_upload_records(converted, records_path, upload_id)
 
-    written = spark.read.parquet(records_path).where(F.col("upload_id") == upload_id)
     summary = checks.upload_summary(written)
-    per_file = written.groupBy("file_name").agg(
+    per_file = written.groupBy("file_uuid", "file_name").agg(
         F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
         F.count_if(F.col("status") == "saved").alias("saved"))
-    meta = checks.upload_metadata(per_file.withColumn("file_uuid", stable_uuid(F.lit(upload_id), "file_name")),
-                                  F.col("source_id"), F.col("sub_source_id"), uploaded_at)
-    writers.write_idempotent(meta.withColumn("upload_id", F.lit(upload_id)),
-                             f"{out_dir.rstrip('/')}/upload_metadata", ["upload_id"])
-
-    blobs = files.read_binary(spark, paths).drop("content")  # the bytes are never read
-    ct = F.lit(content_type) if content_type else F.when(F.lit(kind == "ndjson"), F.lit("application/x-ndjson")).otherwise(F.lit("text/csv"))
-    cat_rows = blobs.select(
-        stable_uuid(F.lit(upload_id), F.col("filename")).alias("uuid"), "filename",
-        F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
-        F.lit(feed).alias("upload_source"),
-    )
+    meta = checks.upload_metadata(per_file, F.col("source_id"), F.col("sub_source_id"), uploaded_at)
+    writers.write_upload(meta, f"{out_dir.rstrip('/')}/upload_metadata", upload_id)
+
+    ct = F.lit(content_type) if content_type else _content_type(F.col("filename"))
+    cat_rows = cat_rows.select("uuid", "filename", F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
+                               F.lit(feed).alias("upload_source"))
     named = enrich.with_upload_source_name(cat_rows, source_dim)
     catalog_rows = cat.catalog_rows(named, source_col="source_name")
-    writers.append_catalog(catalog_rows.withColumn("upload_id", F.lit(upload_id)),
-                           f"{out_dir.rstrip('/')}/file_catalog")
+    writers.append_catalog(catalog_rows, f"{out_dir.rstrip('/')}/file_catalog", upload_id)
     return UploadResult(records_path, summary, catalog_rows)
 
 
-def store_p8i_tables(raw: DataFrame, out_dir: str) -> dict:
+def store_p8i_tables(raw: DataFrame, out_dir: str, upload_id: str | None = None) -> dict:
     """B2 after C13, per row (X17): rows of tracking sub-sources are
     converted by D5 into the tracking table, rows of ESM sub-sources by D6
     into the ESM table (each written once, partitioned by status, so the
     converter's rejects sit in ``status=failed``); rows with no or an unknown
     sub-source go to the unrouted table with the reason. The raw frame is
-    split by narrow filters, so each row is parsed once."""
+    split by narrow filters, so each row is parsed once. Everything is stored
+    under the upload's id (default: from the input files), so a rerun replaces
+    its own rows."""
     from .routing import ESM_TABLE, TRACKING_TABLE, route_p8i
 
     routed = route_p8i(raw)
@@ -137,9 +175,9 @@ def store_p8i_tables(raw: DataFrame, out_dir: str) -> dict:
         routed.where(F.col("target_table") == TRACKING_TABLE).drop("target_table", "route_error"))
     esm = converters.convert_p8i_esm(
         routed.where(F.col("target_table") == ESM_TABLE).drop("target_table", "route_error"))
-    writers.write_records(tracking, f"{base}/tracking_data")
-    writers.write_records(esm, f"{base}/esm_data")
-    routed.where(F.col("route_error").isNotNull()).select(
-        "file_name", "row_no", F.col("route_error").alias("reject_reason")
-    ).write.mode("append").parquet(f"{base}/p8i_unrouted")
+    uid = upload_id or hashlib.md5("\n".join(sorted(raw.inputFiles())).encode()).hexdigest()
+    writers.write_upload_records(tracking, f"{base}/tracking_data", uid)
+    writers.write_upload_records(esm, f"{base}/esm_data", uid)
+    writers.write_upload(routed.where(F.col("route_error").isNotNull()).select(
+        "file_name", "row_no", F.col("route_error").alias("reject_reason")), f"{base}/p8i_unrouted", uid)
     return {"tracking": f"{base}/tracking_data", "esm": f"{base}/esm_data", "unrouted": f"{base}/p8i_unrouted"}

@@ -26,18 +26,29 @@ def write_records(converted: DataFrame, path: str, mode: str = "append") -> None
     both, no cache needed."""
     out = converted.withColumn("status", record_status("reject_reason"))
     parts = ["status", "feed"] if "feed" in out.columns else ["status"]
-    if "upload_id" in out.columns:
-        write_idempotent(out, path, ["upload_id"] + parts)
-    else:
-        out.write.mode(mode).partitionBy(*parts).parquet(path)
+    out.write.mode(mode).partitionBy(*parts).parquet(path)
+
+
+def upload_path(path: str, upload_id: str) -> str:
+    return f"{path.rstrip('/')}/upload_id={upload_id}"
 
 
-def write_idempotent(df: DataFrame, path: str, partition_by) -> None:
-    """Write with dynamic partition overwrite: a job that is run again
-    (after a failure, or by a replayed batch) replaces exactly the partitions
-    it writes -- its own upload id -- and leaves every other one alone."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_by).parquet(path))
+def write_upload(df: DataFrame, path: str, upload_id: str, partition_by=()) -> DataFrame:
+    """Replace everything one upload has in the table at ``path`` and return
+    it as stored. A job that runs again leaves no row of its earlier run
+    behind, whatever partitions that run made, and no other upload is
+    touched or listed."""
+    own = upload_path(path, upload_id)
+    (df.drop("upload_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
+       .partitionBy(*partition_by).parquet(own))
+    stored = df.sparkSession.read.schema(df.drop("upload_id").schema).parquet(own)
+    return stored.withColumn("upload_id", F.lit(upload_id))
+
+
+def write_upload_records(converted: DataFrame, path: str, upload_id: str) -> DataFrame:
+    """:func:`write_records` for one upload, see :func:`write_upload`."""
+    out = converted.withColumn("status", record_status("reject_reason"))
+    return write_upload(out, path, upload_id, [c for c in ("status", "feed") if c in out.columns])
 
 
 def read_saved_records(spark: SparkSession, path: str) -> DataFrame:
@@ -78,12 +89,12 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def append_catalog(rows: DataFrame, path: str) -> None:
-    """Catalogue rows in the fixed schema (keyed by ``upload_id`` when
-    present, so a rerun replaces its own rows)."""
+def append_catalog(rows: DataFrame, path: str, upload_id: str | None = None) -> None:
+    """Catalogue rows in the fixed schema (of one upload when given, so
+    a rerun replaces its own rows)."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in FILE_CATALOG_SCHEMA.fields]
-    if "upload_id" in rows.columns:
-        write_idempotent(rows.select(*cols, "upload_id"), path, ["upload_id"])
+    if upload_id is not None:
+        write_upload(rows.select(*cols), path, upload_id)
     else:
         rows.select(*cols).write.mode("append").parquet(path)
 

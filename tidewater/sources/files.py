@@ -85,6 +85,34 @@ def read_structured(spark: SparkSession, paths) -> DataFrame:
     return read_xlsx_rows(spark, paths)
 
 
+def header_groups(spark: SparkSession, paths) -> list[list[str]]:
+    """Paths in groups that can be read together: delimited files of one
+    header line each (a reader takes the columns of all its files from one of
+    them), no two files of one name (records are known by file name and row).
+    Workbooks are groups of their own. Reads the first line of each file."""
+    sep = {".csv": ",", ".tsv": "\t"}.get(check_structured(paths))
+    groups: dict[tuple, list[str]] = {}
+    seen: dict[str, int] = {}
+    for k, path in enumerate(paths):
+        name = os.path.basename(path.rstrip("/"))
+        again = seen[name] = seen.get(name, -1) + 1
+        header = (k,) if sep is None else tuple(spark.read.option("header", True).option("sep", sep).csv(path).columns)
+        groups.setdefault((again, header), []).append(path)
+    return list(groups.values())
+
+
+def name_groups(paths) -> list[list[str]]:
+    """Paths in groups without two files of one name."""
+    groups: list[list[str]] = []
+    seen: dict[str, int] = {}
+    for path in paths:
+        name = os.path.basename(path.rstrip("/"))
+        again = seen[name] = seen.get(name, -1) + 1
+        groups.extend([] for _ in range(again + 1 - len(groups)))
+        groups[again].append(path)
+    return groups
+
+
 def read_ndjson_lines(spark: SparkSession, paths) -> DataFrame:
     """A4: NDJSON as lines (``file_name``, ``row_no``, ``value``); blank and
     broken lines stay so the converter can count and reject them. Line

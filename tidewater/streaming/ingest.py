@@ -40,23 +40,21 @@ def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_di
 
     if kind == "ndjson":
         lines = with_file_row_numbers(batch).select("file_name", "row_no", "value")
-        conv = convert_ndjson(lines, feed)
+        conv = convert_ndjson(lines, feed, keep_blank=True)
     else:
-        raw = with_file_row_numbers(batch)
+        lines = raw = with_file_row_numbers(batch)
         conv = converters.convert_feed(converters.structured_cells(raw), feed)
-    if conv is None:
-        return
+    if conv is None:  # the checkpoint takes these files too, so their rows must be somewhere
+        conv = converters.skipped_rows(lines, feed, "Row skipped: unknown source type")
     upload_id = f"{scope}-{batch_id}"
     conv = with_upload_ids(conv, upload_id)
     conv = enrich.with_source_id(conv.drop("source_id"), source_dim)
     conv = enrich.with_sub_source_id(conv.drop("sub_source_id"), sub_source_dim)
     # same layout as the batch upload job (upload_id / status / feed), so both
-    # can write one store; a replayed batch overwrites its own partitions
-    records = f"{out_dir.rstrip('/')}/cdf_data"
-    writers.write_records(conv.withColumn("upload_id", F.lit(upload_id)), records)
-    written = batch.sparkSession.read.parquet(records).where(F.col("upload_id") == upload_id)
-    writers.write_idempotent(checks.upload_summary(written).withColumn("upload_id", F.lit(upload_id)),
-                             f"{out_dir.rstrip('/')}/upload_summary", ["upload_id"])
+    # can write one store; a replayed batch replaces its own output
+    base = out_dir.rstrip("/")
+    written = writers.write_upload_records(conv, f"{base}/cdf_data", upload_id)
+    writers.write_upload(checks.upload_summary(written), f"{base}/upload_summary", upload_id)
 
 
 def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str, *, source_dim: DataFrame,
