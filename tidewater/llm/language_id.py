@@ -136,12 +136,11 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
     rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = rows.drop("text", "letters").schema
     rows = rows if text == "text" else rows.drop("text")  # a kept text goes to the tasks once
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: SLOTS integers
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_positives()))  # fixed size: SLOTS integers
     schema = schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table = shared.value.languages, shared.value.slots
-        wrong = shared.value.false_positives()
+        languages, table, wrong = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(text))
             shares = np.zeros((batch.num_rows, max(1, len(languages))))

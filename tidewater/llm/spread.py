@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import CHECKPOINT_CONF, ensure_checkpoint_dir
+
 #: Text bytes of a unit: the corpus / 256, within these limits.  Beyond 8 GB of
 #: text units keep their size and their number grows.
 LEAST_UNIT_BYTES, MOST_UNIT_BYTES, UNITS = 1 << 20, 32 << 20, 256
@@ -98,9 +100,12 @@ def exchange(units: DataFrame, ask: Callable, answer: Callable, settle: Callable
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = ensure_checkpoint_dir(spark)  # one process, as in tests: a folder of its own
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

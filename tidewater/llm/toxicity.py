@@ -212,18 +212,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """
     names = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES and the identity terms at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))  # FEATURES and the identity terms at most
     schema = rows.drop("text").schema.add("score", "double")
 
     def score(batches):
-        model = shared.value
-        bits = _filter_bits(model.features)
+        features, weights, intercept = shared.value
+        bits = _filter_bits(features)
         for batch in batches:
-            out = np.full(batch.num_rows, model.intercept)
+            out = np.full(batch.num_rows, intercept)
             for a, b, text, feature in _by_text(batch.column("text")):
-                near, at = _look_up(model.features, feature, bits)
+                near, at = _look_up(features, feature, bits)
                 text, at = _distinct(text[near], at)
-                out[a:b] += np.bincount(text, weights=model.weights[at], minlength=b - a)
+                out[a:b] += np.bincount(text, weights=weights[at], minlength=b - a)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))], names=schema.names)
 
     out = rows.mapInArrow(score, schema)
