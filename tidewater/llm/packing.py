@@ -22,10 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.text import pieces, utf8
+
 SCHEMA = "doc_id long, start long, length long, loss_length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,8 +45,15 @@ class Limits:
 BETWEEN = "\x07"
 LATIN = "\u0100"
 SIGNS = frozenset(",.;:!?|)")
-#: White space to str.split, but not to the tokenizer.
-ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
+#: UTF-8 bytes from this one on belong to characters beyond Latin-1.
+ABOVE_LATIN = 0xC4
+#: Bytes of text encoded at once; one longer text is one piece.
+ENCODE_BYTES = 4 << 20
+
+
+def _letters(word: str) -> bool:
+    """Whether the word has lower-case Latin-1 letters only."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) < LATIN)
 
 
 class WordCache:
@@ -75,6 +85,7 @@ class WordCache:
         self.known: dict[str, int] = {}
         self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.used = 0
+        self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -104,9 +115,9 @@ class WordCache:
 
     def _learn(self, new: set[str]) -> None:
         # a letter run before one sign has the ids of the run, then those of the sign
-        ended = [w for w in new if w[-1] in SIGNS and w[:-1].isalpha()] if self.letters is not self.tokenizer else []
+        ended = [w for w in new if w[-1] in SIGNS and _letters(w[:-1])] if self.letters is not self.tokenizer else []
         rest = (new | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(ended) - self.known.keys()
-        runs = [w for w in rest if w.isalpha() and w.islower() and max(w) < LATIN] if self.letters is not self.tokenizer else []
+        runs = [w for w in rest if _letters(w)] if self.letters is not self.tokenizer else []
         for words, tokenizer in ((runs, self.letters), (list(rest.difference(runs)), self.tokenizer)):
             for at in range(0, len(words), 4000):
                 self._keep(words[at : at + 4000], *self._encoded(words[at : at + 4000], tokenizer))
@@ -115,23 +126,26 @@ class WordCache:
             ids, n = self._gather(index)
             self._keep(ended, ids, n.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # the tokenizer lower-cases; for Latin-1 texts str.lower gives the same characters, and fewer words to learn
-        split = [(t.lower() if t.isascii() or max(t) < LATIN else t).split() for t in texts]
-        words = [w for s in split for w in s]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; only a batch's distinct words come out of Arrow."""
+        data, offsets = utf8(texts)
+        # the tokenizer lower-cases; for Latin-1 texts that gives the same characters first, and fewer words to learn
+        above = np.concatenate(([0], np.cumsum(data >= ABOVE_LATIN)))[offsets]
+        texts = pc.if_else(pa.array(np.diff(above) == 0), pc.utf8_lower(texts), texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         new = set(words) - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self._forget()
-            new = set(words)
+            new = set(words) - self.known.keys()
         if new:
             self._learn(new)
-        ids, n = self._gather(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        edges = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, split)])]
-        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
-        for k, t in enumerate(texts):
-            if any(c in t for c in ODD_SPACES):
-                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        return out
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, n = self._gather(index[coded.indices.to_numpy()])
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def worker_cache(tokenizer_path: str) -> WordCache:
@@ -277,13 +291,13 @@ def pack_documents(
         cache = worker_cache(tokenizer_path)
         packer = Packer(limits, TaskContext.get().partitionId() << 40, pool)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, ids, first in zip(part.column(0).to_pylist(), cache.encode(texts), part.column(2).to_pylist()):
+            texts = batch.column(1).fill_null("")
+            for at, to in pieces(utf8(texts)[1], ENCODE_BYTES):
+                part = batch.slice(at, to - at)
+                for doc, ids, first in zip(part.column(0).to_pylist(), cache.encode(texts.slice(at, to - at)), part.column(2).to_pylist()):
                     packer.add(doc, ids if end_id is None else np.append(ids, np.uint32(end_id)), first)
-                if len(packer.out) > 2000:
-                    yield _batch(packer, keep_ids)
+                    if len(packer.out) > 2000:
+                        yield _batch(packer, keep_ids)
         packer.finish()
         yield _batch(packer, keep_ids)
 
