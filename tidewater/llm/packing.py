@@ -67,19 +67,20 @@ class WordCache:
         self.tokenizer, self.most = tokenizer, most
         between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
-        self.letters = self._letter_tokenizer()
+        self.letters = self._letter_table()
         self._forget()
 
-    def _letter_tokenizer(self):
-        """A shorter way for runs of lower-case Latin-1 letters, where byte-level merges decide alone; else the tokenizer."""
-        from tokenizers import Tokenizer, pre_tokenizers
+    def _letter_table(self) -> dict[int, str] | None:
+        """How the model spells Latin-1 letters, if runs of them can go straight to it: byte-level merges decide alone."""
+        from tokenizers import pre_tokenizers
 
-        short = Tokenizer(self.tokenizer.model)
-        short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        probe = f" {BETWEEN} ".join(["a", "the", "straße", "éèàç", "niñoñ", "thisisoneword", "µª"])
-        same = all(short.encode(x).ids == self.tokenizer.encode(x, add_special_tokens=False).ids for x in (probe, "word", BETWEEN))
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        probe = ["a", "the", "straße", "éèàç", "niñoñ", "thisisoneword", "µª", "word"]
+        whole = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
+        same = whole == [[t.id for t in self.tokenizer.model.tokenize(x.translate(table))] for x in probe]
         parts = self.tokenizer.encode("a.b", add_special_tokens=False).ids == [i for x in ("a", ".", "b") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
-        return short if same and parts and self.between is not None else self.tokenizer
+        return table if same and parts else None
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -87,12 +88,17 @@ class WordCache:
         self.used = 0
         self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, table = self.tokenizer.model.tokenize, self.letters
+        many = [[t.id for t in tokenize(w if w.isascii() else w.translate(table))] for w in runs]
+        return np.array([i for x in many for i in x], np.uint32), np.array([len(x) for x in many], np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
         if self.between is None or any(BETWEEN in w for w in words):
-            many = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            many = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
             return np.array([i for x in many for i in x], np.uint32), np.array([len(x) for x in many], np.int64)
-        ids = np.array(tokenizer.encode(f" {BETWEEN} ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(words), add_special_tokens=False).ids, np.uint32)
         ends = np.append(np.flatnonzero(ids == self.between), len(ids))
         return ids[ids != self.between], np.diff(ends, prepend=-1) - 1
 
@@ -115,12 +121,12 @@ class WordCache:
 
     def _learn(self, new: set[str]) -> None:
         # a letter run before one sign has the ids of the run, then those of the sign
-        ended = [w for w in new if w[-1] in SIGNS and _letters(w[:-1])] if self.letters is not self.tokenizer else []
+        ended = [w for w in new if w[-1] in SIGNS and _letters(w[:-1])] if self.letters else []
         rest = (new | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(ended) - self.known.keys()
-        runs = [w for w in rest if _letters(w)] if self.letters is not self.tokenizer else []
-        for words, tokenizer in ((runs, self.letters), (list(rest.difference(runs)), self.tokenizer)):
+        runs = [w for w in rest if _letters(w)] if self.letters else []
+        for words, encoded in ((runs, self._encoded_runs), (list(rest.difference(runs)), self._encoded)):
             for at in range(0, len(words), 4000):
-                self._keep(words[at : at + 4000], *self._encoded(words[at : at + 4000], tokenizer))
+                self._keep(words[at : at + 4000], *encoded(words[at : at + 4000]))
         if ended:
             index = np.fromiter((self.known[x] for w in ended for x in (w[:-1], w[-1])), np.int64, 2 * len(ended))
             ids, n = self._gather(index)
