@@ -58,13 +58,23 @@ def test_source_joins(spark):
     assert names["u1"] == "ais" and names["u2"] == "AIS" and names["u3"] == "unknown" and names["u4"] == ""
 
 
-def test_checked_broadcast_bound(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
-    b = enrich.checked_broadcast(big, max_rows=100)
-    assert "broadcast" not in b._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" in enrich.checked_broadcast(small, max_rows=100)._jdf.queryExecution().analyzed().toString().lower()
+def test_building_lookups_starts_no_job(spark):
+    src = spark.createDataFrame([(1, "ais"), (2, "dmas")], "id int, name string")
+    sub = spark.createDataFrame([(5, "radar", 1), (3, "esm", 2)], "id int, name string, source_id int")
+    rec = spark.createDataFrame([("AIS", "radar"), ("none", None)], "feed string, sub_source_name string")
+    spark.sparkContext.setJobGroup("plan building", "")
+    try:
+        out = enrich.with_dimension_names(enrich.with_sub_source_id(enrich.with_source_id(rec, src), sub), src, sub)
+        rows = cat.catalog_rows(files(spark))
+        cat.file_by_uuid(rows), cat.lookup_file(rows, "u1")
+        enrich.sub_sources_of(src.select(F.col("id").alias("source_id")), sub)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in out.select("source_id", "sub_source_id", "source", "sub_source").orderBy("sub_source_id").collect()] == [
+        (1, 3, "ais", "esm"), (1, 5, "ais", "radar")]
+    empty = enrich.with_sub_source_id(rec, sub.where("false"))
+    assert {r["sub_source_id"] for r in empty.collect()} == {1}
 
 
 def test_constraints(spark):

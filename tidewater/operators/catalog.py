@@ -108,14 +108,10 @@ def file_by_uuid(catalog: DataFrame) -> DataFrame:
     """E7 for every catalogue entry: where its bytes would be fetched from,
     and whether that object is still this upload (a later upload with the
     same bucket and filename replaces it, G1)."""
-    from .enrich import checked_broadcast
-
     cur = latest_objects(catalog.select("bucket", "filename", "timestamp", "uuid")).select(
         F.col("bucket").alias("_b"), F.col("filename").alias("_f"), F.col("uuid").alias("current_uuid"))
-    # one row per object name: broadcast when provably small, so a name written
-    # by a third of all uploads is not gathered into one join partition
-    # (above the bound: shuffle join, split by AQE's skew handling)
-    cur = checked_broadcast(cur)
+    # one row per object name on this side; a name written by a third of all
+    # uploads is split by AQE's skew handling when the join is shuffled
     j = catalog.join(cur, (F.col("bucket") == F.col("_b")) & (F.col("filename") == F.col("_f")), "left")
     return j.select("uuid", "bucket", "filename", "content_type",
                     (F.col("current_uuid") == F.col("uuid")).alias("found"), "current_uuid")
@@ -131,10 +127,8 @@ def lookup_file(catalog: DataFrame, uuid: str) -> DataFrame:
     down), and whether the object stored under its bucket and filename is
     still this upload. Only rows with that bucket and filename are
     aggregated (semi join against the one matched key), not the catalogue."""
-    from .enrich import checked_broadcast
-
     entry = catalog.where(F.col("uuid") == F.lit(uuid))
-    key = checked_broadcast(entry.select("bucket", "filename").distinct())
+    key = entry.select("bucket", "filename").distinct()
     same_name = catalog.join(key, ["bucket", "filename"], "left_semi")
     cur = latest_objects(same_name.select("bucket", "filename", "timestamp", "uuid")).select(
         "bucket", "filename", F.col("uuid").alias("current_uuid"))

@@ -82,18 +82,15 @@ def reference_violations(child: DataFrame, key: str, refs) -> DataFrame:
 
     ``refs``: (relation label, child column, parent frame with ``id``). Each
     parent contributes its distinct keys through a left join (keys are
-    unique, so no row is multiplied; small parents are broadcast after a
-    size check); one ``explode`` then emits a (relation, key, value) row per
+    unique, so no row is multiplied; Spark broadcasts small parents); one ``explode`` then emits a (relation, key, value) row per
     broken reference. The child is read and computed once, however many
     references it has."""
-    from .enrich import checked_broadcast
-
     out = child
     found = []
     for i, (relation, col, parent) in enumerate(refs):
         pk = f"_pk{i}"
         keys = parent.select(F.col("id").alias(pk)).distinct()
-        out = out.join(checked_broadcast(keys), F.col(col) == F.col(pk), "left")
+        out = out.join(keys, F.col(col) == F.col(pk), "left")
         found.append(F.when(F.col(col).isNotNull() & F.col(pk).isNull(), F.struct(
             F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"),
             F.col(col).cast("int").alias("value"))))

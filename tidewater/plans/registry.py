@@ -305,7 +305,7 @@ def source_lookup(spark, sf):
     """Name of every source id that the records reference (NULL = not found)."""
     s, _ = dims(spark, sf)
     ids = saved(all_records(spark, sf)).select("source_id").distinct()
-    named = enrich.checked_broadcast(s.select(F.col("id").alias("_id"), "name"))
+    named = s.select(F.col("id").alias("_id"), "name")
     return ids.join(named, F.col("source_id") == F.col("_id"), "left").select("source_id", "name")
 
 
