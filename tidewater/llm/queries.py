@@ -76,9 +76,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
     # one label for a document: toxic if any of its rows says so
-    labels = _table(spark, sf_dir, "labels").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
-    out = score_toxicity(docs, learn_toxicity(labelled), keep=("doc_id",))
+    labels = _table(spark, sf_dir, "labels").where(~held_out).groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").alias("label"))
+    model = learn_toxicity(labels, texts=docs.select(F.col("doc_id").alias("key"), "text"))
+    out = score_toxicity(docs, model, keep=("doc_id",))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -126,20 +126,31 @@ def _swaps() -> dict[int, tuple[str, str]]:
     return {_of_text(t)[0]: (t, group[(k + 1) % len(group)]) for group in IDENTITY for k, t in enumerate(group)}
 
 
-def learn_toxicity(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+def learn_toxicity(labelled: DataFrame, sample: int = SAMPLE, texts: DataFrame | None = None) -> ToxicityModel:
     """Model learned from (key, text, label) rows, label 0 or 1.
 
     ``sample`` texts of each class, in expectation, chosen by a hash of
     ``key`` (all, where there are fewer); they are weighted back to the shares
     of all rows.  Without rows the model scores 0; with one class its share.
+    ``texts`` has the (key, text) rows if ``labelled`` has keys and labels
+    only: then keys are joined and sampled first, and just the sampled ones,
+    2 x ``sample`` in expectation, are broadcast to the texts, which stay put.
     """
-    rows = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull())
+    rows = labelled.where(F.col("label").isin(0, 1))
+    if texts is None:
+        rows = rows.where(F.col("text").isNotNull())
+    else:
+        texts = texts.where(F.col("text").isNotNull())
+        rows = rows.join(texts.select("key"), "key")
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     none = np.zeros(0)
     if len(totals) < 2:
         return ToxicityModel(none.astype(np.uint64), none, 20.0 if 1 in totals else -20.0)
     share = F.when(F.col("label") == 1, min(1.0, sample / totals[1])).otherwise(min(1.0, sample / totals[0]))
-    picked = written(rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).select("text", F.col("label").cast("long").alias("label")))
+    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
+    if texts is not None:
+        picked = texts.join(F.broadcast(written(picked.select("key", "label").distinct())), "key")
+    picked = written(picked.select("text", F.col("label").cast("long").alias("label")))
 
     size = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
     n, mean = sum(size.values()), size.get(1, 0) / max(1, sum(size.values()))
