@@ -296,6 +296,17 @@ def test_toxicity_learns_words_and_not_groups(spark):
     assert score_toxicity(spark.createDataFrame([("a",)], "text string"), none).first().score < 0.01
 
 
+def test_toxicity_sampled_keys_give_the_same_model(spark):
+    rows = [(k, f"n{k % 7} n{k % 11} " + ("bad" if k % 3 == 0 else "good"), int(k % 3 == 0)) for k in range(400)]
+    joined = spark.createDataFrame(rows, "key long, text string, label int")
+    texts = spark.createDataFrame([r[:2] for r in rows] + [(None, "x"), (900, None), (901, "no label")], "key long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(900, 1), (902, 0), (None, 1)], "key long, label int")
+    one, two = learn_toxicity(joined, sample=60), learn_toxicity(labels, sample=60, texts=texts)
+    test = spark.createDataFrame([("n1 bad",), ("n2 good",), ("",)], "text string")
+    a, b = ([r.score for r in score_toxicity(test, m, keep=("text",)).orderBy("text").collect()] for m in (one, two))
+    assert a == pytest.approx(b, abs=1e-6) and max(a) > 0.5 > min(a)
+
+
 def test_perspectives(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (1, 1, "ann", "hi")]
     out = rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
