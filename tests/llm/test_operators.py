@@ -156,6 +156,19 @@ def test_decontamination(docs, empty, spark):
     assert {r.n_hit for r in decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_tells_benchmark_rows_apart(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    frame = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, f"{three} x"), (4, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([("7", one), ("7", two), ("7", two), (None, three)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], [tuple(h) for h in r.hits]) for r in decontaminate(frame, bench).collect()}
+    assert got == {
+        1: (12, ["7"], [(1, 10), (2, 10), (3, 10)]),
+        2: (12, ["7"], [(1, 10), (2, 10), (3, 10)]),
+        3: (12, [], [(0, 10), (1, 10), (2, 10)]),
+        4: (0, [], []),
+    }
+
+
 def test_stupid_backoff(docs, empty):
     lists = [(i, WORD.findall(t or "")) for i, t in DOCS]
     counts = {n: collections.Counter(g for _, w in lists for g in zip(*(w[k:] for k in range(n)))) for n in (1, 2, 3)}

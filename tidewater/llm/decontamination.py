@@ -30,12 +30,12 @@ TABLE_BITS = 24  # the bit table has 2**24 bits: 2 MB
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Item texts to windows: item_id, window, words, shingles (hashes, in order)."""
+    """Item rows to windows: item (its row), item_id, window, words, shingles (hashes, in order)."""
     hasher, table, lower = Hasher(), alnum_bytes(), ascii_lower()
     for batch in batches:
         rows = []
-        data, offsets = utf8(batch.column(1))
-        for item, a, b in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
+        data, offsets = utf8(batch.column(2))
+        for item, item_id, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets, offsets[1:]):
             w = Words(lower[data[a:b]], np.array([0, b - a]), table)
             if not len(w):
                 continue
@@ -44,10 +44,10 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             g = min(SHINGLE, len(words))
             shingles = hasher.windows(hasher.words(w), g).view(np.int64).tolist()
             n = min(size, len(words))
-            rows += [(item, k, words[k : k + n], shingles[k : k + n - g + 1]) for k in range(len(words) - n + 1)]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "window", "words", "shingles"])
+            rows += [(item, item_id, k, words[k : k + n], shingles[k : k + n - g + 1]) for k in range(len(words) - n + 1)]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item", "item_id", "window", "words", "shingles"])
 
 
 def _bit_table(shingles: DataFrame) -> np.ndarray:
@@ -139,20 +139,24 @@ def decontaminate(
     sorted) and hits (start and length in words of every occurring window, by
     start; of several from one word the longest).
 
-    Null or empty texts have no words.  Items repeated in the benchmark all
-    count; items without words never do.  Rows of one doc_id are documents of
+    Null or empty texts have no words.  Rows of the benchmark are items of
+    their own: those of one id all count, whatever their texts; the words of an
+    item with a null id are hit, but ``items`` does not list it.  Items without
+    words never count.  Rows of one doc_id are documents of
     their own.  Other columns are ignored.  An empty benchmark hits nothing.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    windows = written(items.mapInArrow(lambda batches: _windows(batches, window), "item_id string, window long, words array<string>, shingles array<long>"))
+    items = benchmark.select(
+        F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")
+    )
+    windows = written(items.mapInArrow(lambda batches: _windows(batches, window), "item long, item_id string, window long, words array<string>, shingles array<long>"))
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
 
-    every = windows.select("item_id", "window", F.posexplode("shingles").alias("at", "shingle"))
+    every = windows.select("item", "window", F.posexplode("shingles").alias("at", "shingle"))
     counts = _shingle_counts(texts, _bit_table(every.select("shingle")), sizes)
     order = F.min(F.struct("n", "shingle", "at")).alias("rarest")
-    prefix = every.join(counts, "shingle").groupBy("item_id", "window").agg(order, F.count("*").alias("in_documents"))
-    same = ["item_id", "window"]  # a repeated item id gives the same window twice: both rows are joined, results are sets
+    same = ["item", "window"]  # the item's row, not its id: ids may be null, or repeated with other texts
+    prefix = every.join(counts, "shingle").groupBy(*same).agg(order, F.count("*").alias("in_documents"))
     prefix = windows.join(prefix, same).where(F.col("in_documents") >= F.size("shingles"))
     prefix = written(prefix.select("item_id", "words", F.col("rarest.shingle").alias("shingle"), F.col("rarest.at").alias("at")))
 
