@@ -193,6 +193,30 @@ def test_stupid_backoff(docs, empty):
     assert stupid_backoff(empty).count() == 0
 
 
+def test_registered_backoff_takes_trigrams(docs, spark, tmp_path, monkeypatch):
+    import tidewater.llm.spread as spread
+    from tidewater.llm.queries import QUERIES
+
+    def result(frame):
+        return collections.Counter((r.doc_id, r.n_words, r.n_top, round(r.log_score, 4)) for r in frame.collect())
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    two, three, four = (result(stupid_backoff(docs, order=n)) for n in (2, 3, 4))
+    assert result(QUERIES["op9_lm_scoring"](spark, str(tmp_path))) == three != two
+    monkeypatch.setattr(spread, "LEAST_UNIT_BYTES", 1 << 13)  # many units and buckets
+    assert result(stupid_backoff(docs, order=3)) == three and result(stupid_backoff(docs, order=4)) == four
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000])
+def test_packed_hashes(n):
+    from tidewater.llm.lm_scoring import _pack, _unpack
+
+    hashes = np.unique(np.append(RNG.integers(0, 2**64, n - 1, np.uint64), np.uint64(2**64 - 1)))
+    body = _pack(hashes)
+    got, end = _unpack(body + b"counts", len(hashes))
+    assert got.tolist() == hashes.tolist() and end == len(body)
+
+
 def test_fingerprints(docs, empty, spark):
     rows = in_order(DOCS)
     want = collections.Counter()

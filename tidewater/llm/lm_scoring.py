@@ -7,6 +7,11 @@ n-grams it has, with its own counts; the bucket adds the counts up and answers
 in the order of the question.  Counts are local before they move, so the most
 frequent n-gram costs its bucket one entry for each unit.
 
+N-grams of three and more words go in rounds of their own: one that another
+document holds has both its shorter n-grams there too, so after the answers of
+the round before only such n-grams are asked for.  The others' counts in the
+other documents are 0.  Hashes of a message are sorted and packed without loss.
+
 An n-gram is known by 64 bits within a bucket that independent bits choose.
 """
 
@@ -37,14 +42,35 @@ def _unsmall(body: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _grams(rows: pa.Table, order: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a unit's n-grams of 1 to ``order`` words: hash, bucket, length, position of the last word; words of each text."""
+def _pack(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as Elias-Fano code: the upper ``k`` bits in unary steps, the lower bits as they are."""
+    n = len(hashes)
+    k = max(1, n.bit_length() - 1)
+    upper = np.zeros(n + (1 << k), np.uint8)
+    upper[(hashes >> np.uint64(64 - k)).astype(np.int64) + np.arange(n)] = 1
+    lower = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, k:]
+    return np.packbits(upper).tobytes() + np.packbits(lower).tobytes()
+
+
+def _unpack(body: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The hashes, and the bytes that they took."""
+    k = max(1, n.bit_length() - 1)
+    middle = -(-(n + (1 << k)) // 8)
+    end = middle + -(-n * (64 - k) // 8)
+    upper = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8, middle))) - np.arange(n)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, k:] = np.unpackbits(np.frombuffer(body, np.uint8, end - middle, middle), count=n * (64 - k)).reshape(n, 64 - k)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) | (upper.astype(np.uint64) << np.uint64(64 - k)), end
+
+
+def _grams(rows: pa.Table, lengths: tuple[int, ...], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a unit's n-grams of ``lengths`` words: hash, bucket, length, position of the last word; words of each text."""
     data, offsets = utf8(rows["text"])
     hasher, table, parts, counts, at = Hasher(), non_space_bytes(), [], [np.zeros(0, np.int64)], 0
     for a, b in pieces(offsets):
         w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
         each = hasher.words(w)
-        for size in range(1, order + 1):
+        for size in lengths:
             starts = window_starts(w.bounds, size)
             if len(starts):
                 high = hasher.windows(each, size, second=True)[starts] >> np.uint64(32)
@@ -68,7 +94,7 @@ def _distinct(hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.n
     return order[new], index
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stupid-backoff log score of every document under the counts of all other documents.
 
     For each word the longest n-gram of at most ``order`` words that ends in it
@@ -87,18 +113,53 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col:
     """
     units, n_buckets = in_units(docs, id_col, text_col)
 
-    def ask(unit, rows):
-        hashes, buckets, *_ = _grams(rows, order, n_buckets)
+    rounds = [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
+
+    def grams(rows, k, by_size):
+        """The n-grams of round ``k`` that other documents can hold."""
+        hashes, buckets, sizes, last, n_words = _grams(rows, rounds[k], n_buckets)
+        if k:
+            held = (by_size[sizes - 1, last] > 0) & (by_size[sizes - 1, last - 1] > 0)
+            hashes, buckets, sizes, last = hashes[held], buckets[held], sizes[held], last[held]
+        return hashes, buckets + np.int32(k * n_buckets), sizes, last, n_words
+
+    def known(rows, got, n_rounds):
+        """After ``n_rounds`` rounds: counts in the other documents, for the n-gram that ends in each word, by length; words of each text."""
+        bodies, by_size = dict(zip(got["bucket"].to_pylist(), got["body"].to_pylist())), None
+        for k in range(n_rounds):
+            hashes, buckets, sizes, last, n_words = grams(rows, k, by_size)
+            if by_size is None:
+                by_size = np.zeros((order + 1, int(n_words.sum())), np.int64)
+                doc = np.repeat(np.arange(len(n_words)), n_words)
+            first, index = _distinct(hashes, buckets)
+            edges = np.searchsorted(buckets[first], np.arange(k * n_buckets, (k + 1) * n_buckets + 1))
+            total = np.zeros(len(first), np.int64)
+            for b, low, high in zip(range(k * n_buckets, (k + 1) * n_buckets), edges, edges[1:]):
+                if low < high:
+                    total[low:high] = _unsmall(bodies[b], int(high - low))
+            _, own_index, own = np.unique(index * len(n_words) + doc[last], return_inverse=True, return_counts=True)
+            by_size[sizes, last] = total[index] - own[own_index]
+        return by_size, n_words, doc
+
+    def question(unit, rows, k, by_size):
+        hashes, buckets, *_ = grams(rows, k, by_size)
         first, index = _distinct(hashes, buckets)
         sent, count = hashes[first], np.bincount(index, minlength=len(first))
-        return messages(unit, buckets[first], n_buckets, lambda s: np.int64(s.stop - s.start).tobytes() + sent[s].tobytes() + _small(count[s]))
+        return messages(unit, buckets[first], (k + 1) * n_buckets, lambda s: np.int64(s.stop - s.start).tobytes() + _pack(sent[s]) + _small(count[s]))
+
+    def ask(unit, rows):
+        return question(unit, rows, 0, None)
+
+    def ask_more(k):
+        return lambda unit, rows, got: question(unit, rows, k, known(rows, got, k)[0])
 
     def answer(bucket, got):
         hashes, counts = [], []
         for body in got["body"].to_pylist():
             n = int(np.frombuffer(body, np.int64, 1)[0])
-            hashes.append(np.frombuffer(body, np.uint64, n, 8))
-            counts.append(_unsmall(body[8 + 8 * n :], n))
+            some, end = _unpack(body[8:], n)
+            hashes.append(some)
+            counts.append(_unsmall(body[8 + end :], n))
         edges = np.cumsum([0, *map(len, hashes)])
         _, index = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)[index]
@@ -106,19 +167,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col:
         return pa.table([got["unit"], pa.array([bucket] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], schema=MESSAGE_SCHEMA)
 
     def settle(unit, rows, got):
-        hashes, buckets, sizes, last, n_words = _grams(rows, order, n_buckets)
-        first, index = _distinct(hashes, buckets)
-        edges = np.searchsorted(buckets[first], np.arange(n_buckets + 1))
-        total = np.zeros(len(first), np.int64)
-        for b, body in zip(got["bucket"].to_pylist(), got["body"].to_pylist()):
-            total[edges[b] : edges[b + 1]] = _unsmall(body, int(edges[b + 1] - edges[b]))
+        by_size, n_words, doc = known(rows, got, len(rounds))
         words = int(n_words.sum())
-        doc = np.repeat(np.arange(len(n_words)), n_words)
-        # counts in the other documents, for the n-gram that ends in each word, by length
-        _, own_index, own = np.unique(index * len(n_words) + doc[last], return_inverse=True, return_counts=True)
-        other = total[index] - own[own_index]
-        by_size = np.zeros((order + 1, words), np.int64)
-        by_size[sizes, last] = other
         place = np.arange(words) - np.repeat(np.cumsum(n_words) - n_words, n_words)
         top = np.minimum(place + 1, order)
         level = np.zeros(words, np.int64)
@@ -141,7 +191,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = 0.4, id_col:
             schema=_ARROW,
         )
 
-    sums = written(exchange(units, ask, answer, settle, _SCHEMA))
+    sums = written(exchange(units, ask, answer, settle, _SCHEMA, tuple(ask_more(k) for k in range(1, len(rounds)))))
     words = sums.agg(F.sum("n_words")).first()[0] or 0
     total = F.col("log_sum") - F.col("n_base") * F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)))
     return sums.select("doc_id", "n_words", "n_top", F.round(total, 6).alias("log_score"), F.round(total / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_log_score"))

@@ -103,7 +103,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(_table(spark, sf_dir, "documents"), order=2)
+    return stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,9 +80,12 @@ def messages(unit: int, buckets: np.ndarray, n_buckets: int, pack: Callable[[sli
     )
 
 
-def exchange(units: DataFrame, ask: Callable, answer: Callable, settle: Callable, schema: str) -> DataFrame:
+def exchange(units: DataFrame, ask: Callable, answer: Callable, settle: Callable, schema: str, then: tuple[Callable, ...] = ()) -> DataFrame:
     """``ask(unit, texts)`` sends messages to buckets, ``answer(bucket, messages)`` sends
-    messages to units, ``settle(unit, texts, answers)`` makes the result."""
+    messages to units, ``settle(unit, texts, answers)`` makes the result.
+
+    Each of ``then`` is a further question, ``more(unit, texts, answers)``, asked with
+    all answers so far at hand; it must use buckets that no earlier question used."""
 
     def asked(key, texts):
         return ask(key[0].as_py(), by_id(texts))
@@ -90,12 +93,15 @@ def exchange(units: DataFrame, ask: Callable, answer: Callable, settle: Callable
     def answered(key, got):
         return answer(key[0].as_py(), got.sort_by("unit"))
 
-    def settled(key, texts, got):
-        return settle(key[0].as_py(), by_id(texts), got.sort_by("bucket"))
+    def with_answers(f):
+        return lambda key, texts, got: f(key[0].as_py(), by_id(texts), got.sort_by("bucket"))
 
     asks = units.groupBy("unit").applyInArrow(asked, MESSAGE)
     answers = asks.groupBy("bucket").applyInArrow(answered, MESSAGE)
-    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(settled, schema)
+    for more in then:
+        asks = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(with_answers(more), MESSAGE)
+        answers = answers.unionAll(asks.groupBy("bucket").applyInArrow(answered, MESSAGE))
+    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(with_answers(settle), schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
