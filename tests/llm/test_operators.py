@@ -312,6 +312,22 @@ def test_language_id(spark):
     assert identify(spark.createDataFrame([("text",)], "text string"), none).first()[0] == "und"
 
 
+def test_language_id_learns_every_label(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    letters = [chr(0x3400 + 40 * k + j) for k in range(130) for j in range(40)]  # 40 of their own for each language
+
+    def text(k, n):
+        return " ".join("".join(rng.choice(letters[40 * k : 40 * k + 40], 4)) for _ in range(n))
+
+    rows = [(i, f"l{k:03}", text(k, 300)) for k in range(129) for i in range(2 if k < 64 else 1)]
+    rows.append((9, "rare", "".join(letters[40 * 129 : 40 * 130])))  # each n-gram once
+    model = learn(spark.createDataFrame(rows, "key long, lang string, text string"))
+    assert len(model.languages) == 130
+    test = [(f"l{k:03}", text(k, 200)) for k in range(129)] + [("rare", "".join(letters[40 * 129 + 5 : 40 * 130]))]
+    got = identify(spark.createDataFrame(test, "lang string, text string"), model, keep=("lang",)).collect()
+    assert [r.lang_pred for r in got] == [r.lang for r in got] and min(r.coverage for r in got) >= 0.1
+
+
 def test_toxicity_learns_words_and_not_groups(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     rows = []

@@ -6,7 +6,8 @@ contain it, found in one look-up.  A text's n-grams are counted for each
 language (population counts of the bit slices); counts are corrected for the
 false positives that the fill of a slice lets expect; the largest share wins.
 
-The filter has a fixed size.  It is learned in Spark from a sample of labelled
+The filter has a fixed number of slots, and 128 KB of bits for each language
+(in words of 64 languages).  It is learned in Spark from a sample of labelled
 texts: n-grams are counted for each language, and a slot's bits are OR-ed.
 """
 
@@ -29,15 +30,18 @@ PROBES = 3
 SAMPLE = 4000
 #: An n-gram belongs to a language that has it this often, and at this share of the rate of the language that has it most.
 LEAST_COUNT, LEAST_RATE = 3, 0.3
+#: Up to so many learned n-grams of a language, once is often enough; up to the second number, twice.
+FEW_GRAMS = (10_000, 100_000)
 
 
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    slots: np.ndarray  # one unsigned integer for each slot, bit l for languages[l]
+    slots: np.ndarray  # unsigned integers by word and slot, bit l % 64 of word l // 64 for languages[l]
 
     def false_positives(self) -> np.ndarray:
-        bits = [float(((self.slots >> self.slots.dtype.type(k)) & self.slots.dtype.type(1)).mean()) for k in range(len(self.languages))]
+        one = self.slots.dtype.type
+        bits = [float(((self.slots[k // 64] >> one(k % 64)) & one(1)).mean()) for k in range(len(self.languages))]
         return np.array(bits) ** PROBES
 
 
@@ -80,19 +84,22 @@ def _slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
-    """Filter learned from (lang, text, key) rows; at most 64 languages, the most frequent ones.
+    """Filter learned from (lang, text, key) rows; every ``lang`` value is a language.
 
     ``sample`` texts of each language, in expectation, chosen by a hash of
     ``key`` (all, where there are fewer).
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(counts))
-    kind = np.dtype(f"u{max(1, next(b for b in (1, 2, 4, 8) if 8 * b >= len(languages)))}")
+    kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= min(64, len(languages)))}")
+    out = np.zeros((-(-len(languages) // 64), SLOTS), kind)
     if not languages:
-        return LanguageFilter((), np.zeros(SLOTS, kind))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / counts[lang]))])
-    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+        return LanguageFilter((), out)
+    sampled = [F.lit(x) for lang in languages if counts[lang] > sample for x in (lang, sample / counts[lang])]
+    share = F.coalesce(F.create_map(*sampled)[F.col("lang")], F.lit(1.0)) if sampled else F.lit(1.0)
+    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    number = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,25 +107,29 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
             names = batch.column(0).to_pylist()
             for a, b in pieces(offsets):
                 hashes, per_text = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                of = np.repeat(np.array([languages.index(x) for x in names[a:b]]), per_text)
+                of = np.repeat(np.array([number[x] for x in names[a:b]]), per_text)
                 for k in np.unique(of).tolist():
                     values, n = np.unique(hashes[of == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["language", "gram", "n"])
 
     counted = picked.select("lang", "text").mapInArrow(count, "language int, gram long, n long")
-    by_gram = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("language") == k, F.col("n"))).alias(f"n{k}") for k in range(len(languages))])
-    by_gram = by_gram.persist()
-    totals = by_gram.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).first()
-    rates = [F.coalesce(F.col(f"n{k}"), F.lit(0)) / F.lit(max(1, totals[k] or 0)) for k in range(len(languages))]
-    most = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    belongs = [(F.col(f"n{k}") >= LEAST_COUNT) & (rates[k] >= LEAST_RATE * most) for k in range(len(languages))]
-    bits = sum((F.when(b, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k, b in enumerate(belongs)), F.lit(0).cast("long"))
+    per = counted.groupBy("gram", "language").agg(F.sum("n").alias("n")).persist()
+    totals, least = [1] * len(languages), [1] * len(languages)
+    for r in per.groupBy("language").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect():
+        totals[r["language"]] = r["n"]
+        least[r["language"]] = min(LEAST_COUNT, 1 + sum(r["n"] > few for few in FEW_GRAMS), r["most"])
+
+    def of_language(numbers: list[int]):
+        return F.element_at(F.lit(numbers), F.col("language") + 1)
+
+    rated = F.struct("language", (F.col("n") >= of_language(least)).alias("often"), (F.col("n") / of_language(totals)).alias("rate"))
+    by_gram = per.select("gram", rated.alias("of")).groupBy("gram").agg(F.collect_list("of").alias("of"), F.max("of.rate").alias("most"))  # a row for each language at most
+    belongs = by_gram.select("gram", F.explode(F.filter("of", lambda x: x["often"] & (x["rate"] >= LEAST_RATE * F.col("most")))).alias("of")).select("gram", "of.language")
     probes = F.array(*[F.expr(f"(gram >> {20 * k}) & {SLOTS - 1}") for k in range(PROBES)])
-    slots = by_gram.select(bits.alias("bits"), probes.alias("probes")).where("bits != 0").select("bits", F.explode("probes").alias("slot"))
-    filled = slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # SLOTS rows at most
-    by_gram.unpersist()
-    out = np.zeros(SLOTS, kind)
-    out[filled["slot"].to_numpy()] = filled["bits"].to_numpy().astype(np.int64).view(np.uint64).astype(kind)
+    bits = belongs.select(F.expr("language div 64").alias("word"), F.expr("shiftleft(1L, language % 64)").alias("bits"), F.explode(probes).alias("slot"))
+    filled = bits.groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # SLOTS rows at most for each 64 languages
+    per.unpersist()
+    out[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["bits"].to_numpy().astype(np.int64).view(np.uint64).astype(kind)
     return LanguageFilter(languages, out)
 
 
@@ -136,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
     rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = rows.drop("text", "letters").schema
     rows = rows if text == "text" else rows.drop("text")  # a kept text goes to the tasks once
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_positives()))  # fixed size: SLOTS integers
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots, model.false_positives()))  # SLOTS integers for each 64 languages
     schema = schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +157,19 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
             shares = np.zeros((batch.num_rows, max(1, len(languages))))
             for a, b in pieces(offsets):
                 hashes, counts = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                mask = np.full(len(hashes), np.iinfo(table.dtype).max, table.dtype)
-                for at in _slots(hashes):
-                    mask &= table[at]
                 edges = np.concatenate(([0], np.cumsum(counts)))
-                for k in range(len(languages)):
-                    hits = np.concatenate(([0], np.cumsum((mask >> table.dtype.type(k)) & table.dtype.type(1), dtype=np.int64)))
-                    share = (hits[edges[1:]] - hits[edges[:-1]]) / np.maximum(counts, 1)
-                    shares[a:b, k] = np.clip((share - wrong[k]) / max(1e-9, 1 - wrong[k]), 0, 1)
+                one = table.dtype.type
+                for word, slots in enumerate(table):
+                    mask = np.full(len(hashes), np.iinfo(table.dtype).max, table.dtype)
+                    for at in _slots(hashes):
+                        mask &= slots[at]
+                    found = int(np.bitwise_or.reduce(mask))
+                    for k in range(64 * word, min(len(languages), 64 * word + 64)):
+                        if not found >> k % 64 & 1:
+                            continue  # no text has a share
+                        hits = np.concatenate(([0], np.cumsum((mask >> one(k % 64)) & one(1), dtype=np.int64)))
+                        share = (hits[edges[1:]] - hits[edges[:-1]]) / np.maximum(counts, 1)
+                        shares[a:b, k] = np.clip((share - wrong[k]) / max(1e-9, 1 - wrong[k]), 0, 1)
             best, total = shares.argmax(1), shares.sum(1)
             top = shares[np.arange(len(best)), best]
             letters = batch.column("letters").to_numpy(zero_copy_only=False) & bool(languages)
