@@ -297,6 +297,16 @@ def test_secrets(spark):
     assert scan_secrets(frame.limit(0)).count() == 0
 
 
+def test_upper_case_hex_is_a_secret(spark):
+    rng = np.random.Generator(np.random.PCG64(11))
+    keys = ["".join(rng.choice(list("0123456789ABCDEF"), n)) for n in (32, 40, 64) for _ in range(20)]
+    plain = ["12345678901234567890123456789012", "F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6", "ABCDEFABCDEFABCDEFABCDEFABCDEF"]
+    frame = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(keys + plain)], "doc_id long, text string")
+    out = [r.spans for r in scan_secrets(frame).select("doc_id", span_text(F.col("spans")).alias("spans")).orderBy("doc_id").collect()]
+    assert all(x.startswith("entropy:") for x in out[: len(keys)])
+    assert not any("entropy" in x for x in out[len(keys) :])
+
+
 def test_language_id(spark):
     rng = np.random.Generator(np.random.PCG64(2))
     parts = {"aa": ["the", "tion", "ing", "er"], "bb": ["eau", "ment", "é", "que"], "cc": ["ung", "sch", "keit", "ü"]}

@@ -25,7 +25,7 @@ ASSIGN_LEAST = 8
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy, in bits, of a window whose characters are all of the class.
-CLASSES = (("0123456789abcdef", 3.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7))
+CLASSES = (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7))
 #: Candidates that match one of these as a whole are no secrets: words joined by
 #: signs, numbers and dates, uuids, names of hash functions with their digest length.
 ALLOWED = (
