@@ -14,10 +14,12 @@ from tidewater.llm.packing import Limits, pack_documents
 from tidewater.llm.perspectives import rotate_perspectives
 from tidewater.llm.secrets import scan_secrets, span_text
 from tidewater.llm.substring_dedup import substring_dedup
+from tidewater.llm.token_alignment import align_tokens
 from tidewater.llm.toxicity import learn_toxicity, score_toxicity
 
 #: File names in the folder of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -111,6 +113,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -122,4 +129,5 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
+    "op11_token_alignment": op11_token_alignment,
 }
