@@ -12,6 +12,7 @@ from tidewater.llm.lm_scoring import stupid_backoff
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import Limits, pack_documents
 from tidewater.llm.perspectives import rotate_perspectives
+from tidewater.llm.reversed_search import search
 from tidewater.llm.secrets import scan_secrets, span_text
 from tidewater.llm.substring_dedup import substring_dedup
 from tidewater.llm.token_alignment import align_tokens
@@ -118,6 +119,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -130,4 +135,5 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
     "op11_token_alignment": op11_token_alignment,
+    "op13_reversed_search": op13_reversed_search,
 }
