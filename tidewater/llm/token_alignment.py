@@ -18,6 +18,7 @@ and encoded once and lost executors cost no second encoding.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import sys
@@ -164,15 +165,21 @@ def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b
     ids, sign = np.zeros(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
     ids[place_a], ids[place_b] = ids_a, ids_b
     sign[place_a[last_a]], sign[place_b[last_b]] = ord("|"), ord(";")
-    width = len(str(int(ids.max()))) if len(ids) else 1
+    table, lengths = decimals(len(str(int(ids.max()))) if len(ids) else 1)
+    cells = table[ids]
+    cells[:, -1] = sign
+    ends = np.cumsum(lengths[ids])
+    return cells[cells > 0], ends[place_b[last_b]]
+
+
+@functools.lru_cache(maxsize=1)
+def decimals(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of all numbers of up to ``width`` digits, zero bytes before them and one after; their lengths with that one."""
     powers = 10 ** np.arange(width - 1, -1, -1)
-    cells = np.empty((len(ids), width + 1), np.uint8)
-    cells[:, :width] = ids[:, None] // powers % 10 + ord("0")
-    cells[:, width] = sign
-    used = np.ones(cells.shape, dtype=bool)
-    used[:, :width] = (ids[:, None] >= powers) | (powers == 1)
-    ends = np.cumsum(used.sum(axis=1))
-    return cells[used], ends[place_b[last_b]]
+    numbers = np.arange(10**width)[:, None]
+    table = np.zeros((10**width, width + 1), np.uint8)
+    table[:, :width] = np.where((numbers >= powers) | (powers == 1), numbers // powers % 10 + ord("0"), 0)
+    return table, (table > 0).sum(axis=1) + 1
 
 
 @dataclass
