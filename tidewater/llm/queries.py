@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.fingerprints import document_fingerprints
 from tidewater.llm.language_id import identify, learn
+from tidewater.llm.license_scan import scan_licenses
 from tidewater.llm.lm_scoring import stupid_backoff
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import Limits, pack_documents
@@ -119,6 +120,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda p: p["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -135,5 +151,6 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
     "op11_token_alignment": op11_token_alignment,
+    "op12_license_scan": op12_license_scan,
     "op13_reversed_search": op13_reversed_search,
 }
