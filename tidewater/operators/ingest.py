@@ -28,11 +28,17 @@ class UploadResult:
     catalog: DataFrame
 
 
-def read_upload(spark: SparkSession, paths, kind: str) -> DataFrame:
-    """Raw feed frame for an upload kind ('ndjson' or 'structured')."""
+def read_upload(spark: SparkSession, paths, kind: str) -> list[DataFrame]:
+    """Raw feed frames for an upload kind ('ndjson' or 'structured'), one for
+    each header among the files."""
     if kind == "ndjson":
-        return files.read_ndjson_lines(spark, paths)
-    return converters.structured_cells(files.read_structured(spark, paths))
+        return [files.read_ndjson_lines(spark, paths)]
+    return [converters.structured_cells(f) for f in files.structured_frames(spark, paths)]
+
+
+def no_rows(spark: SparkSession) -> DataFrame:
+    """What an upload of empty files reads."""
+    return spark.createDataFrame([], "file_name string, row_no long")
 
 
 def _ndjson_keys(feed: str) -> list[str]:
@@ -117,23 +123,22 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
                   sub_source_dim: DataFrame, uploaded_at: str, content_type: str | None = None) -> UploadResult:
     """Convert one or more uploaded files of a feed and store the results.
 
-    Files are read in groups of one header line each, so columns are never
-    taken from another file's header. Unknown feed: nothing is converted and
+    Files are read by header, so columns are never taken from another file's
+    header. Unknown feed: nothing is converted and
     every row is reported skipped (the structured path's 'Row <i> skipped:
     unknown source type')."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     upload_id = upload_id_of(spark, paths)
     kind = upload_kind(paths, content_type)
-    groups = files.header_groups(spark, paths) if kind == "structured" else files.name_groups(paths)
     converted, cat_rows = None, None
-    for k, group in enumerate(groups):
+    for k, group in enumerate(files.name_groups(paths)):
         scope = upload_id if k == 0 else f"{upload_id}/{k}"  # files of one name in two groups keep apart
-        raw = read_upload(spark, group, kind)
-        part = convert_ndjson(raw, feed, keep_blank=True) if kind == "ndjson" else converters.convert_feed(raw, feed)
-        if part is None:  # every row reported, in the same record shape as converted rows
-            part = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
-        part = with_upload_ids(part, scope)
-        converted = part if converted is None else converted.unionByName(part)
+        for raw in read_upload(spark, group, kind) or [no_rows(spark)]:
+            part = convert_ndjson(raw, feed, keep_blank=True) if kind == "ndjson" else converters.convert_feed(raw, feed)
+            if part is None:  # every row reported, in the same record shape as converted rows
+                part = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
+            part = with_upload_ids(part, scope)
+            converted = part if converted is None else converted.unionByName(part)
         blobs = files.read_binary(spark, group).drop("content")  # the bytes are never read
         blobs = blobs.select(stable_uuid(F.lit(scope), F.col("filename")).alias("uuid"), "filename", "size")
         cat_rows = blobs if cat_rows is None else cat_rows.unionByName(blobs)

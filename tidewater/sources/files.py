@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from ..functions.text import file_extension, normalise_headers
+from ..functions.text import file_extension
+from ..sinks.scratch import stored
+from .delimited import BROADCAST_SPLITS, frames_by_header, read_delimited
 
 STRUCTURED_SUFFIXES = (".csv", ".tsv", ".xlsx")
 
@@ -45,8 +47,8 @@ def with_file_row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
     split (file, block start) the smallest id and the row count are
     aggregated -- one small row per split -- and a running sum over the
     splits of a file gives each split's first row number. The split table is
-    joined back; AQE broadcasts it when its measured size is small and keeps
-    a shuffle join otherwise.
+    written, counted and joined back: broadcast up to ``BROADCAST_SPLITS``
+    rows, so raw rows are not shuffled; joined by key beyond that.
     """
     if "_file_path" in df.columns:  # a stream selected the metadata already
         df = df.withColumnsRenamed({"_file_name": "file_name", "_file_path": "_fp", "_file_block_start": "_fb"})
@@ -57,22 +59,12 @@ def with_file_row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
     tagged = df.select("*", *meta, F.monotonically_increasing_id().alias("_mid"))
     splits = tagged.groupBy("_fp", "_fb").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_fp").orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_fp", "_fb", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    j = tagged.join(splits, ["_fp", "_fb"])
+    splits = stored(splits.select("_fp", "_fb", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset")), "splits")
+    j = tagged.join(F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits, ["_fp", "_fb"])
     return j.withColumn(name, (F.col("_mid") - F.col("_first") + F.col("_offset")).cast("long")).drop(
         "_fp", "_fb", "_mid", "_first", "_offset")
 
 
-def read_delimited(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
-    """A1/A2: delimited text with a header row, every column as text.
-    Headers are normalised (C9). No schema inference: typing is the
-    converters' job."""
-    reader = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-              .option("mode", "PERMISSIVE").option("multiLine", False))
-    df = reader.csv(paths)
-    return normalise_headers(with_file_row_numbers(df))
-
-
 def read_structured(spark: SparkSession, paths) -> DataFrame:
     """A1-A3: CSV, TSV or XLSX by suffix into a raw feed frame."""
     kind = check_structured(paths)
@@ -85,20 +77,15 @@ def read_structured(spark: SparkSession, paths) -> DataFrame:
     return read_xlsx_rows(spark, paths)
 
 
-def header_groups(spark: SparkSession, paths) -> list[list[str]]:
-    """Paths in groups that can be read together: delimited files of one
-    header line each (a reader takes the columns of all its files from one of
-    them), no two files of one name (records are known by file name and row).
-    Workbooks are groups of their own. Reads the first line of each file."""
-    sep = {".csv": ",", ".tsv": "\t"}.get(check_structured(paths))
-    groups: dict[tuple, list[str]] = {}
-    seen: dict[str, int] = {}
-    for k, path in enumerate(paths):
-        name = os.path.basename(path.rstrip("/"))
-        again = seen[name] = seen.get(name, -1) + 1
-        header = (k,) if sep is None else tuple(spark.read.option("header", True).option("sep", sep).csv(path).columns)
-        groups.setdefault((again, header), []).append(path)
-    return list(groups.values())
+def structured_frames(spark: SparkSession, paths) -> list[DataFrame]:
+    """A1-A3: a raw feed frame for each header among the files (columns are
+    never taken from another file's header); workbooks are frames of their own."""
+    kind = check_structured(paths)
+    if kind == ".xlsx":
+        from .office import read_xlsx_rows
+
+        return [read_xlsx_rows(spark, [p]) for p in ([paths] if isinstance(paths, str) else paths)]
+    return frames_by_header(spark, paths, "\t" if kind == ".tsv" else ",")
 
 
 def name_groups(paths) -> list[list[str]]:
