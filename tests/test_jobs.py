@@ -41,7 +41,9 @@ def test_store_end_to_end(spark):
     assert docs[0]["docx"]["paragraph_count"] == 1
 
     hist = jobs.file_history(spark, store).collect()
-    assert len(hist) == 4 and hist[0]["bucket"] == "images"
+    assert len(hist) == 5 and [h["bucket"] for h in hist[:2]] == ["docx-files", "images"]
+    assert imgs["g.jpg"]["gps_data"]["latitude"] == imgs["g.jpg"]["latitude"] == 10.5 and imgs["g.jpg"]["camera_info"]["make"] == "Acme"
+    assert imgs["g.jpg"]["date_taken"] == "2024-03-05" and imgs["g.jpg"]["time_taken"] == "10:20:30" and imgs["a.png"]["gps_data"] is None
     uuid = hist[-1]["uuid"]
     assert jobs.file_metadata(spark, store, uuid).first()["found"]
     assert jobs.file_metadata(spark, store, "nope").count() == 0

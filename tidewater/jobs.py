@@ -3,9 +3,11 @@
 Each function is one Spark job (or a few) over tables under ``store``:
 
     store/source, store/sub_source          dimension tables
-    store/cdf_data                          records (partitioned by upload, status, feed)
-    store/upload_metadata, store/file_catalog
+    store/cdf_data                          records as uploads wrote them (by upload, status, feed)
+    store/records, store/records_runs       the same, compacted (by status, source, month)
+    store/upload_summary, store/upload_metadata, store/file_catalog
     store/image_metadata, store/document_metadata
+    store/commits                           uploads whose tables are all there; readers see these only
 
 Nothing is gathered on the driver except small answers the caller asked
 for (a row count, a not-found check).
@@ -23,6 +25,7 @@ from .operators import catalog as cat
 from .operators import enrich, media
 from .operators.ingest import UploadResult, ingest_upload, upload_id_of
 from .schemas import SOURCE_SCHEMA, SUB_SOURCE_SCHEMA
+from .sinks import store as records_store
 from .sinks import writers
 from .sources import files, images, office
 
@@ -35,6 +38,13 @@ def init_store(spark: SparkSession, store: str, sources: list[tuple], sub_source
     """Create the dimension tables (small, given rows: A10 + B9)."""
     files.frame_from_rows(spark, sources, SOURCE_SCHEMA).write.mode("overwrite").parquet(_p(store, "source"))
     files.frame_from_rows(spark, sub_sources, SUB_SOURCE_SCHEMA).write.mode("overwrite").parquet(_p(store, "sub_source"))
+    nothing = spark.createDataFrame([], records_store.COMMIT_SCHEMA)
+    nothing.write.mode("append").partitionBy("upload_id").parquet(_p(store, "commits"))
+
+
+def compact(spark: SparkSession, store: str) -> int:
+    """B1: committed uploads into the compacted record table; returns how many."""
+    return records_store.compact(spark, store)
 
 
 def _dims(spark: SparkSession, store: str):
@@ -59,35 +69,50 @@ def upload(spark: SparkSession, paths, feed: str, store: str, uploaded_at: str,
 
 
 def extract_images(spark: SparkSession, paths, store: str, uploaded_at: str) -> DataFrame:
-    """M1-M3 for uploaded images: header profile + EXIF record + summary,
-    stored as image metadata and catalogue rows; non-images keep an error."""
+    """M1-M3 for uploaded images: the image document (header profile, camera
+    and GPS data, times, summary flags) and a catalogue row for each, under
+    one commit; non-images keep an error."""
+    uid = f"images-{upload_id_of(spark, paths)}"
+    run = records_store.begin(spark, store, uid)
     bins = files.read_binary(spark, paths)
     decoded = images.decode_images(bins)
     prof = images.image_profile(bins, decoded)
-    tags = images.exif_tag_table(decoded, stable_uuid(F.col("path")))
-    rec = media.image_summary(media.image_record(tags)).withColumnRenamed("filename", "_fn")
-    out = prof.withColumn("file_uuid", stable_uuid(F.col("path"))).join(rec, "file_uuid", "left").drop("_fn")
-    uid = upload_id_of(spark, paths)
+    rec = media.image_document(images.exif_tag_table(decoded, stable_uuid(F.col("path")))).drop("filename")
+    out = prof.withColumn("file_uuid", stable_uuid(F.col("path"))).join(rec, "file_uuid", "left")
     stored = writers.write_upload(out, _p(store, "image_metadata"), uid)
     ct = F.concat(F.lit("image/"), F.lower(F.coalesce(F.col("format"), F.lit("unknown"))))
     catalog_rows = cat.catalog_rows(prof.select(
         stable_uuid(F.col("path")).alias("uuid"), "filename", F.lit(uploaded_at).alias("timestamp"),
         ct.alias("content_type"), F.col("file_size_bytes").alias("size"), F.lit(None).cast("string").alias("source")))
     writers.append_catalog(catalog_rows, _p(store, "file_catalog"), uid)
+    records_store.commit(spark, store, uid, run, ["image_metadata", "file_catalog"])
     return stored
 
 
 def upload_documents(spark: SparkSession, paths, store: str, uploaded_at: str) -> DataFrame:
-    """M4/M5/M7: office documents -> document metadata rows."""
+    """M4/M5/M7: office documents -> document metadata and catalogue rows
+    (a document is in the file history like any other upload)."""
+    uid = f"documents-{upload_id_of(spark, paths)}"
+    run = records_store.begin(spark, store, uid)
     docs = office.document_records(files.read_binary(spark, paths), uploaded_at)
-    return writers.write_upload(docs, _p(store, "document_metadata"), upload_id_of(spark, paths))
+    stored = writers.write_upload(docs, _p(store, "document_metadata"), uid)
+    rows = stored.select("uuid", "filename", F.col("upload_time").alias("timestamp"), "content_type",
+                         F.col("storage.size").alias("size"), F.lit(None).cast("string").alias("source"))
+    writers.append_catalog(cat.catalog_rows(rows), _p(store, "file_catalog"), uid)
+    records_store.commit(spark, store, uid, run, ["document_metadata", "file_catalog"])
+    return stored
+
+
+def _saved(spark: SparkSession, store: str) -> DataFrame:
+    return records_store.read_records(spark, store, F.col("status") == "saved").drop(
+        "reject_reason", "status", "day", "month", "upload_id", "run")
 
 
 def export_cdf(spark: SparkSession, store: str, out_json: str | None = None) -> DataFrame:
     """The enriched export (3.2): saved records with source names, WKT and
     ISO times; optionally written as JSON records (B5)."""
     s, ss = _dims(spark, store)
-    rec = enrich.with_dimension_names(writers.read_saved_records(spark, _p(store, "cdf_data")), s, ss)
+    rec = enrich.with_dimension_names(_saved(spark, store), s, ss)
     out = rec.select("uuid", "file_uuid", "latitude", "longitude", "speed", "bearing", "course", "sys_trk_no",
                      "source", "sub_source", wkt_or_invalid(F.col("location")).alias("location"),
                      iso_text(F.col("logged_timestamp")).alias("logged_timestamp"), "vessel_name", "imo", "mmsi")
@@ -99,26 +124,25 @@ def export_cdf(spark: SparkSession, store: str, out_json: str | None = None) ->
 def list_upload_metadata(spark: SparkSession, store: str) -> DataFrame:
     """H1 + E3: upload metadata with source names, newest first."""
     s, ss = _dims(spark, store)
-    meta = enrich.with_dimension_names(spark.read.parquet(_p(store, "upload_metadata")), s, ss)
+    meta = enrich.with_dimension_names(records_store.read_committed(spark, store, "upload_metadata"), s, ss)
     return meta.select("file_uuid", "file_name", "source", "sub_source", "format", "record_count",
                        "timestamp").orderBy(F.desc("timestamp"), F.desc("file_uuid"))
 
 
 def file_history(spark: SparkSession, store: str) -> DataFrame:
     """A7 + H2: the catalogue without internal columns, newest first."""
-    return cat.file_history(spark.read.parquet(_p(store, "file_catalog")).drop("upload_id"))
+    return cat.file_history(records_store.read_committed(spark, store, "file_catalog").drop("upload_id"))
 
 
 def file_metadata(spark: SparkSession, store: str, uuid: str) -> DataFrame:
     """C3 + E7: one catalogue entry by uuid with where its bytes are and
     whether that object is still this upload; empty frame = not found."""
-    return cat.lookup_file(spark.read.parquet(_p(store, "file_catalog")), uuid)
+    return cat.lookup_file(records_store.read_committed(spark, store, "file_catalog"), uuid)
 
 
 def download_file_records(spark: SparkSession, store: str, file_uuid: str, out_csv: str) -> None:
     """One file's records as CSV; LookupError when there are none."""
-    writers.export_file_records(writers.read_saved_records(spark, _p(store, "cdf_data")).drop("upload_id"),
-                                file_uuid, out_csv)
+    writers.export_file_records(_saved(spark, store), file_uuid, out_csv)
 
 
 def list_sources(spark: SparkSession, store: str) -> DataFrame:

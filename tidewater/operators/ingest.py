@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import stable_uuid
-from ..sinks import writers
+from ..sinks import store, writers
+from ..sinks.scratch import is_scratch
 from ..sources import files
 from . import catalog as cat
 from . import checks, converters, enrich
@@ -99,8 +100,12 @@ def upload_id_of(spark: SparkSession, paths) -> str:
     the same job run again has the same id and replaces its own output; a
     changed file at the same path is an upload of its own."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = files.read_binary(spark, paths).select("path", "size", F.unix_micros("modificationTime").alias("at")).collect()
-    return hashlib.md5("\n".join(sorted(f"{r['path']}:{r['size']}:{r['at']}" for r in found)).encode()).hexdigest()
+    at = F.unix_micros("modificationTime")
+    files_in = files.read_binary(spark, paths).select("path", "size", at.alias("at"))
+    # sums of hashes do not depend on the order, and no list of files comes to the driver
+    sums = [F.sum(F.xxhash64(F.lit(k), "path", "size", "at").cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
+    row = files_in.agg(F.count("*").alias("n"), F.sum("size").alias("size"), *sums).first()
+    return hashlib.md5(":".join(str(x) for x in row).encode()).hexdigest()
 
 
 def upload_kind(paths, content_type: str | None) -> str:
@@ -110,7 +115,7 @@ def upload_kind(paths, content_type: str | None) -> str:
     return "structured"
 
 
-def _content_type(filename) -> Column:
+def content_type_of(filename) -> Column:
     """MIME type of a feed file by its suffix."""
     name = F.lower(filename)
     return (F.when(name.endswith(".ndjson"), "application/x-ndjson").when(name.endswith(".json"), "application/json")
@@ -129,6 +134,7 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     unknown source type')."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     upload_id = upload_id_of(spark, paths)
+    run = store.begin(spark, out_dir, upload_id)
     kind = upload_kind(paths, content_type)
     converted, cat_rows = None, None
     for k, group in enumerate(files.name_groups(paths)):
@@ -144,23 +150,35 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
         cat_rows = blobs if cat_rows is None else cat_rows.unionByName(blobs)
     converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
     converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
-    records_path = f"{out_dir.rstrip('/')}/cdf_data"
-    written = writers.write_upload_records(converted, records_path, upload_id)
+    ct = F.lit(content_type) if content_type else content_type_of(F.col("filename"))
+    cat_rows = cat_rows.select("uuid", "filename", F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
+                               F.lit(feed).alias("upload_source"))
+    result = store_upload(converted, cat_rows, out_dir, upload_id, source_dim, uploaded_at)
+    store.commit(spark, out_dir, upload_id, run, UPLOAD_TABLES)
+    return result
+
+
+#: What one upload writes before its commit.
+UPLOAD_TABLES = ["cdf_data", "upload_summary", "upload_metadata", "file_catalog"]
+
 
-    summary = checks.upload_summary(written)
+def store_upload(converted: DataFrame, files_in: DataFrame, out_dir: str, upload_id: str, source_dim: DataFrame,
+                 uploaded_at: str) -> UploadResult:
+    """The tables of one upload: records and rejects (B1), counts per file
+    (F1-F3), upload metadata (F4), catalogue rows (B7). ``files_in`` has the
+    uploaded files: uuid, filename, timestamp, content_type, size,
+    upload_source."""
+    base = out_dir.rstrip("/")
+    written = writers.write_upload_records(converted, f"{base}/cdf_data", upload_id)
+    summary = writers.write_upload(checks.upload_summary(written), f"{base}/upload_summary", upload_id)
     per_file = written.groupBy("file_uuid", "file_name").agg(
         F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
         F.count_if(F.col("status") == "saved").alias("saved"))
     meta = checks.upload_metadata(per_file, F.col("source_id"), F.col("sub_source_id"), uploaded_at)
-    writers.write_upload(meta, f"{out_dir.rstrip('/')}/upload_metadata", upload_id)
-
-    ct = F.lit(content_type) if content_type else _content_type(F.col("filename"))
-    cat_rows = cat_rows.select("uuid", "filename", F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
-                               F.lit(feed).alias("upload_source"))
-    named = enrich.with_upload_source_name(cat_rows, source_dim)
-    catalog_rows = cat.catalog_rows(named, source_col="source_name")
-    writers.append_catalog(catalog_rows, f"{out_dir.rstrip('/')}/file_catalog", upload_id)
-    return UploadResult(records_path, summary, catalog_rows)
+    writers.write_upload(meta, f"{base}/upload_metadata", upload_id)
+    catalog_rows = cat.catalog_rows(enrich.with_upload_source_name(files_in, source_dim), source_col="source_name")
+    writers.append_catalog(catalog_rows, f"{base}/file_catalog", upload_id)
+    return UploadResult(f"{base}/cdf_data", summary.drop("upload_id"), catalog_rows)
 
 
 def store_p8i_tables(raw: DataFrame, out_dir: str, upload_id: str | None = None) -> dict:
@@ -180,7 +198,7 @@ def store_p8i_tables(raw: DataFrame, out_dir: str, upload_id: str | None = None)
         routed.where(F.col("target_table") == TRACKING_TABLE).drop("target_table", "route_error"))
     esm = converters.convert_p8i_esm(
         routed.where(F.col("target_table") == ESM_TABLE).drop("target_table", "route_error"))
-    uid = upload_id or hashlib.md5("\n".join(sorted(raw.inputFiles())).encode()).hexdigest()
+    uid = upload_id or hashlib.md5("\n".join(sorted(f for f in raw.inputFiles() if not is_scratch(f))).encode()).hexdigest()
     writers.write_upload_records(tracking, f"{base}/tracking_data", uid)
     writers.write_upload_records(esm, f"{base}/esm_data", uid)
     writers.write_upload(routed.where(F.col("route_error").isNotNull()).select(

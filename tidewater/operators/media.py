@@ -66,6 +66,18 @@ def image_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def image_document(tags: DataFrame) -> DataFrame:
+    """M3, the whole document that is stored for an image: camera info, GPS
+    data, times and the summary's flags (X10: always filled)."""
+    rec = image_record(tags)
+    gps = F.struct("latitude", "longitude", "coordinates")
+    return rec.select(
+        "file_uuid", "filename", "camera_make", "camera_model", "camera_info",
+        F.when(F.col("has_gps"), gps).alias("gps_data"), "latitude", "longitude", F.col("coordinates").alias("gps_coordinates"),
+        "timestamp", "date_taken", "time_taken", "has_gps", (F.size("camera_info") > 0).alias("has_camera_info"),
+        (F.coalesce(F.col("timestamp"), F.lit("")) != "").alias("has_timestamp"))
+
+
 def text_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """M6: length, word count and first paragraph (cut at 200 + '...') of
     whole texts; all JVM-side string functions."""

@@ -445,6 +445,26 @@ def _build() -> None:
     o["cdf_export"] = _with(records_ctes(), export)
     o["cdf_by_file"] = _with(records_ctes(), "select uuid, row_no, feed, latitude, longitude, speed, logged_timestamp "
                              f"from all_rec where reject_reason is null and file_uuid = {uuid_of(q('ais_view.csv'))}")
+    o["cdf_by_source_day"] = _with(
+        records_ctes(), "select r.uuid, r.file_uuid, r.row_no, strftime(r.logged_timestamp, '%Y-%m-%d') as day, r.latitude, r.longitude, r.speed "
+        "from all_rec r join source_dim s on r.source_id = s.id where r.reject_reason is null and lower(s.name) = 'ais' "
+        "and cast(r.logged_timestamp as date) between date '2024-01-10' and date '2024-01-12'")
+    o["upload_csv_multiline"] = (
+        "select o_orderkey as incident, case o_orderkey % 4 when 0 then 'Berth ' || o_custkey "
+        "when 1 then 'Berth ' || o_custkey || chr(10) || 'Dock \"' || o_orderpriority || '\", north' "
+        "when 2 then chr(10) || 'a, b' || chr(10) || chr(10) || '\"\"' else '\"' || o_orderstatus end as location_description, "
+        "case when o_orderkey % 71 = 0 then 'failed' else 'saved' end as status, "
+        "'MV ' || o_custkey || case when o_orderkey % 5 = 0 then chr(10) || 'aft' else '' end as vessel_name, "
+        "cast(o_orderkey % 180 - 90 as double) + 0.25 as latitude from orders")
+    o["latest_objects_incremental"] = _with(
+        file_ctes(), "select bucket, filename, timestamp, uuid from (select *, row_number() over "
+        "(partition by bucket, filename order by timestamp desc, uuid desc) rn from catalog) where rn = 1")
+    o["duplicate_uuids_incremental"] = _with(
+        feed_cte("ais_raw") + ",\nuploads as (select unnest([0, 1, 2]) as upload),\n"
+        "sent as (select u.upload, " + uuid_of("file_name", "row_no") + " as uuid from ais_raw, uploads u "
+        "where row_no % 3 = u.upload or (u.upload > 0 and row_no % 3 = (u.upload + 2) % 3 and row_no % 17 = 0))",
+        "select * from (select a.upload, a.uuid, count(*) as n from (select distinct upload, uuid from sent) a "
+        "join sent b on a.uuid = b.uuid and b.upload <= a.upload group by a.upload, a.uuid) where n > 1")
     o["source_lookup"] = _with(records_ctes(), "select k.source_id, s.name from (select distinct source_id from all_rec "
                                "where reject_reason is null) k left join source_dim s on k.source_id = s.id")
     o["source_list"] = _with(records_ctes(), "select s.id, s.name, coalesce(c.n, 0) as record_count from source_dim s "

@@ -19,11 +19,13 @@ from ..functions.records import stable_uuid
 from ..functions.text import is_all_digits, normalise_headers
 from ..functions.timestamps import iso_text
 from ..operators import catalog as cat
-from ..operators import checks, enrich, media
+from ..operators import checks, enrich, incremental, media
 from ..operators import converters as conv
 from ..operators.refine import refine_with_sql
 from ..operators.routing import route_p8i
-from ..sources import feeds
+from ..sinks import store
+from ..sinks.scratch import scratch_path
+from ..sources import delimited, feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,6 +154,19 @@ def all_records(spark, sf) -> DataFrame:
     return enrich.with_sub_source_id(rec, ss)
 
 
+@_shared_plan
+def stored_records(spark, sf) -> DataFrame:
+    """The record table in the store's layout, written once in a session
+    (B1): queries over records read its columns and buckets and parse nothing."""
+    path = scratch_path(spark, "records")
+    store.write_clustered(all_records(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def saved_records(spark, sf) -> DataFrame:
+    return stored_records(spark, sf).where(F.col("status") == "saved")
+
+
 def saved(df: DataFrame) -> DataFrame:
     return df.where(conv.record_status("reject_reason") == "saved")
 
@@ -275,36 +290,43 @@ def p8i_dispatch(spark, sf):
 
 def feed_dispatch(spark, sf):
     """C11 + I1: all feeds, each through its converter, in one table."""
-    rec = all_converted(spark, sf)
-    status = conv.record_status("reject_reason")
-    rec = rec.where(status != "skipped")
-    ok = status == "saved"
-    return rec.select("uuid", "feed", status.alias("status"),
+    rec = stored_records(spark, sf).where(F.col("status") != "skipped")
+    ok = F.col("status") == "saved"
+    return rec.select("uuid", "feed", "status",
                       *[F.when(ok, F.col(c)).alias(c) for c in ("logged_timestamp", "latitude", "longitude", "speed")])
 
 
 def cdf_export(spark, sf):
     """3.2: every saved record with source names, WKT and ISO time."""
     s, ss = dims(spark, sf)
-    rec = enrich.with_dimension_names(saved(all_records(spark, sf)), s, ss)
+    rec = enrich.with_dimension_names(saved_records(spark, sf), s, ss)
     return rec.select("uuid", "file_uuid", "latitude", "longitude", "speed", "bearing", "course", "sys_trk_no",
                       "source", "sub_source", wkt_or_invalid(F.col("location")).alias("location"),
                       iso_text(F.col("logged_timestamp")).alias("logged_timestamp"), "vessel_name", "imo", "mmsi")
 
 
 def cdf_by_file(spark, sf, file_name: str = "ais_view.csv"):
-    """The saved records of one file, by file uuid (on stored records
-    the equality reaches the Parquet scan as a pushed filter)."""
-    rec = saved(all_records(spark, sf))
-    fid = stable_uuid(F.lit(file_name))
-    return rec.where(F.col("file_uuid") == fid).select(
+    """The saved records of one file, by file uuid, from the stored
+    table: the equality reaches the row groups' Bloom filters."""
+    fid = spark.range(1).select(stable_uuid(F.lit(file_name)).alias("id")).first()["id"]
+    return store.of_file(stored_records(spark, sf), fid).select(
         "uuid", "row_no", "feed", "latitude", "longitude", "speed", "logged_timestamp")
 
 
+def cdf_by_source_day(spark, sf, source: str = "ais", first_day: str = "2024-01-10", last_day: str = "2024-01-12"):
+    """Saved records of a source, by name, and some days: the source's
+    id prunes buckets at run time, months before, days in the row groups."""
+    s, _ = dims(spark, sf)
+    wanted = s.where(F.lower("name") == source.lower()).select(F.col("id").alias("source_id"))
+    rec = store.of_days(stored_records(spark, sf), first_day, last_day)
+    return rec.join(wanted, "source_id").select(
+        "uuid", "file_uuid", "row_no", F.col("day").cast("string").alias("day"), "latitude", "longitude", "speed")
+
+
 def source_lookup(spark, sf):
     """Name of every source id that the records reference (NULL = not found)."""
     s, _ = dims(spark, sf)
-    ids = saved(all_records(spark, sf)).select("source_id").distinct()
+    ids = saved_records(spark, sf).select("source_id").distinct()
     named = s.select(F.col("id").alias("_id"), "name")
     return ids.join(named, F.col("source_id") == F.col("_id"), "left").select("source_id", "name")
 
@@ -312,7 +334,7 @@ def source_lookup(spark, sf):
 def source_list(spark, sf):
     """E8 list: every source with its number of saved records."""
     s, _ = dims(spark, sf)
-    counts = saved(all_records(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = saved_records(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     j = s.join(counts, s["id"] == counts["source_id"], "left")
     return j.select("id", "name", F.coalesce(F.col("n"), F.lit(0)).alias("record_count"))
 
@@ -335,18 +357,18 @@ def upload_source_name(spark, sf):
 
 def upload_summary(spark, sf):
     """Attempted / saved / failed per uploaded file."""
-    return checks.upload_summary(all_records(spark, sf))
+    return checks.upload_summary(stored_records(spark, sf))
 
 
 def upload_failures(spark, sf):
     """one 'Row <n> failed: <reason>' line per rejected row, per file."""
-    return checks.failure_messages(all_records(spark, sf))
+    return checks.failure_messages(stored_records(spark, sf))
 
 
 def upload_metadata_list(spark, sf):
     """F4 + E3 + H1: upload_metadata rows with source names, newest first."""
     s, ss = dims(spark, sf)
-    rec = all_records(spark, sf)
+    rec = stored_records(spark, sf)
     per_file = rec.groupBy("file_name").agg(
         F.min("source_id").alias("source_id"), F.min("sub_source_id").alias("sub_source_id"),
         F.count_if(conv.record_status("reject_reason") == "saved").alias("saved"))
@@ -359,7 +381,7 @@ def upload_metadata_list(spark, sf):
 
 def duplicate_uuids(spark, sf):
     """F5."""
-    return checks.duplicate_keys(saved(all_records(spark, sf)), "uuid")
+    return checks.duplicate_keys(saved_records(spark, sf), "uuid")
 
 
 def fk_violations(spark, sf):
@@ -367,7 +389,7 @@ def fk_violations(spark, sf):
     records -> source and sub_source, sub_source -> source, and uploads that
     name a source id (left anti joins against the parents' keys)."""
     s, ss = dims(spark, sf)
-    rec = saved(all_records(spark, sf))
+    rec = saved_records(spark, sf)
     c = catalog(spark, sf).where(is_all_digits(F.col("source")))
     c = c.withColumn("source_id", F.col("source").try_cast("int"))
     return (checks.reference_violations(c, "uuid", [("file_catalog.source", "source_id", s)])
@@ -424,6 +446,59 @@ def text_profile(spark, sf):
     return media.text_profile(feeds.table(spark, sf, "documents"))
 
 
+#: Cells of a CSV file written from the orders, some with line breaks, quotes and separators in them.
+MULTILINE_SQL = (
+    "select o_orderkey as incident, "
+    "case when o_orderkey % 71 = 0 then 'unknown' else concat(substr(cast(o_orderdate as string),9,2), '-', "
+    "substr(cast(o_orderdate as string),6,2), '-', substr(cast(o_orderdate as string),1,4)) end as date, '10:20:30' as time, "
+    "cast(cast(o_orderkey % 360 - 180 as double) + 0.5 as string) as longitude, "
+    "cast(cast(o_orderkey % 180 - 90 as double) + 0.25 as string) as latitude, "
+    "case o_orderkey % 4 when 0 then concat('Berth ', cast(o_custkey as string)) "
+    "when 1 then concat('Berth ', cast(o_custkey as string), chr(10), 'Dock \"', o_orderpriority, '\", north') "
+    "when 2 then concat(chr(10), 'a, b', chr(10), chr(10), '\"\"') else concat('\"', o_orderstatus) end as location_description, "
+    "concat('MV ', cast(o_custkey as string), case when o_orderkey % 5 = 0 then concat(chr(10), 'aft') else '' end) as vessel_name "
+    "from {orders}"
+)
+
+
+def upload_csv_multiline(spark, sf):
+    """A1 + D3: the orders as an uploaded CSV whose cells hold line breaks,
+    quotes and commas, read back record by record and converted."""
+    path = scratch_path(spark, "upload")
+    rows = spark.sql(MULTILINE_SQL, orders=feeds.table(spark, sf, "orders"))
+    rows.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    raw = conv.structured_cells(delimited.read_delimited(spark, path))
+    out = conv.convert_piracy(raw)
+    return out.select(F.get_json_object("raw_data", "$.incident").cast("long").alias("incident"),
+                      F.get_json_object("raw_data", "$.location_description").alias("location_description"),
+                      conv.record_status("reject_reason").alias("status"), "vessel_name", "latitude")
+
+
+def latest_objects_incremental(spark, sf, uploads: int = 3):
+    """G1 + B7: the objects held after several uploads (shares of the file
+    events), each merged into the object table as it comes."""
+    path = scratch_path(spark, "objects")
+    rows = catalog(spark, sf)
+    for k in range(uploads):
+        incremental.merge_latest(spark, path, rows.where(F.pmod(F.crc32("uuid"), F.lit(uploads)) == k))
+    return incremental.current_objects(spark, path)
+
+
+def duplicate_uuids_incremental(spark, sf, uploads: int = 3):
+    """F5 at write time: AIS records come in several uploads, every 17th of
+    them in the next upload again; what each upload repeats, when it comes."""
+    base = scratch_path(spark, "keys")
+    rec = feeds.feed(spark, sf, "ais_raw").select(stable_uuid("file_name", "row_no").alias("uuid"), "row_no")
+    out = None
+    for k in range(uploads):
+        own = F.col("row_no") % uploads == k
+        again = (F.col("row_no") % uploads == (k + uploads - 1) % uploads) & (F.col("row_no") % 17 == 0) if k else F.lit(False)
+        found = incremental.duplicates_on_write(spark, base, rec.where(own | again), f"u{k}")
+        found = found.select(F.lit(k).alias("upload"), "uuid", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 QUERIES: dict[str, Query] = {
     "refined_speed": refined_speed,
     "ais_to_cdf": ais_to_cdf,
@@ -445,6 +520,10 @@ QUERIES: dict[str, Query] = {
     "feed_dispatch": feed_dispatch,
     "cdf_export": cdf_export,
     "cdf_by_file": cdf_by_file,
+    "cdf_by_source_day": cdf_by_source_day,
+    "upload_csv_multiline": upload_csv_multiline,
+    "latest_objects_incremental": latest_objects_incremental,
+    "duplicate_uuids_incremental": duplicate_uuids_incremental,
     "source_lookup": source_lookup,
     "source_list": source_list,
     "sub_sources_of": sub_sources_of,

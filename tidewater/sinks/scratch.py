@@ -12,6 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import CHECKPOINT_CONF, ensure_checkpoint_dir
 
+PREFIX = "tidewater-"
+
+
+def is_scratch(path: str) -> bool:
+    """Whether a file belongs to an intermediate table."""
+    return f"/{PREFIX}" in path
+
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
     """A new path below ``spark.checkpoint.dir``. Only a session of one
@@ -22,7 +29,7 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tidewater-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{PREFIX}{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

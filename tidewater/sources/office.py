@@ -247,6 +247,11 @@ def document_info_map(info) -> F.Column:
 
 # ---- M7: combined document record --------------------------------------------------
 
+# Content types of document suffixes.
+DOCUMENT_TYPES = {"pdf": "application/pdf", "doc": "application/msword",
+                  "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+                  "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
+
 UNSUPPORTED_DOCUMENT = "Unsupported file type. Supported types: .pdf, .doc, .docx, .xlsx"
 
 
@@ -268,11 +273,14 @@ def document_records(files: DataFrame, uploaded_at: str) -> DataFrame:
         "path", F.struct("sheet_count", "sheet_names", "sheets_info").alias("xlsx"),
         F.col("properties").alias("_p2"), F.col("error").alias("_e2"))
     base = f.drop("content").join(docx, "path", "left").join(xl, "path", "left")
-    cat = file_category(F.lit("application/octet-stream"))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair])[F.col("ext")],
+                      F.lit("application/octet-stream"))
+    cat = file_category(kind)
     return base.select(
         stable_uuid(F.col("path")).alias("uuid"), "filename", F.concat(F.lit("."), F.col("ext")).alias("extension"),
         F.lit(uploaded_at).alias("upload_time"),
-        F.struct(bucket_for(cat, F.col("filename")).alias("bucket"), F.col("ext").alias("type"),
+        kind.alias("content_type"),
+        F.struct(bucket_for(cat, F.col("filename")).alias("bucket"), F.coalesce(cat, F.col("ext")).alias("type"),
                  F.col("size").alias("size")).alias("storage"),
         "docx", "xlsx", F.coalesce(F.col("_p1"), F.col("_p2")).alias("properties"),
         F.when(~F.col("ext").isin("docx", "xlsx", "pdf", "doc"), F.lit(UNSUPPORTED_DOCUMENT))

@@ -1,25 +1,27 @@
 """Incremental file ingest with Structured Streaming.
 
-Each file that arrives in the input folder is converted, appended and
-summarised once. The stream reads new files (``readStream``), and every
-micro-batch goes through the same converter as the batch job inside
-``foreachBatch``. Each batch writes under its own upload id (stream,
-checkpoint, batch id) with dynamic partition overwrite, in the same layout
-as the batch upload job, so a batch replayed after a failure replaces its
-own output instead of adding duplicates; the checkpoint records which files
+Each file that arrives in the input folder is converted, appended, catalogued
+and summarised once. The stream reads new files (``readStream``), and every
+micro-batch goes through the same converter and the same writes as the batch
+job inside ``foreachBatch``. A batch writes under its own upload id (stream,
+checkpoint, batch id) and commits last (:mod:`..sinks.store`): its records,
+rejects, catalogue and metadata rows appear together, and a batch replayed
+after a failure replaces its own output; the checkpoint records which files
 were taken.
 """
 
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators import checks, converters, enrich
+from ..functions.records import stable_uuid
+from ..operators import converters, enrich
 from ..session import CHECKPOINT_CONF
 from ..sources.files import with_file_row_numbers
 
@@ -34,10 +36,19 @@ def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
 
 
 def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_dim: DataFrame,
-             sub_source_dim: DataFrame, kind: str, scope: str) -> None:
-    from ..operators.ingest import convert_ndjson, with_upload_ids
-    from ..sinks import writers
+             sub_source_dim: DataFrame, kind: str, scope: str, uploaded_at: str | None) -> None:
+    """One micro-batch, with the tables of a batch upload under one commit: a
+    batch that fails between two writes shows nothing, and its replay (same
+    id) replaces what it left."""
+    from ..operators.ingest import UPLOAD_TABLES, content_type_of, convert_ndjson, store_upload, with_upload_ids
+    from ..sinks import store
 
+    spark = batch.sparkSession
+    upload_id = f"{scope}-{batch_id}"
+    run = store.begin(spark, out_dir, upload_id)
+    at = uploaded_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    sized = batch.select("_file_name", "_file_size").withColumnsRenamed({"_file_name": "filename", "_file_size": "size"})
+    batch = batch.drop("_file_size")
     if kind == "ndjson":
         lines = with_file_row_numbers(batch).select("file_name", "row_no", "value")
         conv = convert_ndjson(lines, feed, keep_blank=True)
@@ -46,25 +57,26 @@ def _process(batch: DataFrame, batch_id: int, feed: str, out_dir: str, source_di
         conv = converters.convert_feed(converters.structured_cells(raw), feed)
     if conv is None:  # the checkpoint takes these files too, so their rows must be somewhere
         conv = converters.skipped_rows(lines, feed, "Row skipped: unknown source type")
-    upload_id = f"{scope}-{batch_id}"
     conv = with_upload_ids(conv, upload_id)
     conv = enrich.with_source_id(conv.drop("source_id"), source_dim)
     conv = enrich.with_sub_source_id(conv.drop("sub_source_id"), sub_source_dim)
-    # same layout as the batch upload job (upload_id / status / feed), so both
-    # can write one store; a replayed batch replaces its own output
-    base = out_dir.rstrip("/")
-    written = writers.write_upload_records(conv, f"{base}/cdf_data", upload_id)
-    writers.write_upload(checks.upload_summary(written), f"{base}/upload_summary", upload_id)
+    # a file of the batch is known by its rows; one without a row is not in the stream
+    files_in = sized.groupBy("filename").agg(F.max("size").alias("size")).select(
+        stable_uuid(F.lit(upload_id), F.col("filename")).alias("uuid"), "filename", F.lit(at).alias("timestamp"),
+        content_type_of(F.col("filename")).alias("content_type"), "size", F.lit(feed).alias("upload_source"))
+    store_upload(conv, files_in, out_dir, upload_id, source_dim, at)
+    store.commit(spark, out_dir, upload_id, run, UPLOAD_TABLES)
 
 
 def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str, *, source_dim: DataFrame,
                       sub_source_dim: DataFrame, kind: str = "ndjson", columns: list[str] | None = None,
                       checkpoint_location: str | None = None, available_now: bool = True,
-                      max_files_per_trigger: int | None = None) -> StreamingQuery:
+                      max_files_per_trigger: int | None = None, uploaded_at: str | None = None) -> StreamingQuery:
     """L1: start the stream. ``kind`` 'ndjson' reads lines; 'csv' needs the
     header names in ``columns`` (a stream has a fixed schema); cells are
     text. With ``available_now`` the query takes every file present and
-    stops; otherwise it keeps watching the folder."""
+    stops; otherwise it keeps watching the folder. ``uploaded_at`` is the
+    catalogue's time (default: when a batch runs)."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -78,6 +90,7 @@ def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str,
         F.col("_metadata.file_name").alias("_file_name"),
         F.col("_metadata.file_path").alias("_file_path"),
         F.col("_metadata.file_block_start").alias("_file_block_start"),
+        F.col("_metadata.file_size").alias("_file_size"),
     )
     name = f"ingest_{feed.lower()}"
     ckpt = _checkpoint(spark, name, checkpoint_location)
@@ -85,6 +98,6 @@ def start_file_ingest(spark: SparkSession, in_dir: str, out_dir: str, feed: str,
     scope = f"stream-{feed.lower()}-{hashlib.md5(ckpt.encode()).hexdigest()[:12]}"
     writer = stream.writeStream.queryName(name).option("checkpointLocation", ckpt)
     writer = writer.foreachBatch(
-        lambda df, bid: _process(df, bid, feed, out_dir, source_dim, sub_source_dim, kind, scope))
+        lambda df, bid: _process(df, bid, feed, out_dir, source_dim, sub_source_dim, kind, scope, uploaded_at))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
