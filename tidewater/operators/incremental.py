@@ -21,7 +21,7 @@ from . import catalog as cat
 # ---- G1 / B7 -------------------------------------------------------------------
 
 #: Parts of the object table; an upload of few objects rewrites a few of them.
-PARTS = 64
+PARTS = 16
 OBJECT_SCHEMA = StructType([*[StructField(c, StringType()) for c in ("bucket", "filename", "timestamp", "uuid")], StructField("part", IntegerType())])
 
 
@@ -53,7 +53,7 @@ PAGES = 1 << 14
 WORDS, HASHES = 4, 4
 FILTER_SCHEMA = StructType([StructField("page", IntegerType()), *[StructField(f"w{k}", LongType()) for k in range(WORDS)], StructField("slice", IntegerType())])
 #: Slices of the filter that are rewritten or kept as a whole.
-SLICES = 16
+SLICES = 4
 
 
 def _bits(key: str) -> list[Column]:
