@@ -13,6 +13,8 @@ text between matches, so positions follow from the lengths of both.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,76 +26,133 @@ ASSIGN_LEAST = 8
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Least entropy, in bits, of a window whose characters are all of the class.
-CLASSES = (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7))
-#: Candidates that match one of these as a whole are no secrets: words joined by
-#: signs, numbers and dates, uuids, names of hash functions with their digest length.
-ALLOWED = (
-    r"[A-Za-z]*([+/_=-]+[A-Za-z]*)*",
-    r"[0-9]+([+/_=-]+[0-9]+)*",
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"([A-Za-z]{2,}[0-9]{0,4}[+/_=-]+)*[A-Za-z]{2,}[0-9]{0,4}",
-)
+#: The characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Least entropy, in bits, of a window whose characters are all of the class; the last class has them all.
+CLASSES = (("0123456789abcdef", 3.0), ("0123456789ABCDEF", 3.0), (ALPHABET, 3.7))
+#: Candidates are no secrets if all their parts between signs match one of these: words, numbers and dates, names with
+#: a short number at the end (as of hash functions).  Nor are uuids.  No pattern repeats a group: Java would recurse.
+SIGNS = r"[+/_=-]+"
+ALLOWED_PARTS = (r"^[A-Za-z]*$", r"^[0-9]+$", r"^[A-Za-z]{2,}[0-9]{0,4}$")
+ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 KINDS = ("assign", "access", "hex", "entropy")
 
 _SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
+#: A list under construction is its full pages and the page that fills: appending copies a page, not the list.
+PAGE = 256
+
+
+def _no_items(kind: str) -> list[Column]:
+    return [F.array().cast(f"array<array<{kind}>>").alias("pages"), F.array().cast(f"array<{kind}>").alias("page")]
+
+
+def _appended(acc: Column, when: Column, item: Column) -> list[Column]:
+    """``pages`` and ``page`` of ``acc``, with ``item`` at the end if ``when`` holds."""
+    full = F.size(acc["page"]) >= PAGE
+    pages = F.when(when & full, F.concat(acc["pages"], F.array(acc["page"]))).otherwise(acc["pages"])
+    page = F.when(~when, acc["page"]).when(full, F.array(item)).otherwise(F.concat(acc["page"], F.array(item)))
+    return [pages.alias("pages"), page.alias("page")]
+
+
+def _items(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["pages"]), acc["page"])
+
+
+def _matches(text: Column, pattern: str, kind: str, item, keep=None) -> Column:
+    """``item(start, end, match)`` of the leftmost non-overlapping matches, in code points, that ``keep(group 2)`` keeps."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else found
+    parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("b"), groups.alias("g"))
+
+    def step(acc, p):
+        start = acc["to"] + F.length(p["b"])
+        end = start + F.length(p["m"])
+        return F.struct(end.alias("to"), *_appended(acc, keep(p["g"]) if keep else F.lit(True), item(start, end, p["m"])))
+
+    zero = F.struct(F.lit(0).cast("long").alias("to"), *_no_items(kind))
+    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, _items)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def _spans(text: Column, pattern: str, kind: int, least_group: int = 0) -> Column:
     """Spans (start, kind, end) of the leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-
-    def step(acc, m):
-        start = acc["to"] + F.length(m["b"])
-        end = start + F.length(m["m"])
-        ok = F.length(m["g"]) >= least_group if least_group else F.lit(True)
-        span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("to"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least_group else found
-    matches = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"), groups.alias("g"))
-    spans = F.aggregate(matches, empty, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
-
-
-def _weight(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
-
-def _hot_windows(token: Column, alphabet: str, threshold: float) -> Column:
-    """Merged (start, end) spans, within a token, of the windows over the threshold."""
-
-    def place(i: Column) -> Column:
-        """Place in the alphabet, from 1, of the token's i-th character; 0 if there is none."""
-        return F.when(i >= 1, F.position(F.substr(token, i, F.lit(1)), F.lit(alphabet))).otherwise(0)
-
-    def moved(counts: Column, total: Column, at: Column, by: int) -> tuple[Column, Column]:
-        """Counts, and sum of c * log2(c), after the count at place ``at`` changed by one."""
-        old = F.get(counts, at - 1)
-        changed = F.transform(counts, lambda c, k: F.when(k == at - 1, c + by).otherwise(c))
-        return F.when(at > 0, changed).otherwise(counts), total + F.when(at > 0, _weight(old + by) - _weight(old)).otherwise(0.0)
-
-    def step(acc, i):
-        enters, leaves = place(i), place(i - WINDOW)
-        counts, total = moved(acc["counts"], acc["total"], leaves, -1)
-        counts, total = moved(counts, total, enters, 1)
-        inside = acc["inside"] + (enters > 0).cast("int") - (leaves > 0).cast("int")
-        hot = (inside == WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= threshold)
-        joins = F.coalesce(F.try_element_at(acc["spans"], F.lit(-1))["e"] >= i - WINDOW, F.lit(False))
-        begin = F.when(joins, F.try_element_at(acc["spans"], F.lit(-1))["s"]).otherwise(i - WINDOW)
-        others = F.when(joins, F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1)).otherwise(acc["spans"])
-        spans = F.concat(others, F.array(F.struct(begin.cast("int").alias("s"), i.cast("int").alias("e"))))
-        return F.struct(counts.alias("counts"), total.alias("total"), inside.alias("inside"), F.when(hot, spans).otherwise(acc["spans"]).alias("spans"))
+
+    def span(start, end, match):
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+
+    return _matches(text, pattern, _SPAN, span, (lambda group: F.length(group) >= least_group) if least_group else None)
+
+
+#: Counts of a window's characters have five bits each, twelve in a number.
+BITS, PER = 5, 12
+#: c * log2(c) for counts, and the largest sum of a window over a threshold, in whole numbers: adding up keeps no error.
+SCALE = 1 << 40
+WEIGHTS = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 1)]
+
+
+def most_weight(threshold: float) -> int:
+    return math.floor(WINDOW * (math.log2(WINDOW) - threshold) * SCALE + 0.5)
+
+
+def _hot_windows(token: Column) -> Column:
+    """Merged (start, end) spans, within a token, of the windows over the threshold of their class.
+
+    Of each character of the token two events come: the one that leaves the
+    window goes, it enters.  An event changes the counts by one; before a
+    character goes, and at the end, the window is judged.
+    """
+    places = F.transform(F.split(token, ""), lambda c: (F.position(c, F.lit(ALPHABET)) - 1).cast("int"))
+    gone = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), places), F.lit(1), F.length(token))
+    member = [F.array(*[F.lit(int(c in alphabet)) for c in ALPHABET]) for alphabet, _ in CLASSES[:-1]]
+
+    def event(at: Column, by: int) -> Column:
+        known = at.isNotNull()
+        at = F.coalesce(at, F.lit(0))
+        by = F.when(known, F.lit(by)).otherwise(0)
+        cells = [F.get(m, at).alias(f"c{k}") for k, m in enumerate(member)]
+        return F.struct(F.floor(at / PER).cast("int").alias("word"), (at % PER * BITS).cast("int").alias("shift"), by.alias("by"), *cells)
+
+    pairs = F.transform(F.arrays_zip(places.alias("enters"), gone.alias("leaves")), lambda x: F.array(event(x["leaves"], -1), event(x["enters"], 1)))
+    events = F.concat(F.flatten(pairs), F.array(event(F.lit(None).cast("int"), -1)))
+    weights = F.array(*[F.lit(w).cast("long") for w in WEIGHTS])
+    narrow, wide = F.lit(most_weight(CLASSES[0][1])).cast("long"), F.lit(most_weight(CLASSES[-1][1])).cast("long")
+
+    def step(acc, x):
+        judged = (x["by"] < 1) & (acc["n"] == WINDOW)
+        one_class = (acc["c0"] == WINDOW) | (acc["c1"] == WINDOW)
+        hot = judged & (acc["total"] <= F.when(one_class, narrow).otherwise(wide))
+        joins = F.coalesce(acc["end"] >= acc["i"] - WINDOW, F.lit(False))
+        ends = hot & ~joins & acc["end"].isNotNull()
+        old = F.call_function("shiftrightunsigned", F.get(acc["counts"], x["word"]), x["shift"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+        more = F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"]) * x["by"]
+        return F.struct(
+            F.transform(acc["counts"], lambda v, k: F.when(k == x["word"], v + more).otherwise(v)).alias("counts"),
+            (acc["total"] + F.get(weights, old + x["by"]) - F.get(weights, old)).alias("total"),
+            *[(acc[f"c{k}"] + x["by"] * x[f"c{k}"]).alias(f"c{k}") for k in range(len(member))],
+            (acc["n"] + x["by"]).alias("n"),
+            (acc["i"] + (x["by"] == 1).cast("int")).alias("i"),
+            F.when(hot & ~joins, acc["i"] - WINDOW).otherwise(acc["start"]).alias("start"),
+            F.when(hot, acc["i"]).otherwise(acc["end"]).alias("end"),
+            *_appended(acc, ends, F.struct(acc["start"].alias("s"), acc["end"].alias("e"))),
+        )
 
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.lit(0).alias("inside"),
-        F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
+        F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PER)).alias("counts"),
+        F.lit(0).cast("long").alias("total"),
+        *[F.lit(0).alias(f"c{k}") for k in range(len(member))],
+        F.lit(0).alias("n"),
+        F.lit(0).alias("i"),
+        F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("end"),
+        *_no_items("struct<s:int,e:int>"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), zero, step, lambda acc: acc["spans"])
+
+    def finish(acc):
+        last = F.struct(acc["start"].alias("s"), acc["end"].alias("e"))
+        return F.when(acc["end"].isNull(), F.array().cast("array<struct<s:int,e:int>>")).otherwise(F.concat(_items(acc), F.array(last)))
+
+    return F.aggregate(events, zero, step, finish)
 
 
 def base_spans(text: Column) -> Column:
@@ -102,32 +161,44 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(text, ASSIGN, 0, ASSIGN_LEAST), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
+def _allowed(token: Column) -> Column:
+    def all_parts(pattern: str) -> Column:
+        return F.forall(F.split(token, SIGNS, -1), lambda part: part.rlike(pattern))
+
+    out = token.rlike(ALLOWED)
+    for pattern in ALLOWED_PARTS:
+        out = out | all_parts(pattern)
+    return out
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     """Spans of high entropy that no base span holds."""
     text = F.coalesce(text, F.lit(""))
-    allowed = "^(" + "|".join(ALLOWED) + ")$"
+
+    def candidate(start, end, match):
+        return F.struct(start.alias("start"), match.alias("token"))
 
     def found(candidate: Column) -> Column:
-        token = F.substr(text, (candidate["start"] + 1).cast("int"), (candidate["end"] - candidate["start"]).cast("int"))
-        hot = F.flatten(F.array(*[_hot_windows(token, alphabet, least) for alphabet, least in CLASSES]))
-        spans = F.transform(hot, lambda w: F.struct((candidate["start"] + w["s"]).alias("start"), F.lit(3).alias("kind"), (candidate["start"] + w["e"]).alias("end")))
-        return F.when(token.rlike(allowed), F.array().cast(f"array<{_SPAN}>")).otherwise(spans)
+        return F.transform(
+            _hot_windows(candidate["token"]),
+            lambda w: F.struct((candidate["start"] + w["s"]).alias("start"), F.lit(3).alias("kind"), (candidate["start"] + w["e"]).alias("end")),
+        )
 
-    spans = F.flatten(F.transform(_spans(text, CANDIDATE, 3), found))
-    spans = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return F.array_sort(_merged(spans))
+    candidates = _matches(text, CANDIDATE, "struct<start:bigint,token:string>", candidate)
+    spans = F.flatten(F.transform(F.filter(candidates, lambda c: ~_allowed(c["token"])), found))
+    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
 
 
 def _merged(spans: Column) -> Column:
     """Overlapping spans as one, of the kind of the first."""
 
     def step(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+        joins = F.coalesce(s["start"] <= acc["last"]["end"], F.lit(False))
+        longer = F.struct(acc["last"]["start"].alias("start"), acc["last"]["kind"].alias("kind"), F.greatest(acc["last"]["end"], s["end"]).alias("end"))
+        return F.struct(F.when(joins, longer).otherwise(s).alias("last"), *_appended(acc, ~joins & acc["last"].isNotNull(), acc["last"]))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{_SPAN}>"), step)
+    zero = F.struct(F.lit(None).cast(_SPAN).alias("last"), *_no_items(_SPAN))
+    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: F.concat(_items(acc), F.filter(F.array(acc["last"]), lambda s: s.isNotNull())))
 
 
 def span_text(spans: Column) -> Column:
@@ -141,8 +212,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``base`` has the base kinds, ``spans`` those and the spans of high
     entropy, each by start, then kind (a place in ``KINDS``).  Places count
-    code points, the end is exclusive.  Null or empty texts have none; every
-    row of a repeated id is scanned; other columns are ignored.
+    code points, the end is exclusive.  Null or empty texts have none.  Very
+    long texts and strings are scanned whole, in time that grows with their
+    length.  Repeated rows, and rows of one id, are scanned each; of two spans
+    that start together the kind named first comes first.  Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
@@ -151,13 +225,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span (overlapping ones as one) replaced by ``mark``."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("to"))
+    zero = F.struct(F.lit(0).cast("long").alias("to"), *_no_items("string"))
 
     def step(acc, s):
         before = F.substr(text, (acc["to"] + 1).cast("int"), (s["start"] - acc["to"]).cast("int"))
-        return F.struct(F.concat(acc["out"], before, F.lit(mark)).alias("out"), s["end"].alias("to"))
+        return F.struct(s["end"].alias("to"), *_appended(acc, F.lit(True), F.concat(before, F.lit(mark))))
 
     def finish(acc):
-        return F.concat(acc["out"], F.substr(text, (acc["to"] + 1).cast("int"), F.length(text)))
+        return F.concat(F.array_join(_items(acc), ""), F.substr(text, (acc["to"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(_merged(spans), zero, step, finish)).otherwise(text)
