@@ -59,8 +59,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    base = base_spans(F.col("text"))
-    found = docs.withColumn("text", redacted(F.col("text"), F.concat(base, entropy_spans(F.col("text"), base))))
+    text, base, spans = (F.col(f"_scan_{x}") for x in ("text", "base", "spans"))
+    found = docs.withColumn("_scan_text", F.col("text")).withColumn("_scan_base", base_spans(text))  # found once, used twice
+    found = found.withColumn("_scan_spans", F.concat(base, entropy_spans(text, base)))
+    found = found.withColumn("text", redacted(text, spans)).drop("_scan_text", "_scan_base", "_scan_spans")
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
