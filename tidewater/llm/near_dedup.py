@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, shingle: int = 5,
 
     with_sketch = _blocks(groups.join(reps.select("row", "n", "sketch"), "row"), threshold)
     task = ["hub", "part", "low", "high"]
-    partners = written(with_sketch.groupBy(*task).applyInArrow(likely, "hub long, row long").distinct())
+    # dealt by all four keys: without it Spark keeps rows where (hub, part) put them, all block pairs of a group in one task
+    partners = written(with_sketch.repartition(*task).groupBy(*task).applyInArrow(likely, "hub long, row long").distinct())
 
     def exact(key, rows):
         rows = rows.combine_chunks()
@@ -293,8 +294,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, shingle: int = 5,
     who = partners.join(reps.select("row", "n", "doc_id", "text_hash"), "row")
     tasks = _blocks(who, threshold).withColumnRenamed("doc_id", "id")
     found = texts.select("doc_id", _text_hash().alias("hash"), "text")
+    wanted = who.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct()
+    same_text = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("hash"))
+    # one text of each key, however often its row is repeated
+    found = found.join(wanted, same_text, "left_semi").dropDuplicates(["doc_id", "hash"])
     with_text = tasks.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("hash")))
-    links = with_text.select(*task, "block", "row", "text").groupBy(*task).applyInArrow(exact, "a long, b long")
+    links = with_text.select(*task, "block", "row", "text").repartition(*task).groupBy(*task).applyInArrow(exact, "a long, b long")
 
     roots = components(links)
     copies = classes.where("copies > 1").drop("copies")
