@@ -209,9 +209,11 @@ def test_registered_backoff_takes_trigrams(docs, spark, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 1000])
 def test_packed_hashes(n):
-    from tidewater.llm.lm_scoring import _pack, _unpack
+    from tidewater.llm.lm_scoring import HASH_BITS, _pack, _small, _unpack, _unsmall
 
-    hashes = np.unique(np.append(RNG.integers(0, 2**64, n - 1, np.uint64), np.uint64(2**64 - 1)))
+    hashes = np.unique(np.append(RNG.integers(0, 2**HASH_BITS, n - 1, np.uint64), np.uint64(2**HASH_BITS - 1)))
+    counts = np.minimum(RNG.geometric(0.6, n), RNG.integers(1, 10**6, n)) * RNG.choice([1, 1, 254, 255, 10**12], n)
+    assert _unsmall(_small(counts), n).tolist() == counts.tolist()
     body = _pack(hashes)
     got, end = _unpack(body + b"counts", len(hashes))
     assert got.tolist() == hashes.tolist() and end == len(body)
@@ -379,3 +381,28 @@ def test_perspectives(spark):
     assert ann[0].text == "<|im_start|>system\nbe kind<|im_end|>\n" and ann[0].loss_start == ann[0].loss_end == 0
     assert ann[1].text[ann[1].loss_start : ann[1].loss_end] == "hi<|im_end|>" and ann[1].name is None
     assert ann[3].text == "<|im_start|>user name=bob\n<|im_end|>\n" and ann[4].name == "unknown"
+
+
+def test_block_pairs_of_a_group_are_dealt_apart(spark, monkeypatch):
+    """An exchange on all four keys before blocks are compared: block pairs of one group are tasks of their own."""
+    import tidewater.llm.near_dedup as nd
+
+    plans = []
+    real = nd.written
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(nd, "written", noted)
+    rows = [(k, " ".join(f"w{i}" for i in range(40))) for k in range(3)] + [(9, " ".join(f"w{i}" for i in range(1, 41)))]
+    nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    grouped = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert grouped and all(re.search(r"Exchange hashpartitioning\(hub#\d+L, part#\d+\w*, low#\d+\w*, high#\d+\w*", p) for p in grouped)
+
+
+def test_a_repeated_row_sends_its_text_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base))] * 50 + [(None, " ".join(base[:-1]))] * 40 + [(3, " ".join(base[1:]))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in out) == {(1, 1): 50, (None, 1): 40, (3, 1): 1}

@@ -7,12 +7,15 @@ n-grams it has, with its own counts; the bucket adds the counts up and answers
 in the order of the question.  Counts are local before they move, so the most
 frequent n-gram costs its bucket one entry for each unit.
 
-N-grams of three and more words go in rounds of their own: one that another
+N-grams of two and more words go in rounds of their own: one that another
 document holds has both its shorter n-grams there too, so after the answers of
 the round before only such n-grams are asked for.  The others' counts in the
-other documents are 0.  Hashes of a message are sorted and packed without loss.
+other documents are 0.  Hashes of a message are sorted and packed without loss;
+counts are a bit for "1" and, for the others, a byte or more.
 
-An n-gram is known by 64 bits within a bucket that independent bits choose.
+An n-gram is known by ``HASH_BITS`` = 52 bits within a bucket that independent
+bits choose.  Of ten million n-grams, as in the bucket of a large corpus, two
+share these bits by chance in one bucket of 90; their counts are then added up.
 """
 
 from __future__ import annotations
@@ -31,24 +34,32 @@ _SCHEMA = "doc_id long, n_words long, n_top long, n_base long, log_sum double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_top", pa.int64()), ("n_base", pa.int64()), ("log_sum", pa.float64())])
 
 
+HASH_BITS = 52
+
+
 def _small(values: np.ndarray) -> bytes:
-    """Positive integers, mostly below 255: one byte each, then the larger ones."""
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.int64).tobytes()
+    """Positive integers: a bit for each that is 1, then the others as a byte (255: see below), then those from 255 on in full."""
+    rest = values[values != 1]
+    return np.packbits(values == 1).tobytes() + np.minimum(rest, 255).astype(np.uint8).tobytes() + rest[rest >= 255].astype(np.int64).tobytes()
 
 
 def _unsmall(body: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(body, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(body, np.int64, offset=n)
+    at = -(-n // 8)
+    out = np.unpackbits(np.frombuffer(body, np.uint8, at), count=n).astype(np.int64)
+    n_rest = n - int(out.sum())
+    rest = np.frombuffer(body, np.uint8, n_rest, at).astype(np.int64)
+    rest[rest == 255] = np.frombuffer(body, np.int64, int((rest == 255).sum()), at + n_rest)
+    out[out == 0] = rest
     return out
 
 
 def _pack(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as Elias-Fano code: the upper ``k`` bits in unary steps, the lower bits as they are."""
+    """Ascending hashes of ``HASH_BITS`` bits as Elias-Fano code: the upper ``k`` bits in unary steps, the lower bits as they are."""
     n = len(hashes)
     k = max(1, n.bit_length() - 1)
     upper = np.zeros(n + (1 << k), np.uint8)
-    upper[(hashes >> np.uint64(64 - k)).astype(np.int64) + np.arange(n)] = 1
-    lower = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, k:]
+    upper[(hashes >> np.uint64(HASH_BITS - k)).astype(np.int64) + np.arange(n)] = 1
+    lower = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - HASH_BITS + k :]
     return np.packbits(upper).tobytes() + np.packbits(lower).tobytes()
 
 
@@ -56,11 +67,11 @@ def _unpack(body: bytes, n: int) -> tuple[np.ndarray, int]:
     """The hashes, and the bytes that they took."""
     k = max(1, n.bit_length() - 1)
     middle = -(-(n + (1 << k)) // 8)
-    end = middle + -(-n * (64 - k) // 8)
+    end = middle + -(-n * (HASH_BITS - k) // 8)
     upper = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8, middle))) - np.arange(n)
     bits = np.zeros((n, 64), np.uint8)
-    bits[:, k:] = np.unpackbits(np.frombuffer(body, np.uint8, end - middle, middle), count=n * (64 - k)).reshape(n, 64 - k)
-    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) | (upper.astype(np.uint64) << np.uint64(64 - k)), end
+    bits[:, 64 - HASH_BITS + k :] = np.unpackbits(np.frombuffer(body, np.uint8, end - middle, middle), count=n * (HASH_BITS - k)).reshape(n, HASH_BITS - k)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) | (upper.astype(np.uint64) << np.uint64(HASH_BITS - k)), end
 
 
 def _grams(rows: pa.Table, lengths: tuple[int, ...], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +86,7 @@ def _grams(rows: pa.Table, lengths: tuple[int, ...], n_buckets: int) -> tuple[np
             if len(starts):
                 high = hasher.windows(each, size, second=True)[starts] >> np.uint64(32)
                 bucket = ((high * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-                parts.append((hasher.windows(each, size)[starts], bucket, np.full(len(starts), size, np.int8), starts + (size - 1 + at)))
+                parts.append((hasher.windows(each, size)[starts] >> np.uint64(64 - HASH_BITS), bucket, np.full(len(starts), size, np.int8), starts + (size - 1 + at)))
         counts.append(w.counts())
         at += len(w)
     if not parts:
@@ -113,7 +124,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
     """
     units, n_buckets = in_units(docs, id_col, text_col)
 
-    rounds = [tuple(range(1, min(order, 2) + 1)), *((n,) for n in range(3, order + 1))]
+    rounds = [(n,) for n in range(1, order + 1)]
 
     def grams(rows, k, by_size):
         """The n-grams of round ``k`` that other documents can hold."""

@@ -96,11 +96,17 @@ def exchange(units: DataFrame, ask: Callable, answer: Callable, settle: Callable
     def with_answers(f):
         return lambda key, texts, got: f(key[0].as_py(), by_id(texts), got.sort_by("bucket"))
 
-    asks = units.groupBy("unit").applyInArrow(asked, MESSAGE)
-    answers = asks.groupBy("bucket").applyInArrow(answered, MESSAGE)
+    # with later questions, answers are dealt by unit once: these and the result read the same shuffle, also in the union
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def answers_to(asks: DataFrame) -> DataFrame:
+        answers = asks.groupBy("bucket").applyInArrow(answered, MESSAGE)
+        return answers.repartition(parts, "unit") if then else answers
+
+    answers = answers_to(units.groupBy("unit").applyInArrow(asked, MESSAGE))
     for more in then:
         asks = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(with_answers(more), MESSAGE)
-        answers = answers.unionAll(asks.groupBy("bucket").applyInArrow(answered, MESSAGE))
+        answers = answers.unionAll(answers_to(asks))
     return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(with_answers(settle), schema)
 
 
