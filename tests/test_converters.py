@@ -137,3 +137,12 @@ def test_ndjson_paths_for_other_feeds(spark):
     assert p8i[0]["reject_reason"] is None and p8i[0]["speed"] == 2.0 and p8i[0]["msg_date"] == dt.date(2024, 3, 5)
     assert p8i[1]["reject_reason"].startswith("Invalid date format") or p8i[1]["reject_reason"].startswith("Invalid coordinate")
     assert convert_ndjson(lines("{}"), "radar") is None
+
+
+def test_ais_time_shapes_and_rejects(spark):
+    times = {"2024-01-01T10:00": "2024-01-01T10:00:00", "2024-01-01 10:00Z": "2024-01-01T10:00:00", "2024-01-01T10:00:05.25+05:30": "2024-01-01T04:30:05.250000",
+             "2024-01-01T23:30:00-0100": "2024-01-02T00:30:00", "2024-01-01T10:00:00+02": "2024-01-01T08:00:00", "2024-01-01": None, "2024-02-30T00:00:00": None, "": None}
+    from tidewater.functions.timestamps import add_iso_timestamp, iso_text
+
+    df = add_iso_timestamp(spark.createDataFrame([(t,) for t in times], "t string"), "t", "ts")
+    assert {r.t: r.x for r in df.select("t", iso_text("ts").alias("x")).collect()} == times

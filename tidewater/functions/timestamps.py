@@ -149,20 +149,31 @@ def day_first_date(c) -> Column:
     )
 
 
-_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$"
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$"
+_ZONE = r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$"
 
 
 def iso_timestamp_layers(src, out: str):
-    """ISO-8601 text without zone ('T' or space) -> TIMESTAMP_NTZ ``out``,
-    NULL when it is not such a text or not a real date/time."""
+    """ISO-8601 text ('T' or space; seconds and their fraction, and a zone,
+    may be there) -> TIMESTAMP_NTZ ``out`` in UTC, NULL when it is not such a
+    text or not a real date/time. Text without a zone is UTC already."""
     p = f"_{out}_"
-    parts = F.col(p + "parts")
+    parts, zone = F.col(p + "parts"), F.col(p + "zone")
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0))
+    # the date's signs are before the time, so only a sign after it is a zone's
+    time = F.regexp_replace(F.col(p + "s"), _ZONE, "")
     return [
         {p + "s": strip_ws(col_(src))},
-        {p + "ok": F.col(p + "s").rlike(_ISO), p + "parts": F.split(F.col(p + "s"), "[-T: ]", -1)},
-        {out: F.when(F.col(p + "ok"), F.call_function(
+        {p + "ok": F.col(p + "s").rlike(_ISO)},
+        {p + "zone": F.when(F.col(p + "ok"), F.regexp_extract(F.col(p + "s"), _ZONE, 1)),
+         p + "parts": F.when(F.col(p + "ok"), F.split(time, "[-T: ]", -1))},
+        {p + "local": F.when(F.col(p + "ok"), F.call_function(
             "try_make_timestamp_ntz", *[F.get(parts, i).cast("int") for i in range(5)],
-            F.get(parts, 5).cast("decimal(8,6)")))},
+            F.coalesce(F.get(parts, 5), F.lit("0")).cast("decimal(8,6)"))),
+         p + "east": F.when(zone.isin("", "Z"), F.lit(0)).when(zone.startswith("-"), -minutes).otherwise(minutes)},
+        {out: F.when(F.col(p + "east") == 0, F.col(p + "local")).otherwise(
+            F.timestamp_add("MINUTE", -F.col(p + "east"), F.col(p + "local")))},
     ]
 
 

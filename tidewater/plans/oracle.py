@@ -148,10 +148,14 @@ def dms(x: str) -> tuple[str, str]:
 
 
 def iso_ts(x: str) -> str:
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2}(\.[0-9]{1,6})?)$"
+    iso = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2})(:[0-9]{2}(?:\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
     s = strip(x)
-    return (f"(case when regexp_matches({s}, {q(iso)}) then try_strptime(replace({s}, ' ', 'T'), "
-            f"['%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f']) end)")
+    base = f"(replace(regexp_extract({s}, {q(iso)}, 1), ' ', 'T') || coalesce(nullif(regexp_extract({s}, {q(iso)}, 2), ''), ':00'))"
+    zone = f"replace(regexp_extract({s}, {q(iso)}, 3), ':', '')"
+    east = (f"(case when {zone} in ('', 'Z') then 0 else (case when starts_with({zone}, '-') then -1 else 1 end) * "
+            f"(cast(substr({zone}, 2, 2) as integer) * 60 + cast(coalesce(nullif(substr({zone}, 4, 2), ''), '0') as integer)) end)")
+    return (f"(case when regexp_matches({s}, {q(iso)}) then try_strptime({base}, "
+            f"['%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f']) - to_minutes({east}) end)")
 
 
 def iso_text(ts: str) -> str:

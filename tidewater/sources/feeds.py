@@ -34,11 +34,16 @@ FEED_SQL = {
     "ais_raw": (
         "select concat('ais_', event_type, '.csv') as file_name, event_id as row_no, "
         "cast(200000000 + user_id as string) as MMSI, "
-        "replace(substr(cast(ts as string),1,19),' ','T') as BaseDateTime, "
-        "cast(cast(event_id % 180 - 90 as double) + 0.25 as string) as LAT, "
+        "case when event_id % 103 = 0 then 'not a time' when event_id % 113 = 0 then '2024-02-30T00:00:00' "
+        "when event_id % 127 = 0 then '' when event_id % 59 = 0 then substr(cast(ts as string),1,16) "
+        "when event_id % 61 = 0 then concat(replace(substr(cast(ts as string),1,19),' ','T'), 'Z') "
+        "when event_id % 67 = 0 then concat(replace(substr(cast(ts as string),1,19),' ','T'), '.5+05:30') "
+        "when event_id % 71 = 0 then concat(substr(cast(ts as string),1,16), '-0800') "
+        "else replace(substr(cast(ts as string),1,19),' ','T') end as BaseDateTime, "
+        "case when event_id % 107 = 0 then '12,5' else cast(cast(event_id % 180 - 90 as double) + 0.25 as string) end as LAT, "
         "cast(cast(event_id % 360 - 180 as double) + 0.5 as string) as LON, "
-        "case when event_id % 50 = 0 then 'NA' else cast(value as string) end as SOG, "
-        "case when event_id % 97 = 0 then '' else cast(event_id % 360 as string) end as Heading, "
+        "case when event_id % 50 = 0 then 'NA' when event_id % 89 = 0 then 'fast' else cast(value as string) end as SOG, "
+        "case when event_id % 97 = 0 then '' when event_id % 109 = 0 then 'N/E' else cast(event_id % 360 as string) end as Heading, "
         "concat('  MV ', event_type, ' ', cast(user_id as string), ' ') as VesselName, "
         "concat('IMO', cast(9000000 + user_id as string)) as IMO from {events}"
     ),
