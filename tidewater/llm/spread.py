@@ -55,7 +55,7 @@ def in_units(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     widths = [max(1, -(-(h - low) // cuts)) for low, h in zip(lows, highs)]
     cut = F.expr("(id - element_at(lows, seg)) div element_at(widths, seg)")
     rows = rows.withColumns({"lows": F.lit(lows).cast("array<bigint>"), "widths": F.lit(widths).cast("array<bigint>")})
-    cut = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(cuts - 1), cut)), F.lit(0))
+    cut = F.when(F.col("id").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(cuts - 1), cut)))  # both skip nulls
     unit = ((F.col("seg") - 1) * cuts + cut).cast("int")
     return rows.select(unit.alias("unit"), "id", "text"), len(lows) * cuts
 
