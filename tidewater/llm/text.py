@@ -45,9 +45,9 @@ def ascii_lower() -> np.ndarray:
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
+        if column.num_chunks > 1 and column.type in (pa.string(), pa.binary()):  # together they may be beyond 32-bit offsets
+            column = column.cast(pa.large_string() if column.type == pa.string() else pa.large_binary())
         column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
