@@ -14,16 +14,18 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.spread import by_id, in_units
+from tidewater.llm.spread import by_id, in_units, written
 from tidewater.llm.text import Hasher, pieces, utf8
 
 #: Bytes of a chunk.  The least length is the reach of the hash: no boundary depends on bytes before its chunk.
 LEAST, NORMAL, MOST = 32, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
 _NEVER = 1 << 62
+#: Units whose neighbours are found together.
+SPAN = 1024
 _SCHEMA = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _ARROW = pa.schema(
     [
@@ -103,26 +105,42 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited copy ends, instead of its own last ``n_chars // 2`` characters,
     with the first as many (or all) of the next document; after the last comes
     the first.  Documents are ordered by id, then text, nulls first; rows of
-    one id are documents of their own.
+    one id, and rows repeated whole, are documents of their own.
 
     Result, one row for each input row: doc_id, n_chars, edited_text,
     fingerprint and edited_fingerprint (``digest:length`` of each distinct
     chunk, by digest), near_edited and near_next (``likeness`` to the edited
     copy, to the next document).  Null or empty text: no characters, an empty
-    fingerprint.  A single document is its own next one.  Other columns are
-    ignored.  An empty table gives an empty result.
+    fingerprint.  A single document is its own next one.  Very long texts are
+    cut into chunks piece by piece, as whole texts.  Other columns, whatever
+    their names, are ignored.  An empty table gives an empty result.
     """
     units, _ = in_units(docs, id_col, text_col)
-    # the first document of each unit, at most one row for a unit, goes to the unit before it as well
-    has = F.struct(F.col("id").isNotNull().alias("has"), "id")
-    firsts = sorted((r["unit"], r["first"]["id"]) for r in units.groupBy("unit").agg(F.min(has).alias("first")).collect())
-    to = [(u, i, firsts[k - 1][0]) for k, (u, i) in enumerate(firsts)]
-    ahead = docs.sparkSession.createDataFrame(to, "at int, first long, before int")
-    guests = units.join(F.broadcast(ahead), (F.col("unit") == F.col("at")) & F.col("id").eqNullSafe(F.col("first")))
-    rows = units.withColumn("guest", F.lit(False)).unionAll(guests.select(F.col("before").alias("unit"), "id", "text", F.lit(True).alias("guest")))
+    guests = units.join(_ahead(units), (F.col("unit") == F.col("at")) & F.col("id").eqNullSafe(F.col("first")))
+    # rows of one id may be many: each task keeps the least text, so a unit gets one guest
+    least = F.min(F.struct(F.col("text").isNotNull().alias("has"), "id", "text")).alias("least")
+    guests = guests.groupBy(F.col("before").alias("unit")).agg(least).select("unit", "least.id", "least.text", F.lit(True).alias("guest"))
+    rows = units.withColumn("guest", F.lit(False)).unionAll(guests)
     return rows.groupBy("unit").applyInArrow(_fingerprint_unit, _SCHEMA)
 
 
+def _ahead(units: DataFrame) -> DataFrame:
+    """(at, first, before): the id that each unit begins with and the unit before it, the last one before the first.
+
+    A row for each unit, that is for 1 to 32 MB of text.  It is written, so Spark knows its
+    size when it chooses between a broadcast and a shuffled join.  Neighbours are found
+    within spans of ``SPAN`` units, and over a row for each span at their borders."""
+    has = F.struct(F.col("id").isNotNull().alias("has"), "id")
+    firsts = units.groupBy("unit").agg(F.min(has).alias("least")).select("unit", F.col("least.id").alias("first"))
+    firsts = written(firsts.withColumn("span", F.floor(F.col("unit") / SPAN)))
+    in_order, spans = Window.partitionBy("span").orderBy("unit"), Window.partitionBy(F.lit(0)).orderBy("of_span")
+    lasts = firsts.groupBy(F.col("span").alias("of_span")).agg(F.max("unit").alias("last"))
+    everywhere = spans.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lasts = lasts.select("of_span", F.coalesce(F.lag("last").over(spans), F.max("last").over(everywhere)).alias("before_span"))
+    pairs = firsts.withColumn("inside", F.lag("unit").over(in_order)).join(lasts, F.col("span") == F.col("of_span"))
+    return written(pairs.select(F.col("unit").alias("at"), "first", F.coalesce("inside", "before_span").alias("before")))
+
+
 def _fingerprint_unit(rows: pa.Table) -> pa.Table:
     guests = by_id(rows.filter(rows["guest"]))
     own = by_id(rows.filter(pc.invert(rows["guest"])))
