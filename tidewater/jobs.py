@@ -7,6 +7,8 @@ Each function is one Spark job (or a few) over tables under ``store``:
     store/records, store/records_runs       the same, compacted (by status, source, month)
     store/upload_summary, store/upload_metadata, store/file_catalog
     store/image_metadata, store/document_metadata
+    store/objects                           bytes of kept files (images, documents; others on demand)
+    store/history                           the catalogue in blocks by time, for pages
     store/commits                           uploads whose tables are all there; readers see these only
 
 Nothing is gathered on the driver except small answers the caller asked
@@ -15,6 +17,8 @@ for (a row count, a not-found check).
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +26,11 @@ from .functions.coords import wkt_or_invalid
 from .functions.records import stable_uuid
 from .functions.timestamps import iso_text
 from .operators import catalog as cat
-from .operators import enrich, media
+from .operators import enrich, history, media
 from .operators.ingest import UploadResult, ingest_upload, upload_id_of
-from .schemas import SOURCE_SCHEMA, SUB_SOURCE_SCHEMA
+from .schemas import FILE_CATALOG_SCHEMA, SOURCE_SCHEMA, SUB_SOURCE_SCHEMA
+from .sinks import objects, writers
 from .sinks import store as records_store
-from .sinks import writers
 from .sources import files, images, office
 
 
@@ -60,12 +64,20 @@ def detect_kind(path: str, content_type: str | None) -> str:
 
 
 def upload(spark: SparkSession, paths, feed: str, store: str, uploaded_at: str,
-           content_type: str | None = None) -> UploadResult:
+           content_type: str | None = None, keep_bytes: bool = False) -> UploadResult:
     """Feed files (NDJSON or CSV/TSV/XLSX) -> records, rejects, upload
-    metadata and catalogue rows, idempotent per upload."""
+    metadata and catalogue rows, idempotent per upload. With ``keep_bytes``
+    the files themselves (of at most 2 GB each) are kept too, see
+    :func:`open_file`."""
     s, ss = _dims(spark, store)
     return ingest_upload(spark, paths, feed, store, source_dim=s, sub_source_dim=ss,
-                         uploaded_at=uploaded_at, content_type=content_type)
+                         uploaded_at=uploaded_at, content_type=content_type, keep_bytes=keep_bytes)
+
+
+def _keep(rows: DataFrame, bins: DataFrame, store: str, uid: str) -> None:
+    """Keep the bytes of the files that have these catalogue rows."""
+    held = rows.select("uuid", "bucket", "filename").join(bins.select(stable_uuid(F.col("path")).alias("uuid"), "content"), "uuid")
+    objects.put_objects(held, _p(store, "objects"), uid)
 
 
 def extract_images(spark: SparkSession, paths, store: str, uploaded_at: str) -> DataFrame:
@@ -85,7 +97,8 @@ def extract_images(spark: SparkSession, paths, store: str, uploaded_at: str) ->
         stable_uuid(F.col("path")).alias("uuid"), "filename", F.lit(uploaded_at).alias("timestamp"),
         ct.alias("content_type"), F.col("file_size_bytes").alias("size"), F.lit(None).cast("string").alias("source")))
     writers.append_catalog(catalog_rows, _p(store, "file_catalog"), uid)
-    records_store.commit(spark, store, uid, run, ["image_metadata", "file_catalog"])
+    _keep(catalog_rows, bins, store, uid)
+    records_store.commit(spark, store, uid, run, ["image_metadata", "file_catalog", "objects"])
     return stored
 
 
@@ -94,12 +107,14 @@ def upload_documents(spark: SparkSession, paths, store: str, uploaded_at: str) -
     (a document is in the file history like any other upload)."""
     uid = f"documents-{upload_id_of(spark, paths)}"
     run = records_store.begin(spark, store, uid)
-    docs = office.document_records(files.read_binary(spark, paths), uploaded_at)
+    bins = files.read_binary(spark, paths)
+    docs = office.document_records(bins, uploaded_at)
     stored = writers.write_upload(docs, _p(store, "document_metadata"), uid)
     rows = stored.select("uuid", "filename", F.col("upload_time").alias("timestamp"), "content_type",
                          F.col("storage.size").alias("size"), F.lit(None).cast("string").alias("source"))
     writers.append_catalog(cat.catalog_rows(rows), _p(store, "file_catalog"), uid)
-    records_store.commit(spark, store, uid, run, ["document_metadata", "file_catalog"])
+    _keep(cat.catalog_rows(rows), bins, store, uid)
+    records_store.commit(spark, store, uid, run, ["document_metadata", "file_catalog", "objects"])
     return stored
 
 
@@ -140,6 +155,28 @@ def file_metadata(spark: SparkSession, store: str, uuid: str) -> DataFrame:
     return cat.lookup_file(records_store.read_committed(spark, store, "file_catalog"), uuid)
 
 
+def open_file(spark: SparkSession, store: str, uuid: str) -> DataFrame:
+    """The bytes of a kept file by uuid, as chunks in order (what is
+    under its bucket and filename now; ``found`` tells whether that is this
+    upload). LookupError when no file has the uuid."""
+    held = records_store.read_committed(spark, store, "objects")
+    return objects.open_file(records_store.read_committed(spark, store, "file_catalog"), held, uuid)
+
+
+def index_history(spark: SparkSession, store: str, block_rows: int = history.BLOCK_ROWS) -> str:
+    """Write the committed catalogue into blocks by time, as a new folder; returns it."""
+    path = f"{_p(store, 'history')}/{uuid4().hex}"
+    rows = records_store.read_committed(spark, store, "file_catalog").select(*FILE_CATALOG_SCHEMA.fieldNames())
+    history.append_history(rows, path, "all", block_rows)
+    return path
+
+
+def file_history_page(spark: SparkSession, index: str, size: int = 100, before: tuple[str, str] | None = None) -> DataFrame:
+    """H2: a page of the history as of :func:`index_history`; ``before`` is
+    the (timestamp, uuid) of the last row of the page before it."""
+    return history.history_page(spark, index, FILE_CATALOG_SCHEMA, size, before)
+
+
 def download_file_records(spark: SparkSession, store: str, file_uuid: str, out_csv: str) -> None:
     """One file's records as CSV; LookupError when there are none."""
     writers.export_file_records(_saved(spark, store), file_uuid, out_csv)

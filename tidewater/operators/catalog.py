@@ -79,11 +79,11 @@ def with_storage_columns(files: DataFrame) -> DataFrame:
             .drop("_cat"))
 
 
-def catalog_rows(files: DataFrame, source_col: str = "source") -> DataFrame:
-    """Catalogue rows in the fixed schema order."""
+def catalog_rows(files: DataFrame, source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Catalogue rows in the fixed schema order (and columns to ``keep`` beside them)."""
     f = with_storage_columns(files)
     return f.select("uuid", "filename", "timestamp", "type", "bucket", "content_type",
-                    F.col("size").cast("long").alias("size"), F.col(source_col).alias("source"))
+                    F.col("size").cast("long").alias("size"), F.col(source_col).alias("source"), *keep)
 
 
 def file_history(catalog: DataFrame) -> DataFrame:

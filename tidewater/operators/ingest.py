@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import stable_uuid
-from ..sinks import store, writers
+from ..sinks import objects, store, writers
 from ..sinks.scratch import is_scratch
 from ..sources import files
 from . import catalog as cat
@@ -125,13 +125,15 @@ def content_type_of(filename) -> Column:
 
 
 def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source_dim: DataFrame,
-                  sub_source_dim: DataFrame, uploaded_at: str, content_type: str | None = None) -> UploadResult:
+                  sub_source_dim: DataFrame, uploaded_at: str, content_type: str | None = None,
+                  keep_bytes: bool = False) -> UploadResult:
     """Convert one or more uploaded files of a feed and store the results.
 
     Files are read by header, so columns are never taken from another file's
     header. Unknown feed: nothing is converted and
     every row is reported skipped (the structured path's 'Row <i> skipped:
-    unknown source type')."""
+    unknown source type'). ``keep_bytes`` keeps the files' bytes under the
+    same commit; otherwise they are never read whole."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     upload_id = upload_id_of(spark, paths)
     run = store.begin(spark, out_dir, upload_id)
@@ -145,16 +147,19 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
                 part = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
             part = with_upload_ids(part, scope)
             converted = part if converted is None else converted.unionByName(part)
-        blobs = files.read_binary(spark, group).drop("content")  # the bytes are never read
-        blobs = blobs.select(stable_uuid(F.lit(scope), F.col("filename")).alias("uuid"), "filename", "size")
+        blobs = files.read_binary(spark, group)
+        blobs = blobs.select(stable_uuid(F.lit(scope), F.col("filename")).alias("uuid"), "filename", "size", "content")
         cat_rows = blobs if cat_rows is None else cat_rows.unionByName(blobs)
     converted = enrich.with_source_id(converted.drop("source_id"), source_dim, feed_col="feed")
     converted = enrich.with_sub_source_id(converted.drop("sub_source_id"), sub_source_dim)
     ct = F.lit(content_type) if content_type else content_type_of(F.col("filename"))
     cat_rows = cat_rows.select("uuid", "filename", F.lit(uploaded_at).alias("timestamp"), ct.alias("content_type"), "size",
-                               F.lit(feed).alias("upload_source"))
-    result = store_upload(converted, cat_rows, out_dir, upload_id, source_dim, uploaded_at)
-    store.commit(spark, out_dir, upload_id, run, UPLOAD_TABLES)
+                               F.lit(feed).alias("upload_source"), "content")
+    result = store_upload(converted, cat_rows.drop("content"), out_dir, upload_id, source_dim, uploaded_at)
+    if keep_bytes:
+        held = cat.catalog_rows(cat_rows, source_col="upload_source", keep=("content",))
+        objects.put_objects(held, f"{out_dir.rstrip('/')}/objects", upload_id)
+    store.commit(spark, out_dir, upload_id, run, UPLOAD_TABLES + (["objects"] if keep_bytes else []))
     return result
 
 

@@ -531,6 +531,17 @@ def _build() -> None:
         "(partition by bucket, filename order by timestamp desc, uuid desc) rn from catalog) where rn = 1)",
         "select c.uuid, c.bucket, c.filename, c.content_type, (k.current_uuid = c.uuid) as found, k.current_uuid "
         "from catalog c left join cur k on c.bucket = k.bucket and c.filename = k.filename")
+    o["file_history_page"] = _with(file_ctes(), "select * from catalog where timestamp < '1996-07-01' or (timestamp = '1996-07-01' and uuid < 'f-9') "
+                                   "order by timestamp desc, uuid desc limit 100")
+    o["file_bytes"] = (
+        "with f as (select o_orderkey // 1024 as k, string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || chr(10), '' order by o_orderkey) as a, "
+        "string_agg(o_orderpriority || '|' || o_orderkey || chr(10), '' order by o_orderkey) as b from orders group by o_orderkey // 1024), "
+        "g as (select k, case when k % 3 = 0 then b else a end as body from f where k % 2 = 0), "
+        "c as (select k, body, unnest(range((length(body) + 4999) // 5000)) as chunk from g), "
+        "p as (select *, substr(body, chunk * 5000 + 1, 5000) as piece from c) "
+        "select 'u0-' || k as uuid, 'orders_' || k || '.csv' as filename, 'csv' as bucket, k % 3 <> 0 as found, "
+        "case when k % 3 = 0 then 'u1-' else 'u0-' end || k as current_uuid, cast(length(body) as bigint) as size, "
+        "cast(chunk as integer) as chunk, cast(length(piece) as integer) as n_bytes, sha256(piece) as sha256 from p")
     o["file_size_mb"] = _with(file_ctes(), "select uuid, size, round(size / 1048576.0, 2) as size_mb from catalog")
     o["image_record"] = _with(feed_cte("exif_tags"), "select * exclude (has_cam) from (" + _image_record_sql() + ")")
     o["image_summary"] = _with(feed_cte("exif_tags") + ",\nrec as (" + _image_record_sql() + ")",

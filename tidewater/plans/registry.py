@@ -19,13 +19,13 @@ from ..functions.records import stable_uuid
 from ..functions.text import is_all_digits, normalise_headers
 from ..functions.timestamps import iso_text
 from ..operators import catalog as cat
-from ..operators import checks, enrich, incremental, media
+from ..operators import checks, enrich, history, incremental, media
 from ..operators import converters as conv
 from ..operators.refine import refine_with_sql
 from ..operators.routing import route_p8i
-from ..sinks import store
+from ..sinks import objects, store, writers
 from ..sinks.scratch import scratch_path
-from ..sources import delimited, feeds
+from ..sources import delimited, feeds, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -499,6 +499,47 @@ def duplicate_uuids_incremental(spark, sf, uploads: int = 3):
     return out
 
 
+def file_history_page(spark, sf, size: int = 100, before: tuple = ("1996-07-01", "f-9")):
+    """H2 by pages: what comes after a (timestamp, uuid) in the history, of
+    two runs of uploads whose times overlap."""
+    rows, path = catalog(spark, sf), scratch_path(spark, "history")
+    for k in range(2):
+        history.append_history(rows.where(F.pmod(F.crc32("uuid"), F.lit(2)) == k), path, f"r{k}", block_rows=2000)
+    return history.history_page(spark, path, rows.schema, size, before)
+
+
+#: Two uploads of files of 1024 orders each; the second has every third file again, with other cells.
+UPLOADED_FILES = {
+    "u0": "select o_orderkey div 1024 as k, o_orderkey, concat(cast(o_orderkey as string), '|', cast(o_custkey as string), '|', o_orderstatus) as line from {orders}",
+    "u1": "select o_orderkey div 1024 as k, o_orderkey, concat(o_orderpriority, '|', cast(o_orderkey as string)) as line from {orders} "
+          "where (o_orderkey div 1024) % 3 = 0",
+}
+
+
+def file_bytes(spark, sf, chunk_bytes: int = 5000):
+    """E7 + B6: files written from the orders, uploaded and kept, and every
+    second file of the first upload opened by uuid: its bytes, or those of the
+    upload that replaced it, chunk by chunk."""
+    base = scratch_path(spark, "files")
+    entries = None
+    for day, (upload, text) in enumerate(UPLOADED_FILES.items(), 1):
+        lines = spark.sql(text, orders=feeds.table(spark, sf, "orders")).repartition("k")
+        lines.sortWithinPartitions("k", "o_orderkey").select("k", "line").write.partitionBy("k").text(f"{base}/landing-{upload}")
+        found = files.read_binary(spark, f"{base}/landing-{upload}")
+        k = F.regexp_extract("path", r"/k=(\d+)/", 1)
+        rows = found.withColumn("filename", F.concat(F.lit("orders_"), k, F.lit(".csv"))).withColumn("uuid", F.concat(F.lit(f"{upload}-"), k))
+        rows = cat.catalog_rows(rows.select("uuid", "filename", F.lit(f"2025-01-0{day} 00:00:00").alias("timestamp"), "content",
+                                            F.lit("text/csv").alias("content_type"), "size", F.lit("manual").alias("source")), keep=("content",))
+        objects.put_objects(rows, f"{base}/objects", upload, chunk_bytes)
+        own = writers.write_upload(rows.drop("content"), f"{base}/file_catalog", upload)
+        entries = own if entries is None else entries.unionByName(own)
+    held = spark.read.parquet(f"{base}/objects")
+    wanted = entries.where(F.col("uuid").startswith("u0-") & (F.substring_index("uuid", "-", -1).cast("int") % 2 == 0))
+    out = objects.open_files(entries, held, wanted)
+    return out.select("uuid", "filename", "bucket", "found", "current_uuid", "size", "chunk",
+                      F.length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "refined_speed": refined_speed,
     "ais_to_cdf": ais_to_cdf,
@@ -538,6 +579,8 @@ QUERIES: dict[str, Query] = {
     "file_history": file_history,
     "latest_objects": latest_objects,
     "file_by_uuid": file_by_uuid,
+    "file_bytes": file_bytes,
+    "file_history_page": file_history_page,
     "file_size_mb": file_size_mb,
     "image_record": image_record,
     "image_summary": image_summary,
