@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col_
@@ -33,3 +33,36 @@ def row_json(df, columns=None) -> Column:
         c = F.col(f"`{name}`")
         fields.append((nan_to_null(c) if dtype in ("double", "float") else c).alias(name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+#: Text that counts as a number in a raw cell.
+PLAIN_NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
+
+
+def raw_fields(records: DataFrame, keep=("feed",), raw_col: str = "raw_data") -> DataFrame:
+    """The fields of each raw row, a row for each: the columns to
+    ``keep``, key, kind ('null', 'object', 'array' or 'scalar') and value as text.
+
+    The text is parsed once, into a VARIANT, whatever fields it has. Text that
+    is no JSON, a JSON value that is no object and an object without
+    fields give one row without key, so that no raw row is lost; no text, none."""
+    cols = ", ".join(f"`{c}`" for c in keep)
+    parsed = records.where(F.col(raw_col).isNotNull()).select(*keep, F.try_parse_json(raw_col).alias("_raw"))
+    parsed = parsed.withColumn("_raw", F.when(F.schema_of_variant("_raw").startswith("OBJECT"), F.col("_raw")))
+    fields = records.sparkSession.sql(
+        f"select {cols}, f.key as key, f.value as _value, schema_of_variant(f.value) as _type, is_variant_null(f.value) as _null "
+        "from {parsed}, lateral variant_explode_outer(_raw) f", parsed=parsed)
+    kind = (F.when(F.col("key").isNull(), None).when(F.col("_null"), "null").when(F.col("_type").startswith("OBJECT"), "object")
+            .when(F.col("_type").startswith("ARRAY"), "array").otherwise("scalar"))
+    return fields.select(*keep, "key", kind.alias("kind"), F.try_variant_get("_value", "$", "string").alias("value"))
+
+
+def field_profile(fields: DataFrame, by=("feed",)) -> DataFrame:
+    """Counts and number ranges of each field. Fixed-width aggregates, so the
+    rows are folded in hash tables before the shuffle."""
+    scalar = F.col("kind") == "scalar"
+    number = F.when(scalar & F.col("value").rlike(PLAIN_NUMBER), F.col("value").try_cast("double"))
+    return fields.groupBy(*by, "key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "null").alias("n_null"),
+        F.count_if(F.col("kind") == "object").alias("n_object"), F.sum(F.when(scalar, F.length("value"))).alias("n_chars"),
+        F.count(number).alias("n_numbers"), F.min(number).alias("least"), F.max(number).alias("greatest"))

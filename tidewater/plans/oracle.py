@@ -542,6 +542,7 @@ def _build() -> None:
         "select 'u0-' || k as uuid, 'orders_' || k || '.csv' as filename, 'csv' as bucket, k % 3 <> 0 as found, "
         "case when k % 3 = 0 then 'u1-' else 'u0-' end || k as current_uuid, cast(length(body) as bigint) as size, "
         "cast(chunk as integer) as chunk, cast(length(piece) as integer) as n_bytes, sha256(piece) as sha256 from p")
+    o["raw_data_fields"] = raw_data_fields_sql()
     o["file_size_mb"] = _with(file_ctes(), "select uuid, size, round(size / 1048576.0, 2) as size_mb from catalog")
     o["image_record"] = _with(feed_cte("exif_tags"), "select * exclude (has_cam) from (" + _image_record_sql() + ")")
     o["image_summary"] = _with(feed_cte("exif_tags") + ",\nrec as (" + _image_record_sql() + ")",
@@ -554,6 +555,35 @@ def _build() -> None:
         "split_part(coalesce(text, ''), chr(10), 1) else split_part(coalesce(text, ''), chr(10), 2) end) as fp from documents)")
 
 
+#: Cells of the piracy feed as they are named in a raw row.
+PIRACY_COLS = ["date", "time", "longitude", "latitude", "attack_type", "location_description", "nearest_country", "eez_country",
+               "shore_distance", "shore_longitude", "shore_latitude", "attack_description", "vessel_name", "vessel_type",
+               "vessel_status", "data_source"]
+#: Headers of a P8I CSV file, lower-cased, by the name that the feed gives them.
+P8I_HEADERS = {"pos_date": "position valid date yyyymmdd", "pos_time": "position valid time hh:mm:ss.sss", "lat_dms": "lat / lat origin",
+               "lon_dms": "long / long origin", "speed_kts": "speed kts / spare", "course_deg": "course deg / bearing deg"}
+
+
+def raw_data_fields_sql() -> str:
+    ais = {c: c.lower() for c in ("MMSI", "BaseDateTime", "LAT", "LON", "SOG", "Heading", "VesselName", "IMO")}
+    tables = [("AIS", "ais_raw", "ais", ais), ("P8I", "p8i_csv_raw", "p8i", P8I_HEADERS),
+              ("Piracy", "piracy_raw", "piracy", {c: c for c in PIRACY_COLS})]
+    parts = []
+    for feed, raw, converted, cols in tables:
+        for c, key in cols.items():
+            parts.append(f"select '{feed}' as feed, {q(key)} as key, {na('r.' + c)} as value, false as obj from {raw} r "
+                         f"join {converted} c on r.file_name = c.file_name and r.row_no = c.row_no where c.reject_reason is null")
+    parts.append("select 'DMAS' as feed, key, json_extract_string(value, '$.' || key) as value, json_type(value, '$.' || key) = 'OBJECT' as obj from "
+                 "(select r.value, unnest(json_keys(r.value)) as key from dmas_ndjson r join dmas c on r.file_name = c.file_name "
+                 "and r.row_no = c.row_no where c.reject_reason is null)")
+    number = "(case when not obj and regexp_matches(value, '^[+-]?[0-9]+(\\.[0-9]+)?$') then try_cast(value as double) end)"
+    return _with(
+        f"{ais_ctes()},\n{p8i_csv_ctes()},\n{dmas_ctes()},\n{piracy_ctes()},\nfields as ({' union all '.join(parts)})",
+        "select feed, key, count(*) as n, count(*) - count(value) as n_null, count(*) filter (where obj) as n_object, "
+        "cast(sum(case when not obj then length(value) end) as bigint) as n_chars, "
+        f"count({number}) as n_numbers, min({number}) as least, max({number}) as greatest from fields group by feed, key")
+
+
 def _image_record_sql() -> str:
     def deg(v, r):
         p = f"string_split({strip(v)}, ' ')"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import wkt_or_invalid
-from ..functions.records import stable_uuid
+from ..functions.records import field_profile, raw_fields, stable_uuid
 from ..functions.text import is_all_digits, normalise_headers
 from ..functions.timestamps import iso_text
 from ..operators import catalog as cat
@@ -212,6 +212,12 @@ def raw_data_json(spark, sf):
                                   for k in ("mmsi", "sog", "heading", "vesselname")])
 
 
+def raw_data_fields(spark, sf):
+    """Every field of the raw rows of all saved records, whatever
+    their feed, profiled by feed and field."""
+    return field_profile(raw_fields(saved_records(spark, sf)))
+
+
 def p8i_csv_to_cdf(spark, sf):
     return saved(conv_p8i_csv(spark, sf)).select(
         "row_no", "uuid", "logged_timestamp", "latitude", "longitude", "speed", "bearing", "course")
@@ -545,6 +551,7 @@ QUERIES: dict[str, Query] = {
     "ais_to_cdf": ais_to_cdf,
     "ais_rejects": ais_rejects,
     "raw_data_json": raw_data_json,
+    "raw_data_fields": raw_data_fields,
     "p8i_csv_to_cdf": p8i_csv_to_cdf,
     "p8i_csv_rejects": p8i_csv_rejects,
     "dmas_to_cdf": dmas_to_cdf,
