@@ -153,6 +153,11 @@ class WordCache:
         edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
         return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
+    def first_lines(self, texts: pa.Array) -> np.ndarray:
+        """How many ids the first line of each text has; 0 where there is one line only."""
+        lines = pc.struct_field(pc.extract_regex(texts, r"^(?P<line>[^\n]*)\n"), "line").fill_null("")
+        return np.array([len(ids) for ids in self.encode(lines)], np.int64)
+
 
 def worker_cache(tokenizer_path: str) -> WordCache:
     """This Python worker's cache: tasks that run in it one after the other share what it learned.
@@ -218,16 +223,20 @@ class Packer:
         while self.items and left[0] and left[1]:
             size, loss = self.size[: len(self.items)], self.loss[: len(self.items)]
             have = np.array(left) * self.scale
-            dot = size * (have[0] * self.scale[0]) + have[1] * self.scale[1] + loss * (have[2] * self.scale[2])
+            have *= self.scale
             fits = (size <= left[0]) & (loss <= left[2])
             if fits.any():
+                dot = size * have[0] + have[1] + loss * have[2]
                 item, rest = self._take(int(np.where(fits, dot, -1.0).argmax())), None
-            else:
-                doc, ids, start, loss_start, total = self._take(int(dot.argmax()))
-                cut = min(left[0], len(ids), max(0, loss_start - start) + left[2])
-                if not cut:
-                    self._wait((doc, ids, start, loss_start, total))
+            else:  # the vector of what can be cut off each piece; ids without loss come first in a document
+                bare = size - loss
+                part = np.minimum(left[0], bare + left[2])
+                if not part.any():
                     break
+                dot = part * have[0] + have[1] + np.maximum(0, part - bare) * have[2]
+                k = int(np.where(part > 0, dot, -1.0).argmax())
+                cut = int(part[k])
+                doc, ids, start, loss_start, total = self._take(k)
                 item, rest = (doc, ids[:cut], start, loss_start, total), (doc, ids[cut:], start + cut, loss_start, total)
             pieces.append(item)
             n, loss_n = self._vector(item)
@@ -271,12 +280,15 @@ def pack_documents(
     loss_start_col: str | None = None,
     pool: int = 1024,
     keep_ids: bool = True,
+    prompt_line: bool = False,
 ) -> DataFrame:
     """Cut documents into pieces and place them in sequences within ``limits``.
 
     A document is the tokenizer's ids of its text and then ``end_id`` (if
     given).  ``loss_start_col`` names a column with the number of leading ids
-    that bear no loss (null: 0), such as a prompt's; without it all ids do.
+    that bear no loss (null: 0), such as a prompt's; with ``prompt_line`` the
+    ids of the first line of a text of two or more lines bear none either.
+    Without both all ids bear loss.
 
     Result, one row for each piece: doc_id, start (ids of the document before
     it), length, loss_length, ids (null without ``keep_ids``), ids_crc32 (of
@@ -284,8 +296,10 @@ def pack_documents(
     in the sequence, without gaps from 0.
 
     Full sequences have no padding; a partition's last one is divided into
-    powers of two.  Only the segment and loss limits can leave room.  Null or
-    empty text has only ``end_id``; without that it has no piece.  Rows of one
+    powers of two.  Only the segment and loss limits can leave room: a sequence
+    that holds all the loss it may is filled up with ids without loss, cut off
+    waiting documents, while the pool has such.  A very long text is cut into
+    as many sequences as it needs.  Null or empty text has only ``end_id``; without that it has no piece.  Rows of one
     id are packed as documents of their own.  Other columns are ignored.  An
     empty table gives an empty result.  The tokenizer must not join characters
     across white space (the word-level ones here do not).
@@ -300,7 +314,11 @@ def pack_documents(
             texts = batch.column(1).fill_null("")
             for at, to in pieces(utf8(texts)[1], ENCODE_BYTES):
                 part = batch.slice(at, to - at)
-                for doc, ids, first in zip(part.column(0).to_pylist(), cache.encode(texts.slice(at, to - at)), part.column(2).to_pylist()):
+                own = texts.slice(at, to - at)
+                firsts = part.column(2).to_numpy()
+                if prompt_line:
+                    firsts = np.maximum(firsts, cache.first_lines(own))
+                for doc, ids, first in zip(part.column(0).to_pylist(), cache.encode(own), firsts.tolist()):
                     packer.add(doc, ids if end_id is None else np.append(ids, np.uint32(end_id)), first)
                     if len(packer.out) > 2000:
                         yield _batch(packer, keep_ids)

@@ -21,6 +21,8 @@ from tidewater.llm.toxicity import learn_toxicity, score_toxicity
 
 #: File names in the folder of public tokenizers.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+#: A document's first line is its prompt; a sequence leaves 32 tokens at least to prompts, and holds 32 segments at most.
+PACKING_LIMITS = Limits(2048, 32, 2016)
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -66,7 +68,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), Limits(2048, 256, 2048), keep_ids=False)
+    out = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), PACKING_LIMITS, prompt_line=True, keep_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_length")
 
 
