@@ -2,9 +2,11 @@
 
 Method: logistic regression over the words of a text and their beginnings.
 Every labelled text that names a group gets a counterfactual, the same text
-with each identity term replaced by another of its kind; the loss adds a
-penalty on the difference of both scores, so that naming a group moves a score
-little, whatever the labels of the texts that name it.
+with each identity term replaced by another of its kind, and a second one
+without the terms; the loss adds a penalty on the differences of the scores, so
+that naming a group, whichever it is, moves a score little, whatever the labels
+of the texts that name it.  (With the first alone all groups of a kind end up
+with the score of the one that the labels blame.)
 
 Statistics that choose the features, and the features of the sample, are made
 in Spark; the fit itself sees at most ``FEATURES`` columns of a bounded sample.
@@ -126,30 +128,36 @@ def _swaps() -> dict[int, tuple[str, str]]:
     return {_of_text(t)[0]: (t, group[(k + 1) % len(group)]) for group in IDENTITY for k, t in enumerate(group)}
 
 
-def learn_toxicity(labelled: DataFrame, sample: int = SAMPLE, texts: DataFrame | None = None) -> ToxicityModel:
+def learn_toxicity(labelled: DataFrame, sample: int = SAMPLE, texts: DataFrame | None = None, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
     """Model learned from (key, text, label) rows, label 0 or 1.
 
-    ``sample`` texts of each class, in expectation, chosen by a hash of
-    ``key`` (all, where there are fewer); they are weighted back to the shares
-    of all rows.  Without rows the model scores 0; with one class its share.
+    ``sample`` different rows of each class, in expectation, chosen by a hash
+    of ``key`` and text (all, where there are fewer); they are weighted back to
+    the shares of all different rows.  Repeated rows count once, and a key on
+    many rows is sampled row by row, so the sample is bounded whatever the keys
+    are.  Without rows the model scores 0; with one class its share.  Rows
+    without a text, or with another label, are left out; empty and very long
+    texts are texts like others; other columns are ignored.
     ``texts`` has the (key, text) rows if ``labelled`` has keys and labels
-    only: then keys are joined and sampled first, and just the sampled ones,
+    only: then hashes are joined and sampled first, and just the sampled ones,
     2 x ``sample`` in expectation, are broadcast to the texts, which stay put.
+    ``counterfactual`` is the weight of the penalty, 0 for none.
     """
-    rows = labelled.where(F.col("label").isin(0, 1))
+    labelled = labelled.where(F.col("label").isin(0, 1))
+    of_text = F.xxhash64("text").alias("text_hash")
     if texts is None:
-        rows = rows.where(F.col("text").isNotNull())
+        rows = labelled.where(F.col("text").isNotNull()).select("key", "text", of_text, "label").dropDuplicates(["key", "text_hash", "label"])
     else:
-        texts = texts.where(F.col("text").isNotNull())
-        rows = rows.join(texts.select("key"), "key")
+        texts = texts.where(F.col("text").isNotNull()).select("key", "text", of_text)
+        rows = labelled.select("key", "label").join(texts.select("key", "text_hash"), "key").distinct()
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     none = np.zeros(0)
     if len(totals) < 2:
         return ToxicityModel(none.astype(np.uint64), none, 20.0 if 1 in totals else -20.0)
     share = F.when(F.col("label") == 1, min(1.0, sample / totals[1])).otherwise(min(1.0, sample / totals[0]))
-    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.where(F.pmod(F.xxhash64("key", "text_hash", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
     if texts is not None:
-        picked = texts.join(F.broadcast(written(picked.select("key", "label").distinct())), "key")
+        picked = texts.join(F.broadcast(written(picked)), ["key", "text_hash"]).dropDuplicates(["key", "text_hash", "label"])
     picked = written(picked.select("text", F.col("label").cast("long").alias("label")))
 
     size = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
@@ -185,8 +193,8 @@ def learn_toxicity(labelled: DataFrame, sample: int = SAMPLE, texts: DataFrame |
         if terms_here := s & swap_words.keys():
             old = {places[h] for k in terms_here for h in _of_text(swap_words[k][0])}
             new = {places[h] for k in terms_here for h in _of_text(swap_words[k][1])}
-            pairs.append((new - s, old - new))
-    return ToxicityModel(features, *_fit(at, labels, weight, pairs, len(features)))
+            pairs += [(new - s, old - new), (set(), old)]
+    return ToxicityModel(features, *_fit(at, labels, weight, pairs, len(features), counterfactual))
 
 
 def _sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +202,7 @@ def _sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), np.fromiter((i for x in lists for i in x), np.int64, sum(sizes))
 
 
-def _fit(at: list, labels: np.ndarray, weight: np.ndarray, pairs: list, n_features: int, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def _fit(at: list, labels: np.ndarray, weight: np.ndarray, pairs: list, n_features: int, counterfactual: float, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept by gradient steps (Adam) on log loss, ridge and counterfactual penalty."""
     row, col = _sparse(at)
     more_row, more_col = _sparse([p[0] for p in pairs])
@@ -207,7 +215,7 @@ def _fit(at: list, labels: np.ndarray, weight: np.ndarray, pairs: list, n_featur
         grad = np.append(np.bincount(col, weights=error[row], minlength=n_features) + RIDGE * w, error.sum())
         if pairs:
             gap = np.bincount(more_row, weights=w[more_col], minlength=len(pairs)) - np.bincount(less_row, weights=w[less_col], minlength=len(pairs))
-            pull = 2 * COUNTERFACTUAL * gap / len(pairs)
+            pull = 2 * counterfactual * gap / len(pairs)
             grad[:-1] += np.bincount(more_col, weights=pull[more_row], minlength=n_features)
             grad[:-1] -= np.bincount(less_col, weights=pull[less_row], minlength=n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -219,7 +227,9 @@ def _fit(at: list, labels: np.ndarray, weight: np.ndarray, pairs: list, n_featur
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` and score (0 to 1) for each row; every word of a text counts once.
 
-    Null and empty texts get the score of a text without known words.
+    Null and empty texts get the score of a text without known words.  Very
+    long texts are read whole.  Repeated rows get a row each; ``keep`` may name
+    columns of any name.  An empty table gives an empty result.
     """
     names = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
