@@ -28,6 +28,8 @@ SLOTS = 1 << 20
 PROBES = 3
 #: Texts of each language that are learned from, in expectation.
 SAMPLE = 4000
+#: Labels beyond this number are taken for a column that does not hold languages: an error, never a cut.  The filter of so many has 128 MB.
+MOST_LANGUAGES = 1024
 #: An n-gram belongs to a language that has it this often, and at this share of the rate of the language that has it most.
 LEAST_COUNT, LEAST_RATE = 3, 0.3
 #: Up to so many learned n-grams of a language, once is often enough; up to the second number, twice.
@@ -83,14 +85,20 @@ def _slots(hashes: np.ndarray) -> Iterator[np.ndarray]:
         yield ((hashes >> np.uint64(20 * k)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
+def learn(labelled: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> LanguageFilter:
     """Filter learned from (lang, text, key) rows; every ``lang`` value is a language.
 
     ``sample`` texts of each language, in expectation, chosen by a hash of
-    ``key`` (all, where there are fewer).
+    ``key`` (all, where there are fewer).  More than ``most_languages``
+    different labels raise an error.  Rows without a label or text are left
+    out; empty texts teach nothing; repeated rows count as often as they
+    occur; very long texts are read whole; other columns are ignored.  An
+    empty table gives a filter without languages.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} labels: is this a column of languages?")
     languages = tuple(sorted(counts))
     kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= min(64, len(languages)))}")
     out = np.zeros((-(-len(languages) // 64), SLOTS), kind)
@@ -139,7 +147,10 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
     score: the best language's share of all corrected shares; coverage: its
     corrected share of the text's n-grams.  Without a letter, or null: ``und``
     with score 0.  With letters but no known n-gram: the first language with
-    score 0.  Every character of a text is read.
+    score 0.  Every character of a text is read, however long.  Ties go to the
+    language that is first by name.  Repeated rows get a row each; ``keep`` may
+    name columns of any name, also those used here.  An empty table gives an
+    empty result; a filter without languages says ``und`` to all.
     """
     names = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
