@@ -5,7 +5,8 @@
 2. near-dedup: one document of each group of near copies stays;
 3. decontamination: documents with a window of a benchmark item go;
 4. secret scans: secrets are replaced by a mark;
-5. packing: what is left becomes sequences of 2048 tokens.
+5. packing: what is left becomes sequences of 2048 tokens; a text's first line
+   is its prompt and bears no loss.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that the one
 before kept, and all but the last return the columns of ``docs``.  ``run``
@@ -14,7 +15,8 @@ lost executor never costs more than the running stage.
 
 Rows are told apart by doc_id and text.  Null ids and texts pass through the
 stages like other rows (a null text has no letters, so the first stage ends
-it); an empty table gives an empty result.
+it); an empty table gives an empty result.  Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.language_id import identify, learn
 from tidewater.llm.near_dedup import near_duplicates
-from tidewater.llm.packing import Limits, pack_documents
-from tidewater.llm.queries import PACKING_TOKENIZER, tokenizer_path
+from tidewater.llm.packing import pack_documents
+from tidewater.llm.queries import PACKING_LIMITS, PACKING_TOKENIZER, tokenizer_path
 from tidewater.llm.secrets import base_spans, entropy_spans, redacted
 from tidewater.llm.spread import written
 
@@ -38,12 +40,20 @@ def _same_row(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["of_id"]) & (F.xxhash64(F.coalesce(left["text"], F.lit(""))) == right["of_hash"])
 
 
+def _unused(docs: DataFrame, prefix: str) -> str:
+    """``prefix``, made longer until no column begins with it."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True))
     model = learn(docs.where(learned).select("lang", "text", F.col("doc_id").alias("key")))
-    judged = identify(docs, model, keep=tuple(docs.columns), prefix="judged_")
-    foreign = (F.col("judged_coverage") < LEAST_COVERAGE) & (F.length("text") >= LEAST_CHARS)
-    return judged.where((F.col("judged_lang_pred") != "und") & ~foreign).select(*docs.columns)
+    prefix = _unused(docs, "judged_")
+    judged = identify(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    foreign = (F.col(f"{prefix}coverage") < LEAST_COVERAGE) & (F.length("text") >= LEAST_CHARS)
+    return judged.where((F.col(f"{prefix}lang_pred") != "und") & ~foreign).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,15 +69,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text, base, spans = (F.col(f"_scan_{x}") for x in ("text", "base", "spans"))
-    found = docs.withColumn("_scan_text", F.col("text")).withColumn("_scan_base", base_spans(text))  # found once, used twice
-    found = found.withColumn("_scan_spans", F.concat(base, entropy_spans(text, base)))
-    found = found.withColumn("text", redacted(text, spans)).drop("_scan_text", "_scan_base", "_scan_spans")
+    names = [_unused(docs, "scan_") + x for x in ("text", "base", "spans")]
+    text, base, spans = map(F.col, names)
+    found = docs.withColumn(names[0], F.col("text")).withColumn(names[1], base_spans(text))  # found once, used twice
+    found = found.withColumn(names[2], F.concat(base, entropy_spans(text, base)))
+    found = found.withColumn("text", redacted(text, spans)).drop(*names)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path(PACKING_TOKENIZER), Limits(2048, 256, 2048))
+    return pack_documents(docs, tokenizer_path(PACKING_TOKENIZER), PACKING_LIMITS, prompt_line=True)
 
 
 STAGES = [
