@@ -1,6 +1,7 @@
 """The corpus pipeline and the registered queries on small tables."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -55,6 +56,42 @@ def test_stages(spark, tables):
         assert sum(n for _, n in own) == next(p.doc_tokens for p in pieces if p.doc_id == i)
 
 
+def test_stages_equal_a_plain_pass(spark, tables):
+    """What is left, and with which text, by definition over sets and patterns; repeated rows, null ids, clashing columns."""
+    folder, texts = tables
+    schema = "doc_id long, text string, lang string, judged_score double, scan_text string, _same string, unit int, n_chars int"
+    rows = [(i, t) for i, t in texts.items()] + [(3, texts[3]), (None, texts[7]), (None, _prose(70)), (None, None), (30, _prose(71, 4000) + " api_key=abcdefgh12345678")]
+    docs = spark.createDataFrame([(i, t, "en", 0.5, "s", "t", 1, len(t or "")) for i, t in rows], schema)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    kept = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    kept = sorted(set(kept), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    sets, root = [shingles(t) for _, t in kept], list(range(len(kept)))
+    for b in range(len(kept)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = root[b], root[a]
+                root = [min(old, new) if r in (old, new) else r for r in root]
+    kept = [r for k, r in enumerate(kept) if root[k] == k]
+    item = _prose(999, 14).split()
+    windows = {tuple(item[k : k + 10]) for k in range(5)}
+    kept = [(i, t) for i, t in kept if not windows & {tuple(t.split()[k : k + 10]) for k in range(len(t.split()) - 9)}]
+    secret = re.compile(r"(?:password|api_key)(?:: |=)[A-Za-z0-9]{8,}")
+    want = sorted((i is None, i or 0, secret.sub("[secret]", t)) for i, t in kept)
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder))
+        assert docs.columns == names
+    left = docs.collect()
+    assert {(r.lang, r.judged_score, r.scan_text, r._same, r.unit) for r in left} == {("en", 0.5, "s", "t", 1)}
+    assert all(r.n_chars == len(r.text) for r in left)
+    got = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in left})
+    assert got == want
+
+
 def test_empty_tables(spark, tables, tmp_path):
     folder, _ = tables
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
