@@ -133,7 +133,14 @@ class WordCache:
             self._keep(ended, ids, n.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text; only a batch's distinct words come out of Arrow."""
+        """Ids of each text."""
+        return self.encode_with_lines(texts, lines=False)[0]
+
+    def encode_with_lines(self, texts: pa.Array, lines: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text, and how many of them its first line has (0 where there is one line only).
+
+        Only a batch's distinct words come out of Arrow.
+        """
         data, offsets = utf8(texts)
         # the tokenizer lower-cases; for Latin-1 texts that gives the same characters first, and fewer words to learn
         above = np.concatenate(([0], np.cumsum(data >= ABOVE_LATIN)))[offsets]
@@ -150,13 +157,14 @@ class WordCache:
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         ids, n = self._gather(index[coded.indices.to_numpy()])
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-        return [ids[a:b] for a, b in zip(edges, edges[1:])]
-
-    def first_lines(self, texts: pa.Array) -> np.ndarray:
-        """How many ids the first line of each text has; 0 where there is one line only."""
-        lines = pc.struct_field(pc.extract_regex(texts, r"^(?P<line>[^\n]*)\n"), "line").fill_null("")
-        return np.array([len(ids) for ids in self.encode(lines)], np.int64)
+        ends, words_before = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(counts)))
+        edges = ends[words_before]
+        firsts = np.zeros(len(texts), np.int64)
+        if lines:
+            line = pc.struct_field(pc.extract_regex(texts, r"^(?P<line>[^\n]*)\n"), "line")
+            n_words = pc.list_value_length(pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(line))).fill_null(0).to_numpy(zero_copy_only=False)
+            firsts = ends[words_before[:-1] + n_words] - edges[:-1]
+        return [ids[a:b] for a, b in zip(edges, edges[1:])], firsts
 
 
 def worker_cache(tokenizer_path: str) -> WordCache:
@@ -315,10 +323,9 @@ def pack_documents(
             for at, to in pieces(utf8(texts)[1], ENCODE_BYTES):
                 part = batch.slice(at, to - at)
                 own = texts.slice(at, to - at)
-                firsts = part.column(2).to_numpy()
-                if prompt_line:
-                    firsts = np.maximum(firsts, cache.first_lines(own))
-                for doc, ids, first in zip(part.column(0).to_pylist(), cache.encode(own), firsts.tolist()):
+                encoded, lines = cache.encode_with_lines(own, prompt_line)
+                firsts = np.maximum(part.column(2).to_numpy(), lines)
+                for doc, ids, first in zip(part.column(0).to_pylist(), encoded, firsts.tolist()):
                     packer.add(doc, ids if end_id is None else np.append(ids, np.uint32(end_id)), first)
                     if len(packer.out) > 2000:
                         yield _batch(packer, keep_ids)
