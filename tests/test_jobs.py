@@ -94,6 +94,30 @@ def test_xlsx_upload_and_unknown_feed(spark):
     assert (us["attempted"], us["saved"], us["failed"]) == (2, 0, 2)
 
 
+def test_unreadable_workbook_is_one_rejected_row(spark):
+    from builders import xlsx
+
+    d = tempfile.mkdtemp(prefix="tidewater-x2-")
+    store = tempfile.mkdtemp(prefix="tidewater-store5-")
+    head = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "Heading"]
+    xlsx(f"{d}/one.xlsx", [head, ["1", "2024-01-01T00:00:00", 1.5, 2.5, 12, 90]])
+    xlsx(f"{d}/same.xlsx", [head, ["2", "2024-01-01T00:00:00", 1.5, 2.5, 13, 90], ["3", "bad", 1, 2, 3, 4]])
+    # columns in another order, one of them without a name
+    xlsx(f"{d}/turned.xlsx", [head[::-1] + [""], [90, 14, 2.5, 1.5, "2024-01-01T00:00:00", "4", "x"]])
+    open(f"{d}/junk.xlsx", "w").write("no workbook")
+    jobs.init_store(spark, store, [(2, "AIS")], [(1, "Redicent", 4)])
+    names = ("one", "junk", "turned", "same")
+    r = jobs.upload(spark, [f"{d}/{n}.xlsx" for n in names], "AIS", store, "2025-01-01 00:00:00")
+    got = {s["file_name"]: (s["attempted"], s["saved"], s["failed"]) for s in r.summary.collect()}
+    assert got == {"one.xlsx": (1, 1, 0), "same.xlsx": (2, 1, 1), "turned.xlsx": (1, 1, 0), "junk.xlsx": (1, 0, 1)}
+    recs = spark.read.parquet(f"{store}/cdf_data")
+    assert sorted(x["speed"] for x in recs.where("status = 'saved'").collect()) == [12.0, 13.0, 14.0]
+    bad = recs.where("file_name = 'junk.xlsx'").first()
+    assert bad["reject_reason"].startswith("Unreadable workbook") and bad["row_no"] == 0
+    alone = jobs.upload(spark, [f"{d}/junk.xlsx"], "AIS", store, "2025-01-02 00:00:00").summary.first()
+    assert (alone["attempted"], alone["saved"], alone["failed"]) == (1, 0, 1)
+
+
 def test_stream_and_uploads_share_a_store(spark):
     from tidewater.streaming.ingest import start_file_ingest
 

@@ -18,6 +18,7 @@ from ..functions.records import stable_uuid
 from ..sinks import objects, store, writers
 from ..sinks.scratch import is_scratch
 from ..sources import files
+from ..sources.office import UNREADABLE
 from . import catalog as cat
 from . import checks, converters, enrich
 
@@ -142,7 +143,12 @@ def ingest_upload(spark: SparkSession, paths, feed: str, out_dir: str, *, source
     for k, group in enumerate(files.name_groups(paths)):
         scope = upload_id if k == 0 else f"{upload_id}/{k}"  # files of one name in two groups keep apart
         for raw in read_upload(spark, group, kind) or [no_rows(spark)]:
-            part = convert_ndjson(raw, feed, keep_blank=True) if kind == "ndjson" else converters.convert_feed(raw, feed)
+            if kind == "ndjson":
+                part = convert_ndjson(raw, feed, keep_blank=True)
+            elif UNREADABLE in raw.columns:  # a file that could not be read is one rejected row; the others go on
+                part = converters.unreadable_rows(raw.withColumn("_none", F.lit(None).cast("string")), feed, UNREADABLE, "_none")
+            else:
+                part = converters.convert_feed(raw, feed)
             if part is None:  # every row reported, in the same record shape as converted rows
                 part = converters.skipped_rows(raw, feed, "Row skipped: unknown source type")
             part = with_upload_ids(part, scope)

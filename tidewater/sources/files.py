@@ -79,12 +79,12 @@ def read_structured(spark: SparkSession, paths) -> DataFrame:
 
 def structured_frames(spark: SparkSession, paths) -> list[DataFrame]:
     """A1-A3: a raw feed frame for each header among the files (columns are
-    never taken from another file's header); workbooks are frames of their own."""
+    never taken from another file's header), and for workbooks that cannot be read."""
     kind = check_structured(paths)
     if kind == ".xlsx":
-        from .office import read_xlsx_rows
+        from .office import xlsx_frames
 
-        return [read_xlsx_rows(spark, [p]) for p in ([paths] if isinstance(paths, str) else paths)]
+        return xlsx_frames(spark, paths)
     return frames_by_header(spark, paths, "\t" if kind == ".tsv" else ",")
 
 

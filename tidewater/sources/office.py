@@ -117,13 +117,13 @@ def _xlsx_first_sheet_rows(batches):
                     name, part = _workbook_sheets(z)[0]
                     rows = _sheet_rows(z, part, _shared_strings(z))
                 for i, cells in enumerate(rows):
-                    out.append((path, i, cells, None))
+                    out.append((path, i, cells, rows[0], None))
             except Exception as e:  # an unreadable workbook is one error row
-                out.append((path, -1, None, f"Unreadable workbook: {e}"))
-        yield pd.DataFrame(out, columns=["path", "row_index", "cells", "error"])
+                out.append((path, -1, None, None, f"Unreadable workbook: {e}"))
+        yield pd.DataFrame(out, columns=["path", "row_index", "cells", "header", "error"])
 
 
-XLSX_ROWS_SCHEMA = "path string, row_index long, cells array<string>, error string"
+XLSX_ROWS_SCHEMA = "path string, row_index long, cells array<string>, header array<string>, error string"
 
 
 def xlsx_row_table(spark: SparkSession, paths) -> DataFrame:
@@ -142,14 +142,38 @@ def read_xlsx_rows(spark: SparkSession, paths) -> DataFrame:
     head = rows.where(F.col("row_index") == 0).orderBy("path").select("cells").first()
     if head is None:
         raise ValueError("No rows in workbook")
-    names = [h if h not in (None, "") else f"Unnamed: {i}" for i, h in enumerate(head["cells"])]
-    data = rows.where(F.col("row_index") > 0)
-    out = data.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        (F.col("row_index") - 1).alias("row_no"),
+    return _named_cells(rows, head["cells"])
+
+
+#: Column with the reason why a workbook could not be read (headers are lower-cased, so it is none).
+UNREADABLE = "Unreadable"
+
+
+def _xlsx_file_name():
+    return F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name")
+
+
+def _named_cells(rows: DataFrame, header) -> DataFrame:
+    names = [h if h not in (None, "") else f"Unnamed: {i}" for i, h in enumerate(header)]
+    return normalise_headers(rows.where(F.col("row_index") > 0).select(
+        _xlsx_file_name(), (F.col("row_index") - 1).alias("row_no"),
         *[F.get(F.col("cells"), i).alias(n) for i, n in enumerate(names)],
-    )
-    return normalise_headers(out)
+    ))
+
+
+def xlsx_frames(spark: SparkSession, paths) -> list[DataFrame]:
+    """A3: a raw feed frame for each different header among the workbooks, found
+    in one job, however many files there are. Workbooks that cannot be read come
+    as a frame of their own, a row each, with the reason in ``UNREADABLE``; one
+    without rows has no row anywhere."""
+    rows = xlsx_row_table(spark, paths)
+    kinds = rows.where("row_index <= 0").groupBy("header").agg(F.count_if(F.col("error").isNotNull()).alias("bad")).orderBy("header").collect()
+    frames = [_named_cells(rows.where(F.col("header") == F.lit(k["header"]).cast("array<string>")), k["header"])
+              for k in kinds if k["header"]]
+    if any(k["bad"] for k in kinds):
+        frames.append(rows.where(F.col("error").isNotNull()).select(
+            _xlsx_file_name(), F.lit(0).cast("long").alias("row_no"), F.col("error").alias(UNREADABLE)))
+    return frames
 
 
 # ---- M5: workbook profile ----------------------------------------------------------
