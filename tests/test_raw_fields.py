@@ -24,3 +24,14 @@ def test_one_parse_and_folded_before_the_shuffle(spark):
     df = spark.createDataFrame([("f", t) for t in ROWS], "feed string, raw_data string")
     plan = field_profile(raw_fields(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") <= 1 and "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_kinds_without_a_schema_for_each_value(spark):
+    """A schema is built for values that look like an object or array only."""
+    rows = ['{"a": "{x", "b": "[x", "c": {}, "d": []}', ' {"a": "{\\"k\\": 1}"}', "\t[{}]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "row_no int, raw_data string")
+    got = raw_fields(df, ("row_no",))
+    assert sorted((r["row_no"], r["key"] or "", r["kind"] or "") for r in got.collect()) == [
+        (0, "a", "scalar"), (0, "b", "scalar"), (0, "c", "object"), (0, "d", "array"), (1, "a", "scalar"), (2, "", "")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().replace("schemaOfVariant", "schema_of_variant")
+    assert "AS _type" not in plan

@@ -15,7 +15,9 @@ def stable_uuid(*parts) -> Column:
     same ids (``uuid()`` would differ per execution).
     """
     h = F.md5(F.concat_ws(":", *[col_(p).cast("string") for p in parts]))
-    return F.regexp_replace(h, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    for at in (9, 14, 19, 24):
+        h = F.overlay(h, F.lit("-"), at, 0)
+    return h
 
 
 def nan_to_null(c) -> Column:
@@ -47,14 +49,21 @@ def raw_fields(records: DataFrame, keep=("feed",), raw_col: str = "raw_data") ->
     is no JSON, a JSON value that is no object and an object without
     fields give one row without key, so that no raw row is lost; no text, none."""
     cols = ", ".join(f"`{c}`" for c in keep)
-    parsed = records.where(F.col(raw_col).isNotNull()).select(*keep, F.try_parse_json(raw_col).alias("_raw"))
-    parsed = parsed.withColumn("_raw", F.when(F.schema_of_variant("_raw").startswith("OBJECT"), F.col("_raw")))
+    text = F.col(raw_col)
+    parsed = records.where(text.isNotNull()).select(*keep, text.startswith("{").alias("_brace"), F.try_parse_json(raw_col).alias("_raw"))
+    # a schema is built from every field of a value: only where the first character leaves the type open
+    is_object = F.col("_brace") | F.schema_of_variant("_raw").startswith("OBJECT")
+    parsed = parsed.withColumn("_raw", F.when(is_object, F.col("_raw")))
     fields = records.sparkSession.sql(
-        f"select {cols}, f.key as key, f.value as _value, schema_of_variant(f.value) as _type, is_variant_null(f.value) as _null "
+        f"select {cols}, f.key as key, f.value as _value, is_variant_null(f.value) as _null, try_variant_get(f.value, '$', 'string') as value "
         "from {parsed}, lateral variant_explode_outer(_raw) f", parsed=parsed)
-    kind = (F.when(F.col("key").isNull(), None).when(F.col("_null"), "null").when(F.col("_type").startswith("OBJECT"), "object")
-            .when(F.col("_type").startswith("ARRAY"), "array").otherwise("scalar"))
-    return fields.select(*keep, "key", kind.alias("kind"), F.try_variant_get("_value", "$", "string").alias("value"))
+
+    def is_a(kind, mark):
+        return F.col("value").startswith(mark) & F.schema_of_variant("_value").startswith(kind)
+
+    kind = (F.when(F.col("key").isNull(), None).when(F.col("_null"), "null").when(is_a("OBJECT", "{"), "object")
+            .when(is_a("ARRAY", "["), "array").otherwise("scalar"))
+    return fields.select(*keep, "key", kind.alias("kind"), "value")
 
 
 def field_profile(fields: DataFrame, by=("feed",)) -> DataFrame:
