@@ -146,3 +146,14 @@ def test_ais_time_shapes_and_rejects(spark):
 
     df = add_iso_timestamp(spark.createDataFrame([(t,) for t in times], "t string"), "t", "ts")
     assert {r.t: r.x for r in df.select("t", iso_text("ts").alias("x")).collect()} == times
+
+
+def test_parsing_stages_are_methods_that_the_jvm_compiles(spark):
+    from tidewater.session import METHOD_CONF, METHOD_DEFAULT, METHOD_LIMIT, keep_methods_small
+    spark.conf.unset(METHOD_CONF)
+    C.convert_ais(spark.createDataFrame([("f", 1, "0")], "file_name string, row_no int, lat string"))
+    assert spark.conf.get(METHOD_CONF) == METHOD_LIMIT != METHOD_DEFAULT
+    spark.conf.set(METHOD_CONF, "20000")
+    keep_methods_small(spark)
+    assert spark.conf.get(METHOD_CONF) == "20000"
+    spark.conf.unset(METHOD_CONF)

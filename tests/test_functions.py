@@ -147,3 +147,19 @@ def test_word_count_matches_python_split(spark):
     df = spark.createDataFrame([(s,) for s in samples], "t string")
     got = [r[0] for r in df.select(text.word_count("t")).collect()]
     assert got == [len(s.split()) for s in samples]
+
+
+def test_cells_are_stripped_as_python_does(spark):
+    from tidewater.functions.text import WS_CHARS, strip_cell
+    texts = ["", " ", "a", " a", "a ", "a b", "~", "!", "\x7f", "\x7fa", "\u00e9", "\u00e9 ", "x\u00e9", "\u3000x", "x\u3000", "\x1fx", "\U0001f6a2 x", "x\U0001f6a2", None]
+    texts += [f"{w}1.5{w}" for w in WS_CHARS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", strip_cell(F.col("t")).alias("s"))
+    assert {r["i"]: r["s"] for r in df.collect()} == {i: None if t is None else t.strip(WS_CHARS) for i, t in enumerate(texts)}
+
+
+def test_uuid_text(spark):
+    import hashlib
+    import uuid
+    from tidewater.functions.records import stable_uuid
+    got = spark.createDataFrame([("f", 7), ("f", None), (None, None)], "a string, b int").select(stable_uuid("a", "b").alias("u"))
+    assert [r["u"] for r in got.collect()] == [str(uuid.UUID(hashlib.md5(t).hexdigest())) for t in (b"f:7", b"f", b"")]
