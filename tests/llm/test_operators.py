@@ -219,6 +219,28 @@ def test_packed_hashes(n):
     assert got.tolist() == hashes.tolist() and end == len(body)
 
 
+@pytest.mark.parametrize("n_buckets", [1, 7, 4096, 4097, 100_000])
+def test_grams_are_told_apart_and_counted_by_document(n_buckets):
+    """Bucket and hash sorted as one number, or as two where there are more buckets than fit."""
+    from tidewater.llm.lm_scoring import HASH_BITS, _distinct, _own
+
+    hashes = RNG.choice(np.append(RNG.integers(0, 2**HASH_BITS, 40, np.uint64), np.uint64(2**HASH_BITS - 1)), 300)
+    buckets, docs = RNG.choice(np.array([0, 1, n_buckets // 2, n_buckets - 1]) % n_buckets, 300).astype(np.int32) + 5, RNG.integers(0, 3, 300)
+    pairs = list(zip(buckets.tolist(), hashes.tolist()))
+    first, index = _distinct(hashes, buckets)
+    assert [pairs[i] for i in first] == sorted(set(pairs)) and [pairs[first[i]] for i in index] == pairs
+    seen = collections.Counter(zip(pairs, docs.tolist()))
+    assert _own(index, docs, 3).tolist() == [seen[x] for x in zip(pairs, docs.tolist())]
+    none = np.zeros(0, np.int64)
+    assert not len(_own(none, none, 0)) and not len(_distinct(none.astype(np.uint64), none.astype(np.int32))[0])
+
+
+def test_text_is_hashed_in_small_pieces():
+    from tidewater.llm.text import pieces
+
+    assert list(pieces(np.arange(5) << 18)) == [(0, 2), (2, 4)]
+
+
 def test_fingerprints(docs, empty, spark):
     rows = in_order(DOCS)
     want = collections.Counter()

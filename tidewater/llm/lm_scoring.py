@@ -74,37 +74,57 @@ def _unpack(body: bytes, n: int) -> tuple[np.ndarray, int]:
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) | (upper.astype(np.uint64) << np.uint64(HASH_BITS - k)), end
 
 
-def _grams(rows: pa.Table, lengths: tuple[int, ...], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a unit's n-grams of ``lengths`` words: hash, bucket, length, position of the last word; words of each text."""
+def _split(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece of a unit's texts: the word range of each text, the hash of each word."""
     data, offsets = utf8(rows["text"])
-    hasher, table, parts, counts, at = Hasher(), non_space_bytes(), [], [np.zeros(0, np.int64)], 0
+    hasher, table, out = Hasher(), non_space_bytes(), []
     for a, b in pieces(offsets):
         w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
-        each = hasher.words(w)
-        for size in lengths:
-            starts = window_starts(w.bounds, size)
-            if len(starts):
-                high = hasher.windows(each, size, second=True)[starts] >> np.uint64(32)
-                bucket = ((high * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-                parts.append((hasher.windows(each, size)[starts] >> np.uint64(64 - HASH_BITS), bucket, np.full(len(starts), size, np.int8), starts + (size - 1 + at)))
-        counts.append(w.counts())
-        at += len(w)
-    if not parts:
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int64))]
-    return *(np.concatenate(x) for x in zip(*parts)), np.concatenate(counts)
+        out.append((w.bounds, hasher.words(w)))
+    return out
+
+
+def _grams(split: list[tuple[np.ndarray, np.ndarray]], size: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a unit's n-grams of ``size`` words: hash, bucket, position of the last word."""
+    hasher, parts, at = Hasher(), [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+    for bounds, each in split:
+        starts = window_starts(bounds, size)
+        if len(starts):
+            high = hasher.windows(each, size, second=True)[starts] >> np.uint64(32)
+            bucket = ((high * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
+            parts.append((hasher.windows(each, size)[starts] >> np.uint64(64 - HASH_BITS), bucket, starts + (size - 1 + at)))
+        at += len(each)
+    return *(np.concatenate(x) for x in zip(*parts)),
 
 
 def _distinct(hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of one of each distinct n-gram in (bucket, hash) order; each n-gram's index there."""
-    order = np.argsort(hashes)
-    order = order[np.argsort(buckets[order], kind="stable")]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (buckets[order[1:]] != buckets[order[:-1]])
+    base = int(buckets.min()) if len(buckets) else 0
+    if not len(buckets) or int(buckets.max()) - base < 1 << (64 - HASH_BITS):  # both fit one number
+        key = ((buckets - base).astype(np.uint64) << np.uint64(HASH_BITS)) | hashes
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.argsort(hashes)
+        order = order[np.argsort(buckets[order], kind="stable")]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (buckets[order[1:]] != buckets[order[:-1]])
     index = np.empty(len(order), np.int64)
     index[order] = np.cumsum(new) - 1
     return order[new], index
 
 
+def _own(index: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
+    """For each n-gram how often its own document has it; what the unit has once needs no sort."""
+    own = np.ones(len(index), np.int64)
+    often = np.flatnonzero(np.bincount(index)[index] > 1) if len(index) else index
+    _, at, counts = np.unique(index[often] * n_docs + docs[often], return_inverse=True, return_counts=True)
+    own[often] = counts[at]
+    return own
+
+
 def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stupid-backoff log score of every document under the counts of all other documents.
 
@@ -124,45 +144,46 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
     """
     units, n_buckets = in_units(docs, id_col, text_col)
 
-    rounds = [(n,) for n in range(1, order + 1)]
-
-    def grams(rows, k, by_size):
-        """The n-grams of round ``k`` that other documents can hold."""
-        hashes, buckets, sizes, last, n_words = _grams(rows, rounds[k], n_buckets)
+    def grams(split, k, by_size):
+        """The n-grams of round ``k``, of ``k + 1`` words, that other documents can hold."""
+        hashes, buckets, last = _grams(split, k + 1, n_buckets)
         if k:
-            held = (by_size[sizes - 1, last] > 0) & (by_size[sizes - 1, last - 1] > 0)
-            hashes, buckets, sizes, last = hashes[held], buckets[held], sizes[held], last[held]
-        return hashes, buckets + np.int32(k * n_buckets), sizes, last, n_words
+            held = (by_size[k, last] > 0) & (by_size[k, last - 1] > 0)
+            hashes, buckets, last = hashes[held], buckets[held], last[held]
+        return hashes, buckets + np.int32(k * n_buckets), last
 
-    def known(rows, got, n_rounds):
+    def known(split, got, n_rounds):
         """After ``n_rounds`` rounds: counts in the other documents, for the n-gram that ends in each word, by length; words of each text."""
-        bodies, by_size = dict(zip(got["bucket"].to_pylist(), got["body"].to_pylist())), None
+        bodies = dict(zip(got["bucket"].to_pylist(), got["body"].to_pylist()))
+        n_words = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for bounds, _ in split)])
+        by_size = np.zeros((order + 1, int(n_words.sum())), np.int64)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
         for k in range(n_rounds):
-            hashes, buckets, sizes, last, n_words = grams(rows, k, by_size)
-            if by_size is None:
-                by_size = np.zeros((order + 1, int(n_words.sum())), np.int64)
-                doc = np.repeat(np.arange(len(n_words)), n_words)
+            hashes, buckets, last = grams(split, k, by_size)
             first, index = _distinct(hashes, buckets)
             edges = np.searchsorted(buckets[first], np.arange(k * n_buckets, (k + 1) * n_buckets + 1))
             total = np.zeros(len(first), np.int64)
             for b, low, high in zip(range(k * n_buckets, (k + 1) * n_buckets), edges, edges[1:]):
                 if low < high:
                     total[low:high] = _unsmall(bodies[b], int(high - low))
-            _, own_index, own = np.unique(index * len(n_words) + doc[last], return_inverse=True, return_counts=True)
-            by_size[sizes, last] = total[index] - own[own_index]
+            by_size[k + 1, last] = total[index] - _own(index, doc[last], len(n_words))
         return by_size, n_words, doc
 
-    def question(unit, rows, k, by_size):
-        hashes, buckets, *_ = grams(rows, k, by_size)
+    def question(unit, split, k, by_size):
+        hashes, buckets, _ = grams(split, k, by_size)
         first, index = _distinct(hashes, buckets)
         sent, count = hashes[first], np.bincount(index, minlength=len(first))
         return messages(unit, buckets[first], (k + 1) * n_buckets, lambda s: np.int64(s.stop - s.start).tobytes() + _pack(sent[s]) + _small(count[s]))
 
     def ask(unit, rows):
-        return question(unit, rows, 0, None)
+        return question(unit, _split(rows), 0, None)
 
     def ask_more(k):
-        return lambda unit, rows, got: question(unit, rows, k, known(rows, got, k)[0])
+        def more(unit, rows, got):
+            split = _split(rows)
+            return question(unit, split, k, known(split, got, k)[0])
+
+        return more
 
     def answer(bucket, got):
         hashes, counts = [], []
@@ -178,7 +199,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
         return pa.table([got["unit"], pa.array([bucket] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], schema=MESSAGE_SCHEMA)
 
     def settle(unit, rows, got):
-        by_size, n_words, doc = known(rows, got, len(rounds))
+        by_size, n_words, doc = known(_split(rows), got, order)
         words = int(n_words.sum())
         place = np.arange(words) - np.repeat(np.cumsum(n_words) - n_words, n_words)
         top = np.minimum(place + 1, order)
@@ -202,7 +223,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
             schema=_ARROW,
         )
 
-    sums = written(exchange(units, ask, answer, settle, _SCHEMA, tuple(ask_more(k) for k in range(1, len(rounds)))))
+    sums = written(exchange(units, ask, answer, settle, _SCHEMA, tuple(ask_more(k) for k in range(1, order))))
     words = sums.agg(F.sum("n_words")).first()[0] or 0
     total = F.col("log_sum") - F.col("n_base") * F.log(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)))
     return sums.select("doc_id", "n_words", "n_top", F.round(total, 6).alias("log_score"), F.round(total / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_log_score"))

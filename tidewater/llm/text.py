@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; one longer text is one piece.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _WORD = 64
 _ROLL = 0x9E3779B97F4A7C13  # multipliers of the polynomials, 3 modulo 8
