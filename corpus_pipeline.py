@@ -59,7 +59,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated rows, equal in doc_id and text, count as one."""
     first = near_duplicates(docs).where("first").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
-    return docs.join(first, _same_row(docs, first), "left_semi")
+    return docs.join(first.hint("shuffle_hash"), _same_row(docs, first), "left_semi")  # texts are not sorted
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import collections
 import math
 import re
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -428,3 +430,63 @@ def test_a_repeated_row_sends_its_text_once(spark):
     rows = [(1, " ".join(base))] * 50 + [(None, " ".join(base[:-1]))] * 40 + [(3, " ".join(base[1:]))]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert collections.Counter((r.doc_id, r.component_id) for r in out) == {(1, 1): 50, (None, 1): 40, (3, 1): 1}
+
+
+def test_block_pairs_hold_one_table_of_all_pairs(monkeypatch):
+    import tidewater.llm.near_dedup as nd
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, 250)).astype(np.uint64) for _ in range(2 * nd.BLOCK)]
+    tracemalloc.start()
+    n = sum(len(x) for x, _, _ in nd._near_pairs(sets, np.ones(len(sets))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(sets) * (len(sets) - 1) // 2 and peak < 60e6  # all at once took 150 MB
+
+    monkeypatch.setattr(nd, "STRIP", 7)
+    monkeypatch.setattr(nd, "WIDTH", 30)
+    sets, least = [s[:: int(k % 5) + 1] for k, s in enumerate(sets[:40])], rng.integers(1, 80, 40)
+    got = [(int(x), int(y), int(c)) for part in nd._near_pairs(sets, least) for x, y, c in zip(*part)]
+    common = {(x, y): len(np.intersect1d(sets[x], sets[y])) for y in range(40) for x in range(y)}
+    assert got == [(x, y, c) for (x, y), c in sorted(common.items()) if c and c >= min(least[x], least[y])] and 0 < len(got) < len(common)
+    a, b = (np.array(c) for c in zip(*[(0, 5), (5, 7), (2, 3)]))
+    assert [c.tolist() for c in nd._forest(9, a, b)] == [[2, 0, 0], [3, 5, 7]]
+
+
+def test_words_of_packing_are_not_held_through_other_stages():
+    """Spark uses a Python worker again, so what packing remembers would stay in it."""
+    from tidewater.llm.packing import worker_cache
+    from tidewater.llm.spread import WORD_CACHES, fresh_worker
+
+    path = tokenizer_path(PACKING_TOKENIZER)
+    held = worker_cache(path)
+    assert worker_cache(path) is held and WORD_CACHES in sys.modules
+    fresh_worker()
+    assert WORD_CACHES not in sys.modules and worker_cache(path) is not held
+    fresh_worker()
+
+
+def test_batches_are_bounded_meanwhile(spark):
+    from tidewater.llm.spread import BATCH_CONF, BATCH_DEFAULT, arrow_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 100).alias("text"))
+
+    def largest():
+        n = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(n) == 3000
+        return max(n)
+
+    with arrow_batches(spark, 100_000):
+        assert largest() < 300
+    assert largest() == 3000 and spark.conf.get(BATCH_CONF) == BATCH_DEFAULT
+    spark.conf.set(BATCH_CONF, "200000")
+    try:
+        with arrow_batches(spark, 100_000):
+            assert largest() > 300  # the session's own bound stays
+        assert spark.conf.get(BATCH_CONF) == "200000"
+    finally:
+        spark.conf.unset(BATCH_CONF)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.spread import fresh_worker
 from tidewater.llm.text import ascii_lower, mix, pieces, utf8
 
 GRAM = 5  # bytes
@@ -110,6 +111,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_
     number = {lang: k for k, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -162,6 +164,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", kee
     schema = schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         languages, table, wrong = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(text))

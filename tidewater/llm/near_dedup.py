@@ -32,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.spread import written
+from tidewater.llm.spread import arrow_batches, fresh_worker, written
 from tidewater.llm.text import Hasher, Words, ascii_lower, mix, non_space_bytes, pieces, utf8, window_starts
 
 K = 64
 BLOCK = 1024
+#: Bytes of the Arrow batches that go to a Python worker, and rows and columns of a piece of a block pair's table.
+BATCH_BYTES, STRIP, WIDTH = 4 << 20, 256, 2048
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MISS = 1e-9  # chance that a linked pair at the threshold shares fewer retained values than needed
 
 
@@ -79,6 +82,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """(row, doc_id, text_hash, n, d1, d2, sketch) of each document."""
 
     def sketch(batches):
+        fresh_worker()
         for batch in batches:
             n, d1, d2 = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
             flat, sizes = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int64)
@@ -105,6 +109,11 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def _id_key() -> dict[str, Column]:
+    """doc_id as columns without nulls."""
+    return {"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()}
+
+
 def _listed(reps: DataFrame, threshold: float) -> DataFrame:
     """(value, row): the rarest retained values of each class, of those that others retain too."""
     values = reps.select("row", "n", F.explode("sketch").alias("value"))
@@ -138,8 +147,8 @@ def _blocks(members: DataFrame, threshold: float) -> DataFrame:
     return other.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).drop("other")
 
 
-def _near_pairs(sets: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs x < y with at least ``min(least[x], least[y])`` common values, and that number."""
+def _near_pairs(sets: list[np.ndarray], least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs x < y with at least ``min(least[x], least[y])`` common values, and that number, for a strip of x at a time."""
     index = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
@@ -148,39 +157,46 @@ def _near_pairs(sets: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray,
     order = np.argsort(column, kind="stable")
     index, column = index[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float32)
+    strips = [slice(at, at + STRIP) for at in range(0, len(sets), STRIP)]
     total = int(column[-1]) + 1 if len(column) else 0
-    width = 4096
-    for at in range(0, total, width):
-        a, b = np.searchsorted(column, [at, at + width])
-        dense = np.zeros((len(sets), min(width, total - at)), np.float32)
+    for at in range(0, total, WIDTH):
+        a, b = np.searchsorted(column, [at, at + WIDTH])
+        dense = np.zeros((len(sets), min(WIDTH, total - at)), np.float32)
         dense[index[a:b], column[a:b] - at] = 1
-        common += dense @ dense.T
-    x, y = np.nonzero(np.triu(common >= np.minimum.outer(least, least), 1) & (common > 0))
-    return x, y, common[x, y].astype(np.int64)
+        for strip in strips:
+            common[strip] += dense[strip] @ dense.T
+    for strip in strips:  # no other table is as large as that of all pairs
+        part = common[strip]
+        x, y = np.nonzero(np.triu((part >= np.minimum.outer(least[strip], least)) & (part > 0), strip.start + 1))
+        yield x + strip.start, y, part[x, y].astype(np.int64)
 
 
-def _union_estimate(sketches: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of each pair as its union sketch estimates it."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    table = np.full((len(sketches), K), top, np.uint64)
+def _table(sketches: list[np.ndarray]) -> np.ndarray:
+    """A row of ``K`` values for each sketch, the highest number where it has fewer."""
+    table = np.full((len(sketches), K), NONE, np.uint64)
     for k, s in enumerate(sketches):
         table[k, : len(s)] = s
+    return table
+
+
+def _union_estimate(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of each pair as its union sketch estimates it."""
     shares = np.zeros(len(x))
     for at in range(0, len(x), 8192):
         a, b = x[at : at + 8192], y[at : at + 8192]
         both = np.sort(np.concatenate((table[a], table[b]), axis=1), axis=1)
         again = np.zeros(both.shape, dtype=bool)
-        again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
-        rank = np.cumsum(~again & (both != top), axis=1)
+        again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+        rank = np.cumsum(~again & (both != NONE), axis=1)
         bottom = np.minimum(K, rank[:, -1])
         common = (again & (rank <= bottom[:, None])).sum(axis=1)
         shares[at : at + 8192] = common / np.maximum(bottom, 1)
     return shares
 
 
-def _forest(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links from each linked row to the smallest row of its component."""
-    root = np.arange(len(rows))
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each linked one of ``n`` to the smallest of its component."""
+    root = np.arange(n)
     while True:  # labels fall to the smallest index of each component
         low = np.minimum(root[x], root[y])
         new = root.copy()
@@ -190,8 +206,8 @@ def _forest(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int],
         if (new == root).all():
             break
         root = new
-    far = np.flatnonzero(root != np.arange(len(rows)))
-    return rows[root[far]].tolist(), rows[far].tolist()
+    far = np.flatnonzero(root != np.arange(n))
+    return root[far], far
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +262,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, shingle: int = 5,
     An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    all_rows = written(_sketches(texts, shingle))
+    spark = docs.sparkSession
+    with arrow_batches(spark, BATCH_BYTES):
+        all_rows = written(_sketches(texts, shingle))
     sets = ["n", "d1", "d2"]
     classes = written(all_rows.where("n > 0").groupBy(*sets).agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
     reps = all_rows.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -261,20 +279,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, shingle: int = 5,
         sketches = [np.asarray(s, np.int64).view(np.uint64) for s in rows["sketch"].to_pylist()]
         n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
         least = np.where(n <= K * threshold, np.ceil(n * threshold - 1e-9), np.minimum(np.ceil(n * threshold - 1e-9), bound))
-        x, y, _ = _near_pairs(sketches, least)
-        ok = (block[x] != block[y]) | (key[2].as_py() == key[3].as_py())
-        x, y = x[ok], y[ok]
-        small = np.minimum(n[x], n[y]) <= K * threshold
-        floor = np.where(small, 0.0, bound / K)
-        ok = _union_estimate(sketches, x, y) >= floor
-        row = rows["row"].to_numpy()
-        found = np.unique(np.concatenate((x[ok], y[ok]))) if ok.any() else np.zeros(0, np.int64)
-        return pa.table([pa.array(np.full(len(found), key[0].as_py(), np.int64)), pa.array(row[found])], names=["hub", "row"])
+        table, alike = _table(sketches), np.zeros(len(sketches), dtype=bool)
+        for x, y, _ in _near_pairs(sketches, least):
+            ok = (block[x] != block[y]) | (key[2].as_py() == key[3].as_py())
+            x, y = x[ok], y[ok]
+            small = np.minimum(n[x], n[y]) <= K * threshold
+            floor = np.where(small, 0.0, bound / K)
+            ok = _union_estimate(table, x, y) >= floor
+            alike[x[ok]] = alike[y[ok]] = True
+        found = np.unique(rows["row"].to_numpy()[alike])
+        return pa.table([pa.array(np.full(len(found), key[0].as_py(), np.int64)), pa.array(found)], names=["hub", "row"])
 
     with_sketch = _blocks(groups.join(reps.select("row", "n", "sketch"), "row"), threshold)
     task = ["hub", "part", "low", "high"]
     # dealt by all four keys: without it Spark keeps rows where (hub, part) put them, all block pairs of a group in one task
-    partners = written(with_sketch.repartition(*task).groupBy(*task).applyInArrow(likely, "hub long, row long").distinct())
+    with arrow_batches(spark, BATCH_BYTES):
+        partners = written(with_sketch.repartition(*task).groupBy(*task).applyInArrow(likely, "hub long, row long").distinct())
 
     def exact(key, rows):
         rows = rows.combine_chunks()
@@ -285,23 +305,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, shingle: int = 5,
         for a, b, text, value in shingle_sets(rows["text"].take(pa.array(first)), shingle):
             members[a:b] = np.split(value, np.searchsorted(text, np.arange(1, b - a)))
         size = np.array([len(s) for s in members])
-        x, y, common = _near_pairs(members, np.ones(len(members)))
-        ok = common >= threshold * (size[x] + size[y] - common) - 1e-9
-        ok &= (block[x] != block[y]) | (key[2].as_py() == key[3].as_py())
-        a, b = _forest(row, x[ok], y[ok])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    who = partners.join(reps.select("row", "n", "doc_id", "text_hash"), "row")
-    tasks = _blocks(who, threshold).withColumnRenamed("doc_id", "id")
-    found = texts.select("doc_id", _text_hash().alias("hash"), "text")
-    wanted = who.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct()
-    same_text = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_hash") == F.col("hash"))
-    # one text of each key, however often its row is repeated
-    found = found.join(wanted, same_text, "left_semi").dropDuplicates(["doc_id", "hash"])
-    with_text = tasks.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("hash")))
+        a, b = (np.zeros(0, np.int64) for _ in range(2))
+        for x, y, common in _near_pairs(members, np.ones(len(members))):
+            ok = common >= threshold * (size[x] + size[y] - common) - 1e-9
+            ok &= (block[x] != block[y]) | (key[2].as_py() == key[3].as_py())
+            a, b = _forest(len(row), np.concatenate((a, x[ok])), np.concatenate((b, y[ok])))
+        return pa.table([pa.array(row[a], pa.int64()), pa.array(row[b], pa.int64())], names=["a", "b"])
+
+    # a text is known by three columns without nulls, so the exchange of the first join serves all that follow
+    key = ["id", "none", "text_hash"]
+    who = written(partners.join(reps.select("row", "n", "doc_id", "text_hash"), "row").withColumns(_id_key()).drop("doc_id"))
+    tasks = _blocks(who, threshold)
+    found = texts.select(*[c.alias(name) for name, c in _id_key().items()], _text_hash().alias("text_hash"), "text")
+    # one text of each key, however often its row is repeated; the wanted keys are looked up in a hash table, so texts are not sorted for it
+    found = found.join(who.select(*key).distinct().hint("shuffle_hash"), key, "left_semi").dropDuplicates(key)
+    with_text = tasks.join(found, key)
     links = with_text.select(*task, "block", "row", "text").repartition(*task).groupBy(*task).applyInArrow(exact, "a long, b long")
 
-    roots = components(links)
+    with arrow_batches(spark, BATCH_BYTES):
+        roots = components(links)
     copies = classes.where("copies > 1").drop("copies")
     of_class = all_rows.drop("sketch").join(copies, sets, "left").withColumn("node", F.coalesce("rep", "row"))
     of_root = of_class.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.spread import WORD_CACHES
 from tidewater.llm.text import pieces, utf8
 
 SCHEMA = "doc_id long, start long, length long, loss_length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -171,11 +172,12 @@ def worker_cache(tokenizer_path: str) -> WordCache:
     """This Python worker's cache: tasks that run in it one after the other share what it learned.
 
     Ids do not depend on it, only the time.  It hangs on a module object, as
-    the functions of a job are loaded anew for each task.
+    the functions of a job are loaded anew for each task; tasks of the
+    pipeline's other stages drop it (``spread.fresh_worker``).
     """
     from tokenizers import Tokenizer
 
-    place = sys.modules.setdefault("_tidewater_word_caches", types.ModuleType("_tidewater_word_caches"))
+    place = sys.modules.setdefault(WORD_CACHES, types.ModuleType(WORD_CACHES))
     if not hasattr(place, "caches"):
         place.caches = {}
     if tokenizer_path not in place.caches:
