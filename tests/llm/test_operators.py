@@ -453,6 +453,35 @@ def test_block_pairs_hold_one_table_of_all_pairs(monkeypatch):
     assert [c.tolist() for c in nd._forest(9, a, b)] == [[2, 0, 0], [3, 5, 7]]
 
 
+def test_packing_goes_on_when_every_waiting_piece_must_be_cut():
+    """Pieces that bear more loss than a sequence may wait until the pool holds nothing else; then a fill that only cuts frees no place."""
+    from tidewater.llm.packing import Packer
+
+    limits = Limits(16, 4, 12)
+    packer, texts = Packer(limits, 0, 4), {k: np.arange(n, dtype=np.uint32) + 1000 * k for k, n in enumerate([14, 15, 13, 60, 14, 3, 15, 13, 14, 200, 15, 14, 1, 13])}
+    for k, ids in texts.items():
+        packer.add(k, ids, 0)
+        assert len(packer.items) < 4
+    packer.finish()
+    got, used = {k: [] for k in texts}, {}
+    for doc, start, n, loss, ids, _, total, sequence, _ in packer.out:
+        got[doc].append((start, ids))
+        assert n == len(ids) and total == len(texts[doc])
+        used.setdefault(sequence, []).append((n, loss))
+    for k, ids in texts.items():
+        assert np.array_equal(np.concatenate([x for _, x in sorted(got[k], key=lambda p: p[0])]), ids)
+    assert all(len(u) <= 4 and sum(n for n, _ in u) <= 16 and sum(x for _, x in u) <= 12 for u in used.values())
+
+
+def test_waiting_pieces_do_not_hold_their_documents():
+    from tidewater.llm.packing import Packer
+
+    packer = Packer(Limits(64, 8, 64), 0, 8)
+    packer.add(1, np.arange(64 * 50 + 3, dtype=np.uint32), 0)
+    (piece,) = (item[1] for item in packer.items)
+    assert piece.tolist() == [3200, 3201, 3202] and piece.base is None
+
+
 def test_words_of_packing_are_not_held_through_other_stages():
     """Spark uses a Python worker again, so what packing remembers would stay in it."""
     from tidewater.llm.packing import worker_cache

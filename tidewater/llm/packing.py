@@ -202,8 +202,8 @@ class Packer:
             self._emit([(doc, ids[at : at + most], at, loss_start, total)])
             at += most
         if at < total:
-            self._wait((doc, ids[at:], at, loss_start, total))
-            if len(self.items) == self.most:
+            self._wait((doc, ids[at:].copy() if at else ids, at, loss_start, total))  # a view would keep the whole document
+            while len(self.items) == self.most:  # where every piece that went in was cut, as many wait as before
                 self._fill()
 
     def finish(self) -> None:
