@@ -482,6 +482,21 @@ def test_waiting_pieces_do_not_hold_their_documents():
     assert piece.tolist() == [3200, 3201, 3202] and piece.base is None
 
 
+def test_word_cache_keeps_the_words_it_meets_again():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path(PACKING_TOKENIZER))
+    cache, often = WordCache(tokenizer, most=400), [f"often{k}" for k in range(40)] + ["the", "straße,", "Ünter", "x-y"]
+    for k in range(40):
+        texts = [" ".join([*often, *(f"rare{k}x{j}" for j in range(30))]), "", f"word{k}; ţara {k}!"]
+        got = cache.encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(cache.known) <= 500
+        if k > 1:
+            assert {"often7", "the", "straße,"} <= cache.known.keys()
+    assert sum(w.startswith("rare0x") for w in cache.known) == 0
+
+
 def test_words_of_packing_are_not_held_through_other_stages():
     """Spark uses a Python worker again, so what packing remembers would stay in it."""
     from tidewater.llm.packing import worker_cache

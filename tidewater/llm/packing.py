@@ -14,6 +14,7 @@ lost executor gives the same rows.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -44,27 +45,24 @@ class Limits:
 
 #: A control character that stands between words when many are encoded at once.
 BETWEEN = "\x07"
-LATIN = "\u0100"
-SIGNS = frozenset(",.;:!?|)")
+#: Runs of lower-case Latin-1 letters, and such runs before one sign.
+LETTERS = "[a-zªµºß-öø-ÿ]+"
+RUN, ENDED = re.compile(LETTERS), re.compile(LETTERS + "[,.;:!?|)]")
 #: UTF-8 bytes from this one on belong to characters beyond Latin-1.
 ABOVE_LATIN = 0xC4
 #: Bytes of text encoded at once; one longer text is one piece.
 ENCODE_BYTES = 4 << 20
 
 
-def _letters(word: str) -> bool:
-    """Whether the word has lower-case Latin-1 letters only."""
-    return word.isalpha() and word.islower() and (word.isascii() or max(word) < LATIN)
-
-
 class WordCache:
     """Ids of texts by a tokenizer that never joins characters across white space.
 
-    Each distinct run of other characters is encoded once and remembered; at
-    ``most`` remembered runs the memory starts anew.
+    Each distinct run of other characters is encoded once and remembered.  At
+    ``most`` remembered runs those stay that were met again, the most often met
+    half of the room at most; the others, such as words that occur once, go.
     """
 
-    def __init__(self, tokenizer, most: int = 1_200_000):
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
         between = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
@@ -86,9 +84,21 @@ class WordCache:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.begin, self.size, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.met = np.zeros(1 << 12, np.int32)  # times that a word was asked for
         self.used = 0
         self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
+    def _forget_rare(self) -> None:
+        """Half of the room at least becomes free; the words that stay are counted anew."""
+        words, met = list(self.known), self.met[: len(self.known)]
+        often = np.flatnonzero(met > 1)
+        often = often[often > 0]  # "" always stays
+        if len(often) > self.most // 2:
+            often = np.sort(often[np.argsort(-met[often], kind="stable")[: self.most // 2]])
+        ids, n = self._gather(often)
+        self._forget()
+        self._keep([words[k] for k in often.tolist()], ids, n)
+
     def _encoded_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokenize, table = self.tokenizer.model.tokenize, self.letters
         many = [[t.id for t in tokenize(w if w.isascii() else w.translate(table))] for w in runs]
@@ -106,11 +116,11 @@ class WordCache:
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.known), len(words)
         if k + n > len(self.size):
-            self.begin, self.size = (np.resize(x, 2 * (k + n)) for x in (self.begin, self.size))
+            self.begin, self.size, self.met = (np.resize(x, 2 * (k + n)) for x in (self.begin, self.size, self.met))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.size[k : k + n] = sizes
+        self.size[k : k + n], self.met[k : k + n] = sizes, 0
         self.begin[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
         self.known.update(zip(words, range(k, k + n)))
@@ -122,10 +132,12 @@ class WordCache:
 
     def _learn(self, new: set[str]) -> None:
         # a letter run before one sign has the ids of the run, then those of the sign
-        ended = [w for w in new if w[-1] in SIGNS and _letters(w[:-1])] if self.letters else []
-        rest = (new | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(ended) - self.known.keys()
-        runs = [w for w in rest if _letters(w)] if self.letters else []
-        for words, encoded in ((runs, self._encoded_runs), (list(rest.difference(runs)), self._encoded)):
+        ended = [w for w in new if ENDED.fullmatch(w)] if self.letters else []
+        rest = new.difference(ended)
+        runs = {w for w in rest if RUN.fullmatch(w)} if self.letters else set()
+        rest = (rest - runs) | {w[-1] for w in ended} - self.known.keys()
+        runs.update(r for w in ended if (r := w[:-1]) not in self.known)
+        for words, encoded in ((list(runs), self._encoded_runs), (list(rest), self._encoded)):
             for at in range(0, len(words), 4000):
                 self._keep(words[at : at + 4000], *encoded(words[at : at + 4000]))
         if ended:
@@ -144,18 +156,19 @@ class WordCache:
         """
         data, offsets = utf8(texts)
         # the tokenizer lower-cases; for Latin-1 texts that gives the same characters first, and fewer words to learn
-        above = np.concatenate(([0], np.cumsum(data >= ABOVE_LATIN)))[offsets]
+        above = np.searchsorted(np.flatnonzero(data >= ABOVE_LATIN), offsets)
         texts = pc.if_else(pa.array(np.diff(above) == 0), pc.utf8_lower(texts), texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = set(words) - self.known.keys()
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.most:
-            self._forget()
-            new = set(words) - self.known.keys()
+            self._forget_rare()
+            new = {w for w in words if w not in self.known}
         if new:
             self._learn(new)
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.met[index] += 1
         ids, n = self._gather(index[coded.indices.to_numpy()])
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         ends, words_before = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(counts)))
@@ -190,7 +203,7 @@ class Packer:
 
     def __init__(self, limits: Limits, first_id: int, pool: int):
         self.limits, self.next_id, self.most = limits, first_id, pool
-        self.scale = np.array([1 / limits.tokens, 1 / limits.segments, 1 / limits.loss_tokens])
+        self.scale = [1 / limits.tokens, 1 / limits.segments, 1 / limits.loss_tokens]
         self.size, self.loss = np.zeros(pool, np.int64), np.zeros(pool, np.int64)
         self.items: list[tuple] = []  # (doc, ids of the piece, start, loss start, tokens of the document)
         self.out: list[tuple] = []
@@ -232,12 +245,11 @@ class Packer:
         pieces: list[tuple] = []
         while self.items and left[0] and left[1]:
             size, loss = self.size[: len(self.items)], self.loss[: len(self.items)]
-            have = np.array(left) * self.scale
-            have *= self.scale
-            fits = (size <= left[0]) & (loss <= left[2])
-            if fits.any():
-                dot = size * have[0] + have[1] + loss * have[2]
-                item, rest = self._take(int(np.where(fits, dot, -1.0).argmax())), None
+            have = [x * scale * scale for x, scale in zip(left, self.scale)]
+            dot = np.where((size <= left[0]) & (loss <= left[2]), size * have[0] + have[1] + loss * have[2], -1.0)
+            k = int(dot.argmax())
+            if dot[k] >= 0:
+                item, rest = self._take(k), None
             else:  # the vector of what can be cut off each piece; ids without loss come first in a document
                 bare = size - loss
                 part = np.minimum(left[0], bare + left[2])
@@ -326,6 +338,7 @@ def pack_documents(
                 part = batch.slice(at, to - at)
                 own = texts.slice(at, to - at)
                 encoded, lines = cache.encode_with_lines(own, prompt_line)
+                pa.default_memory_pool().release_unused()
                 firsts = np.maximum(part.column(2).to_numpy(), lines)
                 for doc, ids, first in zip(part.column(0).to_pylist(), encoded, firsts.tolist()):
                     packer.add(doc, ids if end_id is None else np.append(ids, np.uint32(end_id)), first)
