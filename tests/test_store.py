@@ -1,5 +1,7 @@
 """The record store: commits, compaction, look-ups that skip what they need not read."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,52 @@ def test_look_ups_skip_row_groups(spark, big):
     assert days.count() == 4000 and scanned_rows(days) < n / 4
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+    return set(re.findall(r"shuffle_\w+\.\w+", files))
+
+
+def test_rounds_leave_no_shuffle_files(spark, big, tmp_path):
+    """The shuffle files of a round are gone before the next, and the session's setting is as it was."""
+    before, old, seen = spark.conf.get(st.CLEANUP_CONF, None), shuffle_files(spark), []
+    rec = big.select(*[c for c in big.columns if c not in ("day", "month")])
+
+    def rounds():
+        for k in range(3):
+            seen.append(shuffle_files(spark) - old)
+            yield rec.where(F.col("row_no") % 3 == k)
+
+    st.write_clustered_rounds(rounds(), str(tmp_path / "t"))
+    assert seen == [set()] * 3 and shuffle_files(spark) <= old
+    st.write_clustered(rec.where("row_no < 9"), str(tmp_path / "plain"))
+    assert shuffle_files(spark) - old  # else this test sees nothing
+    assert spark.conf.get(st.CLEANUP_CONF, None) == before
+    got = spark.read.schema(big.schema).parquet(str(tmp_path / "t"))
+    assert got.count() == 60_000 and got.exceptAll(big).isEmpty() and big.exceptAll(got).isEmpty()
+
+
+def test_each_row_is_in_one_round(spark):
+    """Large files are divided, small ones stay whole; null names and numbers and repeated rows are rows like others."""
+    rows = [("a", k) for k in range(100)] + [(f"f{k}", j) for k in range(30) for j in range(5)] + [(None, None), (None, 1), ("f1", 1), ("f1", None)]
+    raw = spark.createDataFrame(rows, "file_name string, row_no long").coalesce(2)
+    rounds = [[tuple(r) for r in raw.where(own).collect()] for own, _ in st.file_rounds(raw, 40)]
+    assert sorted(map(str, sum(rounds, []))) == sorted(map(str, rows))
+    assert max(map(len, rounds)) < 60 and len(rounds) >= 7
+    for name in {n for n, _ in rows} - {"a"}:
+        assert sum(name in {n for n, _ in r} for r in rounds) == 1
+    assert len(st.file_rounds(raw, 1000)) == 1 and st.file_rounds(raw.limit(0), 10) == []
+
+
+def test_small_files_have_small_filters(spark, tmp_path):
+    """A Bloom filter is as large as its row group's keys need, not 1 MB in a file of 20 rows."""
+    df = spark.range(20).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in CDF_SCHEMA.fields if f.name not in ("uuid", "file_uuid", "row_no")],
+                                F.col("id").alias("row_no"), F.lit("f").alias("file_name"), F.lit("saved").alias("status"), F.lit(None).cast("string").alias("reject_reason"))
+    df = df.withColumns({"uuid": stable_uuid("file_name", "row_no"), "file_uuid": stable_uuid("file_name")})
+    st.write_clustered(df, str(tmp_path / "t"))
+    (file,) = (tmp_path / "t").glob("*/*/*/*.parquet")
+    assert file.stat().st_size < 100_000
+
+
 def test_look_ups_prune_buckets(spark, store, tmp_path):
     jobs.upload(spark, [csv_file(tmp_path, "a.csv", ["2024-01-01", "2024-02-01", "2024-03-01"], n=20)], "AIS", store, AT)
     jobs.compact(spark, store)
